@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoscope.llm import exact_dedup, language_id, mixing, packing, sharding, tokens, topk_search
+from lingoscope.llm import exact_dedup, language_id, mixing, packing, sharding, tokens, topk_search, toxicity
 from lingoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -51,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
 
 ORACLES = {
     "op6_exact_dedup": """

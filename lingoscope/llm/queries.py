@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoscope.llm import exact_dedup, language_id, mixing, packing, sharding, tokens, topk_search, toxicity
+from lingoscope.llm import exact_dedup, jaccard_join, language_id, mixing, packing, sharding, tokens, topk_search, toxicity
 from lingoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -56,9 +60,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
 
 ORACLES = {
+    "op5_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s
+            FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), edges AS (
+            SELECT x AS u, y AS v FROM links UNION SELECT y, x FROM links
+        ), reach(u, v) AS (
+            SELECT doc_id, doc_id FROM words UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u
+        )
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id
+        FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = w.doc_id
+    """,
     "op6_exact_dedup": """
         WITH rows AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +19,6 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(shared)
-
-
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 5; fold 0 is held out of every fit."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -61,3 +52,20 @@ def byte_sized(column: pa.Array, most: int):
         stop = min(stop, n)
         yield start, stop - start
         start = stop
+
+
+def sparing(function):
+    """For a function over a task's batches: no search for reference cycles while it runs.
+
+    Code that makes many small objects and no cycles spends half its time in that
+    search.  It is on again after the task, since workers serve many tasks.
+    """
+
+    def run(batches):
+        gc.disable()
+        try:
+            yield from function(batches)
+        finally:
+            gc.enable()
+
+    return run

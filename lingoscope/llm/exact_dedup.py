@@ -62,6 +62,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that represent their groups, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each group, with all its columns: the one whose id represents it.
+
+    Of rows that have that id and an equal text, an arbitrary one stays.
+    """
+    groups = exact_groups(docs, id_col, text_col, keep).where("kept")
+    kept = groups.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
+    rows = docs.withColumn("_text_sha256", sha)
+    some = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_text_sha256"] == kept["_sha"]), "left_semi")
+    return some.dropDuplicates([id_col, "_text_sha256"]).drop("_text_sha256")

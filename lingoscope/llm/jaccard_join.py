@@ -33,14 +33,13 @@ the digest; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import byte_sized, narrow
+from lingoscope.llm.common import byte_sized, narrow, sparing
 from lingoscope.llm.shingles import WORDS, linked, mixed, shingle_sets
 from lingoscope.operators.graph import connected_components
 from lingoscope.operators.storage import stored
@@ -60,8 +59,8 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 def digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, n, set_id, check) for documents, and (bucket, amount) for the frequency table."""
 
+    @sparing
     def run(batches):
-        gc.disable()  # no cycles arise here
         amounts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for start, n in byte_sized(batch.column("text"), PIECE):
@@ -110,8 +109,8 @@ def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int, text_
     """
     held = docs.sparkSession.sparkContext.broadcast(table)
 
+    @sparing
     def run(batches):
-        gc.disable()  # no cycles arise here
         amounts = held.value
         usual = np.median(amounts)
         estimate = np.maximum(0.0, amounts - usual - 3 * np.sqrt(usual + 1))
@@ -162,8 +161,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     with_b = named.join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "id_a", "text_b")
     with_both = with_b.join(texts.toDF("id_a", "text_a"), "id_a").select("a", "b", "text_a", "text_b")
 
+    @sparing
     def run(batches):
-        gc.disable()  # no cycles arise here
         last: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()

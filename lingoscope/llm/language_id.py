@@ -20,14 +20,13 @@ others but never learnt from; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import byte_sized, fold_of, narrow, utf8_of
+from lingoscope.llm.common import byte_sized, fold_of, narrow, sparing, utf8_of
 
 WIDTHS = (2, 3, 4)  # joined() and predict() are written for these
 FILTERS = 8
@@ -222,8 +221,8 @@ def identify(docs: DataFrame, network: ByteConvolution | None, id_col: str = "do
     held = spark.sparkContext.broadcast(network)
     rows = narrow(docs, id=id_col, text=text_col).select("id", "text", F.coalesce(fold_of(F.col("id")) == 0, F.lit(False)).alias("held_out"))
 
+    @sparing
     def run(batches):
-        gc.disable()  # no cycles arise here
         net = held.value
         tables = net.joined() if net else None
         for batch in batches:

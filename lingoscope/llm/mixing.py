@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingoscope.llm.common import ensure_checkpoint_dir
 from lingoscope.llm.sharding import ranked_in_source
 
 BLOCK_ROWS = 64
 MAX_BLOCKS = 1 << 16
+RANK_BUCKETS = 1024
 
 
 def pfair(blocks: dict, weights: dict) -> list[tuple]:
@@ -94,7 +94,6 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7
     ``mix_position`` numbers the rows without gaps in the mixed order.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     named = [f"_c{i}" for i in range(len(docs.columns))]
     base = docs.toDF(*named).withColumns({"id": F.col(named[docs.columns.index(id_col)]), "source": F.col(named[docs.columns.index(source_col)])})
     rows_of = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -119,7 +118,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7
         ]
     )
     slots = spark.createDataFrame([(s, b, slot, release, due, m, at) for s, b, slot, release, due, m, at in plan], schema)
-    ranked = ranked_in_source(base, seed).withColumn("block", F.expr(f"rank div {size}"))
+    ranked = ranked_in_source(base, seed, RANK_BUCKETS, len(rows_of) * RANK_BUCKETS <= 1 << 18).withColumn("block", F.expr(f"rank div {size}"))
     joined = ranked.join(F.broadcast(slots), ranked["source"].eqNullSafe(slots["s"]) & (ranked["block"] == slots["mix_block"]))
     return joined.select(
         *[F.col(n).alias(c) for n, c in zip(named, docs.columns)],

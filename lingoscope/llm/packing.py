@@ -21,7 +21,6 @@ task only); an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import deque
 
@@ -31,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import ensure_checkpoint_dir, narrow
+from lingoscope.llm.common import narrow, sparing
 from lingoscope.llm.sharding import ranked_in_source
 from lingoscope.llm.tokens import bpe, text_groups
+from lingoscope.operators.storage import stored
 
 WINDOW = 4096
 END_ID = 2
@@ -122,9 +122,9 @@ def best_fit_decreasing(histogram: dict[int, int], window: int = WINDOW) -> tupl
 def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, start, length, ids_crc32, doc_tokens): every text's ids and end token, cut."""
 
+    @sparing
     def cut(batches):
         tokenizer = bpe(path)
-        gc.disable()  # no cycles arise here, and looking for them takes as long as the work
         for batch in batches:
             rows = ([], [], [], [], [])
             at = 0
@@ -150,8 +150,7 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "d
 
 def packed(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    pieces = pieces_of(docs, path, window, id_col, text_col).checkpoint()
+    pieces = stored(pieces_of(docs, path, window, id_col, text_col))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
     runs, _ = best_fit_decreasing(histogram, window)
     runs.sort()

@@ -26,8 +26,12 @@ from lingoscope.llm.common import narrow
 BUCKETS = 4096
 
 
-def ranked_in_source(rows: DataFrame, seed: int, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``rank`` (from 0, in seeded order) and ``n_source`` to rows (id, source, ...)."""
+def ranked_in_source(rows: DataFrame, seed: int, buckets: int = BUCKETS, few_sources: bool = False) -> DataFrame:
+    """Adds ``rank`` (from 0, in seeded order) and ``n_source`` to rows (id, source, ...).
+
+    ``few_sources``: the caller has counted them, and sources times buckets is
+    small enough to broadcast the counts, which saves wide rows a shuffle.
+    """
     shuffled = rows.withColumn("order", F.xxhash64(F.lit(seed), F.col("id")))
     shuffled = shuffled.withColumn("_bucket", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
     counts = shuffled.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -38,6 +42,7 @@ def ranked_in_source(rows: DataFrame, seed: int, buckets: int = BUCKETS) -> Data
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
         F.sum("_n").over(Window.partitionBy("source")).alias("n_source"),
     )
+    starts = F.broadcast(starts) if few_sources else starts
     inside = Window.partitionBy("source", "_bucket").orderBy("order", "id")
     placed = shuffled.withColumn("_inside", F.row_number().over(inside) - 1)
     joined = placed.join(starts, placed["source"].eqNullSafe(starts["_s"]) & (placed["_bucket"] == starts["_b"]))

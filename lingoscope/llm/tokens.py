@@ -18,7 +18,6 @@ ids of a chunk depend on nothing else.  That makes them memoisable.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections import ChainMap
@@ -29,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lingoscope.llm.common import narrow
+from lingoscope.llm.common import narrow, sparing
 
 #: Fixed values of the tokenizer's own split, for characters below U+0180.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſà-öÀ-ÖØ-Þ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ſÀ-ÖØ-Þ0-9²³¹¼½¾]+")
@@ -37,7 +36,7 @@ PLAIN = re.compile(r"(?:[!-;=-~¡-¬®-ſ]|<(?!\|))+\Z")  # no controls, no open
 #: White space that str.split() takes for a separator and the tokenizer doesn't.
 UNLIKE = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(r"[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
-MEMO = 700_000
+MEMO = 400_000
 LONG = 48  # chunks above this length aren't memoised
 END = "</w>"
 NONE = np.int32(2**31 - 1)
@@ -260,9 +259,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     are, nulls and repetitions included; an empty table gives an empty result.
     """
 
+    @sparing
     def count(batches):
         tokenizer = bpe(path)
-        gc.disable()  # no cycles arise here, and looking for them takes as long as the work
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n = [c for some in text_groups(texts) for c in tokenizer.counts(some)]

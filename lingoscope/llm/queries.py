@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoscope.llm import exact_dedup, jaccard_join, language_id, mixing, packing, sharding, tokens, topk_search, toxicity
+from lingoscope.llm import exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, tokens, topk_search, toxicity
 from lingoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=200, texts=False)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=75)
 
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
 
 ORACLES = {
     "op5_ngram_jaccard": r"""

@@ -13,9 +13,10 @@ with the suffix above), where (place in the collection).  A round reads each
 file from start to end, merges its insertions and writes the next file; nothing
 is sought, and what one round needs besides is as large as its insertions.
 
-A symbol is a word of eight bytes, so a byte string gives eight strings of
-words, one for each phase, and every byte's suffix is among them.  Prefixes are
-compared to whole words, which decides lengths that are multiples of eight.
+A symbol is a word of several bytes, so a byte string gives as many strings of
+words as a word has bytes, one for each phase, and every byte's suffix is among
+them.  Prefixes are compared to whole words, which decides the lengths that are
+multiples of a word.  Words are numbered in their order before the first round.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import tempfile
 
 import numpy as np
 
-WORD = 8
+WORD = 40
 LOW = 2**32 - 1
 _KINDS = {"link": np.int64, "before": np.int32, "common": np.uint8, "where": np.int32}
 
@@ -82,36 +83,59 @@ class Lowest:
         return np.minimum(self.flat[base + first], self.flat[base + end - (1 << level)])
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte that a whole word follows within its string: place, words that follow, code (from 1).
-
-    Codes order as the words' bytes do.
-    """
-    usable = np.maximum(0, lengths - WORD + 1)
+def _ranked(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the order of the values, equal for equal ones."""
+    order = np.argsort(values)
+    held = values[order]
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], held[1:] != held[:-1])))
+    return rank
+
+
+def codes(data: np.ndarray, width: int, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """A number for the ``width`` bytes at each place, ordered as the bytes are (zeros stand after the end)."""
+    known = {} if known is None else known
+    if width in known:
+        return known[width]
+    if width <= 8:
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]).view(">u8").ravel().astype(np.uint64)
+        known[width] = _ranked(words >> np.uint64(64 - 8 * width))
+    else:
+        first = 8
+        while 2 * first < width:
+            first *= 2
+        head, tail = codes(data, first, known), codes(data, width - first, known)
+        after = np.zeros(len(data), np.int64)
+        after[: max(0, len(data) - first)] = tail[first:]
+        known[width] = _ranked((head << 32) + after)
+    return known[width]
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte that a whole word follows within its string: place, words that follow, code (from 1)."""
+    usable = np.maximum(0, lengths - word + 1)
     total = int(usable.sum())
     string = np.repeat(np.arange(len(starts)), usable)
     offset = np.arange(total) - np.repeat(np.cumsum(usable) - usable, usable)
     place = starts[string] + offset
-    padded = np.concatenate([data, np.zeros(WORD, np.uint8)])
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, WORD)[place]).view(">u8").ravel().astype(np.uint64)
-    code = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
-    return place, (lengths[string] - offset) // WORD, code
+    return place, (lengths[string] - offset) // word, codes(data, word)[place] + 1
 
 
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: int = WORD) -> tuple[np.ndarray, np.ndarray]:
     """(place, common): byte places in the order of their suffixes, and the words shared with the one above.
 
     The strings are ``data[start : start + length]``.
     """
-    place, left, code = word_codes(data, starts, lengths)
+    place, left, code = word_codes(data, starts, lengths, word)
     if not len(place):
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     longest = int(left.max())
     if longest > 250:
-        raise ValueError("strings must be shorter than 2000 bytes")
+        raise ValueError("strings must have at most 250 words")
     # the entry one word earlier in the same string, or -1; entries from len(place) on are empty suffixes
-    at = np.full(len(data) + WORD, -1, np.int64)
-    at[place + WORD] = np.arange(len(place))
+    at = np.full(len(data) + word, -1, np.int64)
+    at[place + word] = np.arange(len(place))
     earlier = at[place]
     earlier[(earlier >= 0) & (left[earlier] != left + 1)] = -1
     ends = np.flatnonzero(left == 1)
@@ -176,17 +200,16 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
 
 
 def repeated_places(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
-    """Places whose ``length`` bytes (a multiple of eight) also start elsewhere in the collection.
+    """Places whose ``length`` bytes also start elsewhere in the collection.
 
     A string of weight w stands for w equal ones.
     """
-    if length % WORD:
-        raise ValueError(f"length must be a multiple of {WORD}")
-    place, common = sorted_suffixes(data, starts, lengths)
+    word = next(w for w in range(min(WORD, length), 0, -1) if length % w == 0)
+    place, common = sorted_suffixes(data, starts, lengths, word)
     if not len(place):
         return place
     string = np.searchsorted(starts, place, "right") - 1
     fits = place + length <= starts[string] + lengths[string]
-    group = np.cumsum(common < length // WORD) - 1
+    group = np.cumsum(common < length // word) - 1
     total = np.bincount(group, weights[string] * fits)
     return np.sort(place[fits & (total[group] >= 2)])

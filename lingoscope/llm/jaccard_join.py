@@ -1,14 +1,16 @@
 """Near duplicates: n-gram Jaccard join with adaptive multi-match prefixes.
 
 A text is the set of its distinct word shingles.  Two sets x and y of n and m
-shingles reach the threshold t only if they share
+shingles, n >= m, reach the threshold t only if they share
 ``a = ceil(t / (1 + t) * (n + m))``.  Let shingles have one order everywhere
 (rare ones first, by a hashed frequency table of fixed size).  If x shows its
 first p shingles and y its first q, the two prefixes share at least
-``min(p - n, q - m) + a``: a longer prefix demands more matches.  A document may
-therefore choose its length: from ``n - ceil(t n) + 1``, which guarantees one
-match with any partner, it goes on as long as the estimated cost of candidates
-(rows to look at, texts to verify) falls.
+``min(p - n, q - m) + a``: longer prefixes demand more matches.  One match is
+certain from ``p = n - ceil(t n) + 1`` and, as y is the smaller one,
+``q = m - ceil(2 t / (1 + t) m) + 1``.  A document lengthens both of its prefixes,
+the outer one for larger partners to meet and the inner one for meeting them, by
+the same number of shingles as long as the estimated cost of candidates (rows to
+look at, texts to verify) falls; that many more matches are then required.
 
 1. One pass over the texts gives each its set's 128-bit digest and size, and the
    frequency table.  Texts with equal sets are one class from here on.
@@ -16,9 +18,15 @@ match with any partner, it goes on as long as the estimated cost of candidates
    are dropped.
 3. First links: each set is tried against the lowest and highest set of each of
    its shingles, which joins large groups of copies with few pairs.
-4. All pairs of sets that are not yet in one component, and share enough prefix
-   shingles, are verified.  Pairs inside a component can't change it, so none is
-   made: groups are met as (shingle, component), then opened to sets.
+4. All pairs of sets that are not yet in one component, and share enough shingles
+   of the smaller one's inner and the larger one's outer prefix, are verified.
+   Pairs inside a component can't change it, so none is made: groups are met as
+   (shingle, component), then opened to sets.  A shingle that very many texts
+   have comes last in their orders, so it is in hardly any inner prefix.
+   A shingle that more than ``MOST_PARTS`` components show (heavily edited copies
+   of one text) isn't opened to pairs at all: the sets that show it are dealt to
+   the cells of a grid, and each cell compares its sets in memory and returns no
+   more than one link for two components.
 5. Verification compares the whole texts' sets; a pair's texts come by joins on
    the id.
 
@@ -45,9 +53,12 @@ from lingoscope.operators.graph import connected_components
 from lingoscope.operators.storage import stored
 
 PERCENT = 75
-BUCKETS = 1 << 16  # of the frequency table, which is broadcast
-MOST_MATCHES = 16  # how far a prefix may be lengthened
+BUCKETS = 1 << 18  # of the frequency table, which is broadcast
+MOST_MATCHES = 32  # how far a prefix may be lengthened
 VERIFY_COST = 40.0  # of a candidate's verification, in rows looked at
+MOST_PARTS = 128  # components of a shingle that meet as pairs of rows
+CELL = 512  # sets on a side of a grid's cell
+UNSEEN = 0.1  # partners expected of a shingle that the table doesn't show to be frequent
 PIECE = 1 << 21
 
 
@@ -89,23 +100,27 @@ def digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, f"id {kind}, n int, set_id long, check long, bucket int, amount long")
 
 
-def prefix_length(n: int, frequency: np.ndarray, percent: int = PERCENT) -> int:
-    """How many of its first shingles a set shows; ``frequency``: estimates for them, in order."""
-    least = n - -(-percent * n // 100) + 1
-    most = min(n, least + MOST_MATCHES - 1)
-    if most == least:
-        return least
-    sums = np.cumsum(frequency[:most])[least - 1 :]
-    matches = np.arange(1, most - least + 2)
+def matches_to_ask(n: int, frequency: np.ndarray, percent: int = PERCENT) -> int:
+    """By how much a set lengthens its prefixes, and so how many matches they ask for.
+
+    ``frequency``: estimated partners of its shingles, in order.
+    """
+    outer, inner = n - -(-percent * n // 100), n - -(-2 * percent * n // (100 + percent))
+    most = min(MOST_MATCHES, n - outer)
+    if most <= 1:
+        return 1
+    k = np.arange(1, most + 1)
+    sums = np.concatenate([[0.0], np.cumsum(frequency[: outer + most])])
     # sets that share k shingles of a prefix are at most its rows divided by k
-    cost = np.arange(least, most + 1) + sums + VERIFY_COST * sums / matches
-    return least + int(cost.argmin())
+    cost = k + sums[outer + k] + VERIFY_COST * sums[inner + k] / k
+    return int(k[cost.argmin()])
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int, text_col: str) -> DataFrame:
-    """Rows (shingle, set_id, sizes): each set's prefix, once for each task that has the set.
+    """Rows (shingle, set_id, inner, sizes): each set's outer prefix, once for each task that has the set.
 
-    ``sizes`` holds n and the prefix's length (see ``opened``) in one number.
+    ``inner``: whether the shingle is in the inner prefix too; ``sizes`` holds n
+    and the matches asked for (see ``opened``) in one number.
     """
     held = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -113,11 +128,11 @@ def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int, text_
     def run(batches):
         amounts = held.value
         usual = np.median(amounts)
-        estimate = np.maximum(0.0, amounts - usual - 3 * np.sqrt(usual + 1))
+        estimate = UNSEEN + np.maximum(0.0, amounts - usual - 3 * np.sqrt(usual + 1))
         done: set[int] = set()
         for batch in batches:
             for start, k in byte_sized(batch.column("text"), PIECE):
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
                 for s in shingle_sets(batch.column("text").slice(start, k), words):
                     n = len(s)
                     if not n:
@@ -129,28 +144,32 @@ def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int, text_
                         done.add(set_id)
                     bucket = (s % np.uint64(BUCKETS)).astype(np.int64)
                     order = np.lexsort((s, amounts[bucket]))
-                    shown = prefix_length(n, estimate[bucket[order]], percent)
+                    ask = matches_to_ask(n, estimate[bucket[order]], percent)
+                    shown = n - -(-percent * n // 100) + ask
                     out[0].append(s[order[:shown]])
-                    for held_, x in zip(out[1:], (set_id, n, shown)):
+                    out[1].append(np.arange(shown) < n - -(-2 * percent * n // (100 + percent)) + ask)
+                    for held_, x in zip(out[2:], (set_id, n * 2**32 + ask, shown)):
                         held_.append(x)
                 if out[0]:
-                    per = np.array(out[3])
+                    per = np.array(out[4])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.repeat(np.array(out[1], np.int64), per)), pa.array(np.repeat(np.array(out[2], np.int64) * 2**32 + per, per))],
-                        names=["shingle", "set_id", "sizes"],
+                        [pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.repeat(np.array(out[2], np.int64), per)), pa.array(np.concatenate(out[1])), pa.array(np.repeat(np.array(out[3], np.int64), per))],
+                        names=["shingle", "set_id", "inner", "sizes"],
                     )
 
-    return narrow(docs, text=text_col).mapInArrow(run, "shingle long, set_id long, sizes long")
+    return narrow(docs, text=text_col).mapInArrow(run, "shingle long, set_id long, inner boolean, sizes long")
 
 
 def opened(df: DataFrame, sizes: str = "sizes", suffix: str = "") -> DataFrame:
-    return df.withColumns({f"n{suffix}": F.shiftright(sizes, 32), f"shown{suffix}": F.col(sizes).bitwiseAND(F.lit(2**32 - 1))}).drop(sizes)
+    return df.withColumns({f"n{suffix}": F.shiftright(sizes, 32), f"ask{suffix}": F.col(sizes).bitwiseAND(F.lit(2**32 - 1))}).drop(sizes)
 
 
 def enough(percent: int) -> str:
-    """The rule for a pair (n, shown), (n2, shown2) that shares ``matches`` prefix shingles."""
+    """The rule for a set (n, ask) and a larger one (n2, ask2) that share ``matches`` shingles of their prefixes."""
+    outer = f"ask2 - ((n2 * {percent} + 99) div 100)"
+    inner = f"ask - ((n * {2 * percent} + {99 + percent}) div {100 + percent})"
     share = f"((n + n2) * {percent} + {99 + percent}) div {100 + percent}"
-    return f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and matches >= least(shown - n, shown2 - n2) + {share}"
+    return f"n * 100 >= n2 * {percent} and matches >= least({outer}, {inner}) + {share}"
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -184,14 +203,71 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return with_both.mapInArrow(run, "a long, b long")
 
 
+def links_in_cell(sets: list[np.ndarray], ids: np.ndarray, parts: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components, at most one for two components.
+
+    ``sides``: sets of one side only meet the other's, unless there is but one.
+    """
+    lengths = np.array([len(s) for s in sets], np.int64)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    opens = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    counts = np.diff(np.append(opens, len(values)))
+    posting = np.empty(len(order), np.int64)
+    posting[order] = np.repeat(np.arange(len(opens)), counts)
+    several = len(np.unique(sides)) > 1
+    done, out = set(), []
+    at = np.cumsum(lengths) - lengths
+    for i in range(len(sets)):
+        p = posting[at[i] : at[i] + lengths[i]]
+        p = p[counts[p] > 1]
+        if not len(p):
+            continue
+        size = counts[p]
+        where = np.repeat(opens[p] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(owner[where], minlength=len(sets))
+        ok = (100 * shared >= percent * (lengths + lengths[i] - shared)) & (parts != parts[i]) & (shared > 0)
+        if several:
+            ok &= sides != sides[i]
+        for j in np.flatnonzero(ok).tolist():
+            pair = (min(parts[i], parts[j]), max(parts[i], parts[j]))
+            if pair not in done:
+                done.add(pair)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def grid_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between the members (low, set_id, part) of each ``low``, cell by cell."""
+    texts = narrow(docs, id=id_col, text=text_col).where(F.col("id").isNotNull())
+    blocks = members.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("blocks"))
+    rows = members.join(blocks, "low").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(classes.select("set_id", F.col("rep").alias("id")), "set_id").join(texts, "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("low", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"), "side", "set_id", "part", "text")
+
+    def cell(table: pa.Table) -> pa.Table:
+        column = table.column("text").combine_chunks()
+        sets = [s for start, n in byte_sized(column, PIECE) for s in shingle_sets(column.slice(start, n), words)]
+        ids, parts, sides = (table.column(c).to_numpy() for c in ("set_id", "part", "side"))
+        # of rows with one id, those that bear the set
+        keep = [k for k, s in enumerate(sets) if len(s) and _digest(s)[0] == ids[k]]
+        found = links_in_cell([sets[k] for k in keep], ids[keep], parts[keep], sides[keep], percent) if keep else []
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return rows.groupBy("low", "row", "column").applyInArrow(cell, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links) for every row."""
     spark = docs.sparkSession
     first = stored(digests(docs, words, id_col, text_col))
     sets = first.where("bucket is null").select("id", "n", "set_id", "check")
     table = np.zeros(BUCKETS, np.int64)
-    for r in first.where("bucket is not null").groupBy("bucket").agg(F.sum("amount").alias("amount")).collect():  # BUCKETS rows
-        table[r["bucket"]] = r["amount"]
+    amounts = first.where("bucket is not null").groupBy("bucket").agg(F.sum("amount").alias("amount")).toArrow()  # BUCKETS rows at most
+    table[amounts["bucket"].to_numpy()] = amounts["amount"].to_numpy()
     classes = sets.where("n > 0").groupBy("set_id", "check", "n").agg(F.min("id").alias("rep"))
 
     shown = prefixes(docs, table, words, percent, text_col)
@@ -204,24 +280,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     leads = F.array(F.struct(F.col("low").alias("a"), F.col("low_sizes").alias("sizes2")), F.struct(F.col("high").alias("a"), F.col("high_sizes").alias("sizes2")))
     tried = shared.select("set_id", "sizes", F.inline(leads)).where("set_id <> a")
     tried = tried.groupBy("a", F.col("set_id").alias("b"), "sizes", "sizes2").agg(F.count(F.lit(1)).alias("matches"))
-    tried = opened(opened(tried), "sizes2", "2").where(enough(percent)).select("a", "b")
+    tried = opened(opened(tried), "sizes2", "2")
+    # here a few matches in proportion are asked for: what isn't tried now is met later
+    tried = tried.where(f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and matches * 8 >= least(n, n2) * {100 - percent} div 100").select("a", "b")
     links = stored(verified(tried, classes, docs, words, percent, id_col, text_col))
     parts = stored(connected_components(links, "a", "b")).toDF("set_id", "part")
 
-    rows = shared.select("shingle", "set_id", "sizes").join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
-    several = rows.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("shingle")
-    rows = stored(rows.join(several, "shingle"))
-    groups = rows.select("shingle", "part").distinct()
-    met = groups.toDF("shingle", "part").join(groups.toDF("shingle", "part2"), "shingle").where("part < part2")
-    pairs = met.join(rows, ["shingle", "part"]).select("shingle", "part2", F.col("set_id").alias("a"), "sizes")
-    pairs = pairs.join(rows.select("shingle", F.col("set_id").alias("b"), F.col("sizes").alias("sizes2"), F.col("part").alias("part2")), ["shingle", "part2"])
+    rows = shared.select("shingle", "low", "set_id", "inner", "sizes").join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    ends = rows.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.bool_or("inner").alias("any"))
+    rows = stored(rows.join(ends.where("p <> q and any").select("shingle"), "shingle"))
+    spread = rows.select("shingle", "part").distinct().groupBy("shingle").count()
+    crowded = stored(spread.where(f"count > {MOST_PARTS}").select("shingle"))
+    members = stored(rows.join(crowded, "shingle", "left_semi").select("low", "set_id", "part").distinct())
+    more = stored(grid_links(members, classes, docs, words, percent, id_col, text_col)) if not members.isEmpty() else None
+    # a pair that shares a crowded shingle has met; any other shares none, so its count is whole without them
+    rows = rows.join(crowded, "shingle", "left_anti")
+    inner = rows.where("inner").select("shingle", "part", F.col("set_id").alias("a"), "sizes")
+    outer = rows.select("shingle", F.col("part").alias("part2"), F.col("set_id").alias("b"), F.col("sizes").alias("sizes2"))
+    met = inner.select("shingle", "part").distinct().join(outer.select("shingle", "part2").distinct(), "shingle").where("part <> part2")
+    # of a pair the smaller set (of equal ones the one of the smaller id) shows its inner prefix
+    smaller = F.struct(F.shiftright("sizes", 32), "a") < F.struct(F.shiftright("sizes2", 32), "b")
+    near = F.shiftright("sizes", 32) * 100 >= F.shiftright("sizes2", 32) * percent
+    pairs = met.join(inner, ["shingle", "part"]).join(outer, ["shingle", "part2"]).where(smaller & near)
     pairs = pairs.groupBy("a", "b", "sizes", "sizes2").agg(F.count(F.lit(1)).alias("matches"))
     pairs = opened(opened(pairs), "sizes2", "2")
     pairs = stored(pairs.where(enough(percent)).select("a", "b"))
+    later = [] if more is None else [more]
     if not pairs.isEmpty():
-        more = stored(verified(pairs, classes, docs, words, percent, id_col, text_col))
-        if not more.isEmpty():
-            parts = stored(connected_components(links.union(more), "a", "b")).toDF("set_id", "part")
+        later.append(stored(verified(pairs, classes, docs, words, percent, id_col, text_col)))
+    later = [x for x in later if not x.isEmpty()]
+    for x in later:
+        links = links.union(x)
+    if later:
+        parts = stored(connected_components(links, "a", "b")).toDF("set_id", "part")
 
     labelled = sets.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
     lowest = labelled.where("n > 0").groupBy("part").agg(F.min("id").alias("lowest"))

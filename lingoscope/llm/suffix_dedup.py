@@ -174,23 +174,31 @@ def marked_windows(pieces: list[bytes], weights: np.ndarray, windows: np.ndarray
 def opened_group(pieces: list[bytes], weights: np.ndarray, windows: np.ndarray, length: int) -> list[np.ndarray]:
     """The same for one anchor with very many pieces: window by window, in blocks by their hash."""
     marks = [np.zeros(w, bool) for w in windows.tolist()]
-    blocks = max(1, int(windows.sum()) * length // (4 * BLOCK_BYTES))
-    dealt: list[list[tuple[int, int]]] = [[] for _ in range(blocks)]
-    for i, p in enumerate(pieces):
+    hashes = []
+    for p, w in zip(pieces, windows.tolist()):
         total, inverse = _sums(np.frombuffer(p, np.uint8))
-        w = int(windows[i])
-        block = mixed((total[length : length + w] - total[:w]) * inverse[:w]) % np.uint64(blocks)
-        for s, b in enumerate(block.tolist()):
-            dealt[b].append((i, s))
-    for some in dealt:
+        hashes.append(mixed((total[length : length + w] - total[:w]) * inverse[:w]))
+    hashes = np.concatenate(hashes)
+    piece = np.repeat(np.arange(len(pieces)), windows)
+    start = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    _, same = np.unique(hashes, return_inverse=True)
+    left = np.flatnonzero(np.bincount(same, weights[piece])[same] >= 2)  # a hash of its own means bytes of their own
+    left = left[np.argsort(hashes[left], kind="stable")]
+    step = max(1, 4 * BLOCK_BYTES // length)
+    at = 0
+    while at < len(left):
+        end = min(len(left), at + step)
+        while end < len(left) and hashes[left[end]] == hashes[left[end - 1]]:
+            end += 1
+        some = list(zip(piece[left[at:end]].tolist(), start[left[at:end]].tolist()))
+        at = end
         # equal windows are one string with a weight; only different ones are sorted
         table: dict[bytes, int] = {}
         for i, s in some:
             key = pieces[i][s : s + length]
             table[key] = table.get(key, 0) + int(weights[i])
         keys = list(table)
-        ones = np.ones(len(keys), np.int64)
-        found = marked_windows(keys, np.array(list(table.values()), np.int64), ones, length) if keys else []
+        found = marked_windows(keys, np.array(list(table.values()), np.int64), np.ones(len(keys), np.int64), length)
         twice = {k for k, m in zip(keys, found) if m[0]}
         for i, s in some:
             marks[i][s] = pieces[i][s : s + length] in twice

@@ -8,6 +8,7 @@ from urllib.parse import quote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -78,7 +79,7 @@ def resolve(raw: str, base: str) -> str | None:
     return f"{url.scheme.lower()}://{url.hostname.lower()}{port}{path}"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def resolved(raw: pd.Series, base: pd.Series) -> pd.Series:
     """Identities of a page's raw addresses (relative ones too), in order; NULL where there is none."""
     return pd.Series([None if r is None else [None if x is None else resolve(x, b) for x in r] for r, b in zip(raw, base)])

@@ -102,7 +102,7 @@ class Crawl:
         return df.join(self.runs.where("crawl_complete").select("run_id"), "run_id", "left_semi")
 
 
-def _finding(df: DataFrame, kind: str, url: Column | None, **detail) -> DataFrame:
+def _finding(df: DataFrame, kind: str, url: Column | None, /, **detail) -> DataFrame:
     fields = [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in detail.items()]
     return df.select("run_id", F.lit(kind).alias("type"), (F.lit(None).cast("string") if url is None else url).alias("url"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("detail"))
 

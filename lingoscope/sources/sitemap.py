@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lingoscope.functions.urls import in_scope, origin_of, page_url, path_of
 
@@ -29,7 +30,7 @@ def inflate(body: bytes | None) -> str | None:
     return None if len(body) > MAX_BYTES else body.decode("utf-8", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(body: pd.Series) -> pd.Series:
     return body.map(inflate)
 
@@ -39,7 +40,7 @@ def _loc(raw: str) -> str:
     return html.unescape(raw).strip()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _locs(raw: pd.Series) -> pd.Series:
     return raw.map(lambda xs: None if xs is None else [_loc(x) for x in xs])
 

@@ -57,8 +57,8 @@ def pfair(blocks: dict, weights: dict) -> list[tuple]:
         waiting = [(*job(s), order[s], s) for s in live]
         heapq.heapify(waiting)
         ready: list[tuple] = []
-        ended = None
-        while ended is None:
+        ended = False  # None may be a source
+        while not ended:
             while waiting and waiting[0][0] <= slot:
                 release, due, at, s = heapq.heappop(waiting)
                 heapq.heappush(ready, (due, at, release, s))
@@ -66,11 +66,10 @@ def pfair(blocks: dict, weights: dict) -> list[tuple]:
             out.append((slot, s, done[s], release, due, in_mix))
             done[s] += 1
             slot += 1
-            if done[s] == blocks[s]:
-                ended = s
-            else:
+            ended = done[s] == blocks[s]
+            if not ended:
                 heapq.heappush(waiting, (*job(s), at, s))
-        del live[ended]
+        del live[s]
         in_mix = in_mix and not any(done[s] < n for s, n in blocks.items())
     for s in sorted((s for s in blocks if done[s] < blocks[s]), key=order.get):
         while done[s] < blocks[s]:

@@ -21,10 +21,10 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
+        size = max(n, 1 << 16)
         for k, base in enumerate((BASE, BASE_INVERSE)):
             with np.errstate(over="ignore"):
-                p = np.full(n, base, np.uint64)
+                p = np.full(size, base, np.uint64)
                 p[0] = 1
                 np.multiply.accumulate(p, out=p)
             _powers[k] = p

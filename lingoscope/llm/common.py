@@ -24,6 +24,19 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def bounded_sample(rows: DataFrame, limit: int, id_col: str = "id") -> DataFrame:
+    """At most ``limit`` rows, picked by a hash of their ids.
+
+    A threshold on the hash leaves about half as many again as are wanted, so that no
+    task has more than its share to hand on for the final order.
+    """
+    total = rows.count()
+    h = F.xxhash64(id_col)
+    if total > 1.5 * limit:
+        rows = rows.where(h < int(-(2**63) + 2**64 * (1.5 * limit / total)))
+    return rows.orderBy(h, id_col).limit(limit)
+
+
 def utf8_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, one after another, and the rows' bounds.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import byte_sized, fold_of, narrow, sparing, utf8_of
+from lingoscope.llm.common import bounded_sample, byte_sized, fold_of, narrow, sparing, utf8_of
 
 WIDTHS = (2, 3, 4)  # joined() and predict() are written for these
 FILTERS = 8
@@ -191,8 +191,8 @@ def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[n
         F.expr(f"substring(text, cast(1 + pmod(xxhash64(id, {k}), greatest(1, length(text) - {WINDOW})) as int), {WINDOW})")
         for k in range(WINDOWS_PER_DOC)
     ]
-    cuts = rows.where(length > 0).select("id", "lang", F.array(*cut).alias("cuts"), F.xxhash64("id").alias("h"))
-    held = cuts.orderBy("h", "id").limit(sample_docs).select("lang", "cuts").collect()
+    some = bounded_sample(rows.where(length > 0), sample_docs)
+    held = some.select("lang", F.array(*cut).alias("cuts")).collect()
     x, y = [], []
     for r in held:
         for c in r["cuts"]:

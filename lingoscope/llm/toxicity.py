@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import byte_sized, fold_of, narrow, sparing, utf8_of
+from lingoscope.llm.common import bounded_sample, byte_sized, fold_of, narrow, sparing, utf8_of
 from lingoscope.llm.tokens import text_groups
 
 SAMPLE_DOCS = 20_000
@@ -230,7 +230,7 @@ def spaced_out(chunks: list[str]) -> list[str]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
     """(text, toxic) of a bounded sample, one row for each distinct text."""
     known = narrow(labels, id="doc_id", toxic="toxic").where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & (fold_of(F.col("id")) != 0))
-    some = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    some = bounded_sample(known.groupBy("id").agg(F.max("toxic").alias("toxic")), sample_docs)
     # at most sample_docs rows of two numbers
     texts = narrow(docs, id="doc_id", text="text").join(F.broadcast(some), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     return texts.groupBy(F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))

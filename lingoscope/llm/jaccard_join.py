@@ -57,7 +57,7 @@ BUCKETS = 1 << 18  # of the frequency table, which is broadcast
 MOST_MATCHES = 32  # how far a prefix may be lengthened
 VERIFY_COST = 40.0  # of a candidate's verification, in rows looked at
 MOST_PARTS = 128  # components of a shingle that meet as pairs of rows
-CELL = 512  # sets on a side of a grid's cell
+CELL = 2048  # sets on a side of a grid's cell
 UNSEEN = 0.1  # partners expected of a shingle that the table doesn't show to be frequent
 PIECE = 1 << 21
 
@@ -273,16 +273,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     shown = prefixes(docs, table, words, percent, text_col)
     shown = shown.repartition("shingle").dropDuplicates(["shingle", "set_id"])
     ends = shown.groupBy("shingle").agg(
-        F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.min_by("sizes", "set_id").alias("low_sizes"), F.max_by("sizes", "set_id").alias("high_sizes")
+        F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.min_by("sizes", "set_id").alias("low_sizes"), F.max_by("sizes", "set_id").alias("high_sizes"),
+        F.bool_or("inner").alias("any"),
     )
-    shared = stored(shown.join(ends.where("low <> high"), "shingle"))
+    # the same columns of `shown` on both sides, so that they share one exchange
+    shared = stored(shown.join(ends.where("low <> high and any").drop("any"), "shingle"))
 
     leads = F.array(F.struct(F.col("low").alias("a"), F.col("low_sizes").alias("sizes2")), F.struct(F.col("high").alias("a"), F.col("high_sizes").alias("sizes2")))
     tried = shared.select("set_id", "sizes", F.inline(leads)).where("set_id <> a")
     tried = tried.groupBy("a", F.col("set_id").alias("b"), "sizes", "sizes2").agg(F.count(F.lit(1)).alias("matches"))
     tried = opened(opened(tried), "sizes2", "2")
     # here a few matches in proportion are asked for: what isn't tried now is met later
-    tried = tried.where(f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and matches * 8 >= least(n, n2) * {100 - percent} div 100").select("a", "b")
+    tried = tried.where(f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and matches * 100 >= least(n, n2) * 8").select("a", "b")
     links = stored(verified(tried, classes, docs, words, percent, id_col, text_col))
     parts = stored(connected_components(links, "a", "b")).toDF("set_id", "part")
 

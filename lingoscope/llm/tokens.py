@@ -36,7 +36,7 @@ PLAIN = re.compile(r"(?:[!-;=-~¡-¬®-ſ]|<(?!\|))+\Z")  # no controls, no open
 #: White space that str.split() takes for a separator and the tokenizer doesn't.
 UNLIKE = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(r"[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
-MEMO = 400_000
+MEMO = 300_000
 LONG = 48  # chunks above this length aren't memoised
 END = "</w>"
 NONE = np.int32(2**31 - 1)

@@ -41,7 +41,7 @@ from lingoscope.llm.tokens import text_groups
 SAMPLE_DOCS = 20_000
 FEATURES = 2_048
 LEAST_G2 = 15.0  # evidence a feature needs; about one in 10 ** 4 by chance, which the ridge then weighs
-MEMO = 400_000
+MEMO = 300_000
 
 #: Fixed values of the channel: what a sign may stand for, and what that costs (in nats).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}

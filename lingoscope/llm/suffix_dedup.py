@@ -21,9 +21,11 @@ equal: equal strings have the same smallest hash among their 32-byte substrings.
    cut there.
 
 An anchor with very many different pieces (the edges of a passage that a large
-part of the corpus quotes) is opened to single windows, dealt by the hash of
-their bytes to blocks that are built one after another, so a block's memory
-stays bounded whatever the anchor's count.
+part of the corpus quotes) never comes to one task: its pieces are opened to
+single windows before the sort, and equal ones are counted by grouping on
+their bytes.  There the grouping decides, not the construction.  What most
+pieces share is looked up in a broadcast table, so no key gathers more than
+``COMMON`` rows, and a block's memory stays bounded whatever the anchor's count.
 
 Cases: null text counts as empty; texts below ``LENGTH`` bytes lose nothing; null
 and repeated ids are kept apart by the digests of the pieces; equal rows repeat
@@ -48,6 +50,7 @@ LENGTH = 200
 GRAM = 32
 BLOCK_BYTES = 160_000  # of pieces that are sorted together
 MOST_PIECES = 4_000  # different pieces of one anchor that are sorted as they are
+COMMON = 1_000  # pieces with one window from which it is broadcast; there are at most (windows / COMMON) of those
 PIECE = 1 << 20
 
 _CODE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -133,8 +136,8 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def piece_texts(folded: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, weight, windows, bytes) of each different piece, cut from the text that has it."""
-    lists = folded.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "anchor", "digest", "weight")).alias("pieces"))
+    """(anchor, digest, weight, windows, bytes, crowded) of each different piece, cut from the text that has it."""
+    lists = folded.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "anchor", "digest", "weight", "crowded")).alias("pieces"))
     rows = lists.withColumnRenamed("id", "of").join(docs, F.col("of").eqNullSafe(F.col("id"))).select("text", "pieces")
 
     @sparing
@@ -145,7 +148,7 @@ def piece_texts(folded: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 raw = (column[i].as_py() or "").encode()
                 total, inverse = _sums(np.frombuffer(raw, np.uint8))
                 inner = lists.slice(i, 1).flatten()
-                start, windows, anchor, digest, weight = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                start, windows, anchor, digest, weight, crowded = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(6))
                 end = start + windows + length - 1
                 here = end <= len(raw)
                 same = np.zeros(len(start), bool)
@@ -153,11 +156,11 @@ def piece_texts(folded: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 same[here] = mixed((total[b] - total[a]) * inverse[a] + w.astype(np.uint64)) == digest[here].view(np.uint64)
                 k = np.flatnonzero(same)  # another text with the same id has other pieces there
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[k]), pa.array(digest[k]), pa.array(weight[k]), pa.array(windows[k]), pa.array([raw[start[j] : end[j]] for j in k], pa.binary())],
-                    names=["anchor", "digest", "weight", "windows", "bytes"],
+                    [pa.array(anchor[k]), pa.array(digest[k]), pa.array(weight[k]), pa.array(windows[k]), pa.array([raw[start[j] : end[j]] for j in k], pa.binary()), pa.array(crowded[k])],
+                    names=["anchor", "digest", "weight", "windows", "bytes", "crowded"],
                 )
 
-    return rows.mapInArrow(run, "anchor long, digest long, weight long, windows int, bytes binary")
+    return rows.mapInArrow(run, "anchor long, digest long, weight long, windows int, bytes binary, crowded boolean")
 
 
 def marked_windows(pieces: list[bytes], weights: np.ndarray, windows: np.ndarray, length: int) -> list[np.ndarray]:
@@ -171,42 +174,60 @@ def marked_windows(pieces: list[bytes], weights: np.ndarray, windows: np.ndarray
     return [flat[s : s + w] for s, w in zip(starts.tolist(), windows.tolist())]
 
 
-def opened_group(pieces: list[bytes], weights: np.ndarray, windows: np.ndarray, length: int) -> list[np.ndarray]:
-    """The same for one anchor with very many pieces: window by window, in blocks by their hash."""
-    marks = [np.zeros(w, bool) for w in windows.tolist()]
-    hashes = []
-    for p, w in zip(pieces, windows.tolist()):
-        total, inverse = _sums(np.frombuffer(p, np.uint8))
-        hashes.append(mixed((total[length : length + w] - total[:w]) * inverse[:w]))
-    hashes = np.concatenate(hashes)
-    piece = np.repeat(np.arange(len(pieces)), windows)
-    start = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-    _, same = np.unique(hashes, return_inverse=True)
-    left = np.flatnonzero(np.bincount(same, weights[piece])[same] >= 2)  # a hash of its own means bytes of their own
-    left = left[np.argsort(hashes[left], kind="stable")]
-    step = max(1, 4 * BLOCK_BYTES // length)
-    at = 0
-    while at < len(left):
-        end = min(len(left), at + step)
-        while end < len(left) and hashes[left[end]] == hashes[left[end - 1]]:
-            end += 1
-        some = list(zip(piece[left[at:end]].tolist(), start[left[at:end]].tolist()))
-        at = end
-        # equal windows are one string with a weight; only different ones are sorted
-        table: dict[bytes, int] = {}
-        for i, s in some:
-            key = pieces[i][s : s + length]
-            table[key] = table.get(key, 0) + int(weights[i])
-        keys = list(table)
-        found = marked_windows(keys, np.array(list(table.values()), np.int64), np.ones(len(keys), np.int64), length)
-        twice = {k for k, m in zip(keys, found) if m[0]}
-        for i, s in some:
-            marks[i][s] = pieces[i][s : s + length] in twice
-    return marks
+def opened(pieces: DataFrame, length: int) -> DataFrame:
+    """(anchor, digest, windows, weight, at, window) of every single window."""
+
+    @sparing
+    def run(batches):
+        for batch in batches:
+            for first, n in byte_sized(batch.column("bytes"), BLOCK_BYTES):
+                some = batch.slice(first, n)
+                data, bounds = utf8_of(some.column("bytes"))
+                windows = some.column("windows").to_numpy()
+                piece = np.repeat(np.arange(n), windows)
+                at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+                held = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[bounds[piece] + at])
+                offsets = np.arange(len(piece) + 1, dtype=np.int32) * np.int32(length)
+                window = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+                of = pa.array(piece)
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(c).take(of) for c in ("anchor", "digest", "windows", "weight")), pa.array(at.astype(np.int32)), window],
+                    names=["anchor", "digest", "windows", "weight", "at", "window"],
+                )
+
+    return pieces.mapInArrow(run, "anchor long, digest long, windows int, weight long, at int, window binary")
+
+
+def crowded_marks(pieces: DataFrame, length: int) -> DataFrame:
+    """What ``marks`` gives, for the pieces of crowded anchors: window by window."""
+    single = opened(pieces, length)
+    counts = single.groupBy("anchor", "window").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    twice = stored(counts.where("n > 1").select("anchor", "window", (F.col("pieces") > COMMON).alias("common")))
+    key = ["anchor", "window"]
+    common, rare = F.broadcast(twice.where("common")), twice.where("not common").select(*key)
+    split = single.drop("weight").join(common, key, "left")
+    # the rare windows have at most COMMON rows each; no row of a common one takes part in that shuffle
+    left = split.where("common is null").drop("common").join(rare, key)
+    found = split.where("common").drop("common").unionByName(left)
+    lists = found.groupBy("anchor", "digest", "windows").agg(F.collect_list("at").alias("at"))
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for at, n in zip(batch.column("at"), batch.column("windows").to_pylist()):
+                flat = np.zeros(n, bool)
+                flat[at.values.to_numpy()] = True
+                out.append(np.packbits(flat).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("digest"), pa.array(out, pa.binary())], names=["anchor", "digest", "marks"])
+
+    return lists.mapInArrow(pack, "anchor long, digest long, marks binary")
 
 
 def marks(pieces: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, marks): the windows of each piece, as packed bits, that occur elsewhere."""
+    """(anchor, digest, marks): the windows of each piece, as packed bits, that occur elsewhere.
+
+    No anchor has more than ``MOST_PIECES`` pieces here.
+    """
     sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor")
 
     @sparing
@@ -214,32 +235,23 @@ def marks(pieces: DataFrame, length: int) -> DataFrame:
         def block(rows):
             texts = [r[4] for r in rows]
             weights, windows = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-            alone = rows[0][0] == rows[-1][0] and len(rows) > MOST_PIECES
-            found = (opened_group if alone else marked_windows)(texts, weights, windows, length)
+            found = marked_windows(texts, weights, windows, length)
             some = [k for k, m in enumerate(found) if m.any()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([rows[k][0] for k in some], pa.int64()), pa.array([rows[k][1] for k in some], pa.int64()), pa.array([np.packbits(found[k]).tobytes() for k in some], pa.binary())],
                 names=["anchor", "digest", "marks"],
             )
 
-        held, size, group, group_size = [], 0, [], 0
+        held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if group and row[0] != group[0][0]:
-                    if len(group) > MOST_PIECES:
-                        yield block(group)
-                    else:
-                        held += group
-                        size += group_size
-                    group, group_size = [], 0
-                    if size >= BLOCK_BYTES:
-                        yield block(held)
-                        held, size = [], 0
-                group.append(row)
-                group_size += len(row[4])
-        for rest in ([group, held] if len(group) > MOST_PIECES else [held + group]):
-            if rest:
-                yield block(rest)
+                if size >= BLOCK_BYTES and row[0] != held[-1][0]:
+                    yield block(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield block(held)
 
     return sorted_.mapInArrow(run, "anchor long, digest long, marks binary")
 
@@ -298,8 +310,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     pieces = scan(rows, length, gram)
     repeated = pieces.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     places = stored(pieces.drop("times").join(repeated, "anchor"))
-    folded = places.groupBy("anchor", "digest", "windows").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.min_by("start", "id").alias("start"))
-    found = stored(marks(piece_texts(folded, rows, length), length))
+    folded = stored(places.groupBy("anchor", "digest", "windows").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.min_by("start", "id").alias("start")))
+    crowds = stored(folded.groupBy("anchor").count().where(F.col("count") > MOST_PIECES).select("anchor", F.lit(True).alias("crowded")))
+    if crowds.isEmpty():
+        found = marks(piece_texts(folded.withColumn("crowded", F.lit(False)), rows, length), length)
+    else:
+        # of the pieces' number at most one in MOST_PIECES, so small enough to broadcast
+        flagged = folded.join(F.broadcast(crowds), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        pieces = stored(piece_texts(flagged, rows, length))
+        found = marks(pieces.where("not crowded"), length).unionByName(crowded_marks(pieces.where("crowded"), length))
+    found = stored(found)
     here = places.join(found, ["anchor", "digest"]).select("id", "start", "windows", "digest", "marks")
     out = cut_texts(rows, here, length, texts)
     return (out if texts else out.drop("kept")).withColumnRenamed("id", id_col)

@@ -314,6 +314,27 @@ def test_repeated_substrings_against_brute_force(spark, monkeypatch, most):
     assert [got[i] for i in range(len(texts))] == cut(texts, 200)
 
 
+@pytest.mark.parametrize("common", [1000, 1])
+def test_no_task_holds_a_crowded_anchor(spark, monkeypatch, common):
+    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", 5)
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
+    held, plain = [], suffix_dedup.marks
+
+    def seen(pieces, length):
+        held.append(max((r["count"] for r in pieces.groupBy("anchor").count().collect()), default=0))
+        return plain(pieces, length)
+
+    monkeypatch.setattr(suffix_dedup, "marks", seen)
+    rng = np.random.default_rng(6)
+    prose = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, other = prose(320), prose(230)
+    texts = [prose(int(k)) + passage + prose(int(k)) for k in rng.integers(20, 150, 30)] + [prose(60) + other, other + prose(60), prose(500), texts_twice := prose(300), texts_twice]
+    rows = [(i, t, None, None, None, None, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: tuple(r[1:5]) + (bytes(r["kept"]),) for r in suffix_dedup.without_repeats(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == cut(texts, 200)
+    assert held and max(held) <= 5
+
+
 def test_repeated_substrings_of_awkward_rows(spark):
     got = suffix_dedup.without_repeats(table(spark)).collect()
     want = cut([r[1] for r in awkward()], 200)

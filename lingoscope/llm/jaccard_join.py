@@ -28,7 +28,7 @@ look at, texts to verify) falls; that many more matches are then required.
    the cells of a grid, and each cell compares its sets in memory and returns no
    more than one link for two components.
 5. Verification compares the whole texts' sets; a pair's texts come by joins on
-   the id.
+   their rows' keys, digests of id and text.
 
 The result is exact for components at any frequency table, since the table only
 orders the shingles.  Hash values are 64 bits for a shingle and 128 for a set.
@@ -36,7 +36,8 @@ orders the shingles.  Hash values are 64 bits for a shingle and 128 for a set.
 Cases: null or empty text, or one without words, has no shingles and links with
 nothing; fewer words than a shingle make one shingle; equal rows are one class;
 rows with equal ids but different texts are verified against the text that bears
-the digest; an empty table gives an empty result.
+the digest; rows without an id link and bridge as others do, but a component of
+nothing else has a null id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,8 +68,20 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return int(mixed(s, 1).sum().view(np.int64)), int(mixed(s, 2).sum().view(np.int64))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key): a row's own key, whether it has an id or not."""
+    return narrow(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
+
+
+def keyed_texts(docs: DataFrame, nameless: bool, id_col: str, text_col: str) -> DataFrame:
+    """(key, text) of all rows; equal ones without an id (there are some if ``nameless``) once."""
+    rows = keyed(docs, id_col, text_col)
+    texts = rows.where("id is not null").select("key", "text")
+    return texts.union(rows.where("id is null").select("key", "text").distinct()) if nameless else texts
+
+
 def digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n, set_id, check) for documents, and (bucket, amount) for the frequency table."""
+    """Rows (id, key, n, set_id, check) for documents, and (bucket, amount) for the frequency table."""
 
     @sparing
     def run(batches):
@@ -84,20 +97,20 @@ def digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
                     amounts += np.bincount((np.concatenate(small) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
                 none = pa.nulls(n, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(start, n), pa.array([len(s) for s in sets], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, pa.nulls(n, pa.int64())],
-                    names=["id", "n", "set_id", "check", "bucket", "amount"],
+                    [batch.column("id").slice(start, n), batch.column("key").slice(start, n), pa.array([len(s) for s in sets], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, pa.nulls(n, pa.int64())],
+                    names=["id", "key", "n", "set_id", "check", "bucket", "amount"],
                 )
         at = np.flatnonzero(amounts)
         k = len(at)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, id_type), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(at, pa.int32()), pa.array(amounts[at], pa.int64())],
-            names=["id", "n", "set_id", "check", "bucket", "amount"],
+            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(at, pa.int32()), pa.array(amounts[at], pa.int64())],
+            names=["id", "key", "n", "set_id", "check", "bucket", "amount"],
         )
 
-    rows = narrow(docs, id=id_col, text=text_col)
+    rows = keyed(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return rows.mapInArrow(run, f"id {kind}, n int, set_id long, check long, bucket int, amount long")
+    return rows.mapInArrow(run, f"id {kind}, key long, n int, set_id long, check long, bucket int, amount long")
 
 
 def matches_to_ask(n: int, frequency: np.ndarray, percent: int = PERCENT) -> int:
@@ -172,13 +185,12 @@ def enough(percent: int) -> str:
     return f"n * 100 >= n2 * {percent} and matches >= least({outer}, {inner}) + {share}"
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose texts' sets are linked."""
-    texts = narrow(docs, id=id_col, text=text_col).where(F.col("id").isNotNull())
     of = classes.select("set_id", "rep")
-    named = pairs.join(of.toDF("a", "id_a"), "a").join(of.toDF("b", "id_b"), "b")
-    with_b = named.join(texts.toDF("id_b", "text_b"), "id_b").select("a", "b", "id_a", "text_b")
-    with_both = with_b.join(texts.toDF("id_a", "text_a"), "id_a").select("a", "b", "text_a", "text_b")
+    named = pairs.join(of.toDF("a", "key_a"), "a").join(of.toDF("b", "key_b"), "b")
+    with_b = named.join(texts.toDF("key_b", "text_b"), "key_b").select("a", "b", "key_a", "text_b")
+    with_both = with_b.join(texts.toDF("key_a", "text_a"), "key_a").select("a", "b", "text_a", "text_b")
 
     @sparing
     def run(batches):
@@ -239,12 +251,11 @@ def links_in_cell(sets: list[np.ndarray], ids: np.ndarray, parts: np.ndarray, si
     return out
 
 
-def grid_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def grid_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between the members (low, set_id, part) of each ``low``, cell by cell."""
-    texts = narrow(docs, id=id_col, text=text_col).where(F.col("id").isNotNull())
     blocks = members.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("blocks"))
     rows = members.join(blocks, "low").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("set_id", F.col("rep").alias("id")), "set_id").join(texts, "id")
+    rows = rows.join(classes.select("set_id", F.col("rep").alias("key")), "set_id").join(texts, "key")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("low", F.least("side", "other").alias("row"), F.greatest("side", "other").alias("column"), "side", "set_id", "part", "text")
 
@@ -252,7 +263,7 @@ def grid_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: i
         column = table.column("text").combine_chunks()
         sets = [s for start, n in byte_sized(column, PIECE) for s in shingle_sets(column.slice(start, n), words)]
         ids, parts, sides = (table.column(c).to_numpy() for c in ("set_id", "part", "side"))
-        # of rows with one id, those that bear the set
+        # of rows with one key, those that bear the set
         keep = [k for k, s in enumerate(sets) if len(s) and _digest(s)[0] == ids[k]]
         found = links_in_cell([sets[k] for k in keep], ids[keep], parts[keep], sides[keep], percent) if keep else []
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
@@ -264,11 +275,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """id, n_shingles, component_id (the smallest id reachable by links) for every row."""
     spark = docs.sparkSession
     first = stored(digests(docs, words, id_col, text_col))
-    sets = first.where("bucket is null").select("id", "n", "set_id", "check")
+    sets = first.where("bucket is null").select("id", "key", "n", "set_id", "check")
     table = np.zeros(BUCKETS, np.int64)
     amounts = first.where("bucket is not null").groupBy("bucket").agg(F.sum("amount").alias("amount")).toArrow()  # BUCKETS rows at most
     table[amounts["bucket"].to_numpy()] = amounts["amount"].to_numpy()
-    classes = sets.where("n > 0").groupBy("set_id", "check", "n").agg(F.min("id").alias("rep"))
+    classes = sets.where("n > 0").groupBy("set_id", "check", "n").agg(F.min("key").alias("rep"))
+    texts = keyed_texts(docs, not sets.where("id is null").isEmpty(), id_col, text_col)
 
     shown = prefixes(docs, table, words, percent, text_col)
     shown = shown.repartition("shingle").dropDuplicates(["shingle", "set_id"])
@@ -285,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tried = opened(opened(tried), "sizes2", "2")
     # here a few matches in proportion are asked for: what isn't tried now is met later
     tried = tried.where(f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and matches * 100 >= least(n, n2) * 8").select("a", "b")
-    links = stored(verified(tried, classes, docs, words, percent, id_col, text_col))
+    links = stored(verified(tried, classes, texts, words, percent))
     parts = stored(connected_components(links, "a", "b")).toDF("set_id", "part")
 
     rows = shared.select("shingle", "low", "set_id", "inner", "sizes").join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
@@ -294,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     spread = rows.select("shingle", "part").distinct().groupBy("shingle").count()
     crowded = stored(spread.where(f"count > {MOST_PARTS}").select("shingle"))
     members = stored(rows.join(crowded, "shingle", "left_semi").select("low", "set_id", "part").distinct())
-    more = stored(grid_links(members, classes, docs, words, percent, id_col, text_col)) if not members.isEmpty() else None
+    more = stored(grid_links(members, classes, texts, words, percent)) if not members.isEmpty() else None
     # a pair that shares a crowded shingle has met; any other shares none, so its count is whole without them
     rows = rows.join(crowded, "shingle", "left_anti")
     inner = rows.where("inner").select("shingle", "part", F.col("set_id").alias("a"), "sizes")
@@ -309,7 +321,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = stored(pairs.where(enough(percent)).select("a", "b"))
     later = [] if more is None else [more]
     if not pairs.isEmpty():
-        later.append(stored(verified(pairs, classes, docs, words, percent, id_col, text_col)))
+        later.append(stored(verified(pairs, classes, texts, words, percent)))
     later = [x for x in later if not x.isEmpty()]
     for x in later:
         links = links.union(x)

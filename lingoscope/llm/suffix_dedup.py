@@ -13,11 +13,11 @@ equal: equal strings have the same smallest hash among their 32-byte substrings.
 2. Anchors that occur once in the corpus are dropped: their windows are unique.
    (A piece that repeats itself has its anchor in two places, and counts twice.)
    Equal pieces are folded to one with a weight.
-3. The texts of the remaining different pieces, joined by id, are brought together
+3. The texts of the remaining different pieces, joined by their row's key, are brought together
    by anchor.  Each task builds the sorted suffixes and common prefixes of its
    pieces by the column-wise construction (see column_bwt), a block of anchors at
    a time; suffixes that share ``LENGTH`` bytes and weigh two or more are marked.
-4. Marks go back to all places of their pieces, and by id to the texts, which are
+4. Marks go back to all places of their pieces, and by key to the texts, which are
    cut there.
 
 An anchor with very many different pieces (the edges of a passage that a large
@@ -27,9 +27,10 @@ their bytes.  There the grouping decides, not the construction.  What most
 pieces share is looked up in a broadcast table, so no key gathers more than
 ``COMMON`` rows, and a block's memory stays bounded whatever the anchor's count.
 
-Cases: null text counts as empty; texts below ``LENGTH`` bytes lose nothing; null
-and repeated ids are kept apart by the digests of the pieces; equal rows repeat
-each other; an empty table gives an empty result.
+Cases: null text counts as empty; texts below ``LENGTH`` bytes lose nothing; a
+row's key is a digest of its id and text, so rows with null or repeated ids are
+told apart (and what two keys might share, by the digests of the pieces); equal
+rows repeat each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,18 +128,17 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 data, bounds = utf8_of(batch.column("text").slice(first, n))
                 of, start, count, anchor, digest, times = pieces_of(data, bounds, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(of + first)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(times.astype(np.int32))],
-                    names=["id", "start", "windows", "anchor", "digest", "times"],
+                    [batch.column("key").take(pa.array(of + first)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(times.astype(np.int32))],
+                    names=["key", "start", "windows", "anchor", "digest", "times"],
                 )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, start int, windows int, anchor long, digest long, times int")
+    return docs.select("key", "text").mapInArrow(run, "key long, start int, windows int, anchor long, digest long, times int")
 
 
 def piece_texts(folded: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """(anchor, digest, weight, windows, bytes, crowded) of each different piece, cut from the text that has it."""
-    lists = folded.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "anchor", "digest", "weight", "crowded")).alias("pieces"))
-    rows = lists.withColumnRenamed("id", "of").join(docs, F.col("of").eqNullSafe(F.col("id"))).select("text", "pieces")
+    lists = folded.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "digest", "weight", "crowded")).alias("pieces"))
+    rows = lists.join(docs, "key").select("text", "pieces")
 
     @sparing
     def run(batches):
@@ -154,7 +154,7 @@ def piece_texts(folded: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 same = np.zeros(len(start), bool)
                 a, b, w = start[here], end[here], windows[here]
                 same[here] = mixed((total[b] - total[a]) * inverse[a] + w.astype(np.uint64)) == digest[here].view(np.uint64)
-                k = np.flatnonzero(same)  # another text with the same id has other pieces there
+                k = np.flatnonzero(same)  # another text with the same key has other pieces there
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[k]), pa.array(digest[k]), pa.array(weight[k]), pa.array(windows[k]), pa.array([raw[start[j] : end[j]] for j in k], pa.binary()), pa.array(crowded[k])],
                     names=["anchor", "digest", "weight", "windows", "bytes", "crowded"],
@@ -209,7 +209,7 @@ def crowded_marks(pieces: DataFrame, length: int) -> DataFrame:
     # the rare windows have at most COMMON rows each; no row of a common one takes part in that shuffle
     left = split.where("common is null").drop("common").join(rare, key)
     found = split.where("common").drop("common").unionByName(left)
-    lists = found.groupBy("anchor", "digest", "windows").agg(F.collect_list("at").alias("at"))
+    lists = found.groupBy("anchor", "digest", "windows").agg(F.collect_set("at").alias("at"))
 
     def pack(batches):
         for batch in batches:
@@ -228,7 +228,7 @@ def marks(pieces: DataFrame, length: int) -> DataFrame:
 
     No anchor has more than ``MOST_PIECES`` pieces here.
     """
-    sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor")
+    sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor", "digest")
 
     @sparing
     def run(batches):
@@ -248,8 +248,9 @@ def marks(pieces: DataFrame, length: int) -> DataFrame:
                 if size >= BLOCK_BYTES and row[0] != held[-1][0]:
                     yield block(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                if not held or row != held[-1]:  # equal rows of the table give a piece more than once
+                    held.append(row)
+                    size += len(row[4])
         if held:
             yield block(held)
 
@@ -258,8 +259,9 @@ def marks(pieces: DataFrame, length: int) -> DataFrame:
 
 def cut_texts(docs: DataFrame, places: DataFrame, length: int, texts: bool) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every text; ``kept`` is what remains, as bytes, if asked for."""
-    lists = places.groupBy("id").agg(F.collect_list(F.struct("start", "windows", "digest", "marks")).alias("places"))
-    rows = docs.join(lists.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "places")
+    # a set, as equal rows have one key and equal places: a list holds one text's places, however many rows bear it
+    lists = places.groupBy("key").agg(F.collect_set(F.struct("start", "windows", "digest", "marks")).alias("places"))
+    rows = docs.join(lists, "key", "left").select("id", "text", "places")
 
     @sparing
     def run(batches):
@@ -306,11 +308,11 @@ def cut_texts(docs: DataFrame, places: DataFrame, length: int, texts: bool) -> D
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the remaining bytes) for every row."""
-    rows = narrow(docs, id=id_col, text=text_col)
+    rows = narrow(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
     pieces = scan(rows, length, gram)
     repeated = pieces.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     places = stored(pieces.drop("times").join(repeated, "anchor"))
-    folded = stored(places.groupBy("anchor", "digest", "windows").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("id"), F.min_by("start", "id").alias("start")))
+    folded = stored(places.groupBy("anchor", "digest", "windows").agg(F.count(F.lit(1)).alias("weight"), F.min("key").alias("key"), F.min_by("start", "key").alias("start")))
     crowds = stored(folded.groupBy("anchor").count().where(F.col("count") > MOST_PIECES).select("anchor", F.lit(True).alias("crowded")))
     if crowds.isEmpty():
         found = marks(piece_texts(folded.withColumn("crowded", F.lit(False)), rows, length), length)
@@ -320,6 +322,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
         pieces = stored(piece_texts(flagged, rows, length))
         found = marks(pieces.where("not crowded"), length).unionByName(crowded_marks(pieces.where("crowded"), length))
     found = stored(found)
-    here = places.join(found, ["anchor", "digest"]).select("id", "start", "windows", "digest", "marks")
+    here = places.join(found, ["anchor", "digest"]).select("key", "start", "windows", "digest", "marks")
     out = cut_texts(rows, here, length, texts)
     return (out if texts else out.drop("kept")).withColumnRenamed("id", id_col)

@@ -273,6 +273,20 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert jaccard_join.near_duplicates(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [128, 1])
+def test_rows_without_an_id_bridge_near_duplicates(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard_join, "MOST_PARTS", crowd)
+    words = [f"w{i}" for i in range(120)]
+    chain = [" ".join([*(f"x{j}" for j in range(10 * k)), *words[10 * k :]]) for k in range(4)]  # neighbours are linked, others are not
+    ids = [1, None, None, 2]
+    rows = [(i, t, *[None] * 7) for i, t in zip([*ids, None, None, 7], [*chain, chain[1], "one two three four five", "six seven eight nine ten"])]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(table(spark, rows)).collect()]
+    part = components([r[1] for r in rows])
+    assert len({c for _, c in part}) == 3
+    lowest = {c: min((r[0] for r, (_, d) in zip(rows, part) if c == d and r[0] is not None), default=None) for _, c in part}
+    assert by_all(got) == by_all((r[0], n, lowest[c]) for r, (n, c) in zip(rows, part))
+
+
 def test_shingle_hashes_agree_with_sets():
     import pyarrow as pa
 
@@ -342,6 +356,17 @@ def test_repeated_substrings_of_awkward_rows(spark):
     assert suffix_dedup.without_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [4000, 1])
+def test_repeats_among_rows_without_an_id(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", most)
+    rng = np.random.default_rng(12)
+    prose = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, copy = prose(300), prose(400)
+    texts = [prose(50) + passage + prose(70), prose(90) + passage, copy, copy, copy, prose(500), prose(300)]
+    got = suffix_dedup.without_repeats(table(spark, [(None if i < 6 else i, t, *[None] * 7) for i, t in enumerate(texts)])).collect()
+    assert by_all((*r[1:5], bytes(r["kept"])) for r in got) == by_all(cut(texts, 200))
+
+
 @pytest.mark.parametrize("word", [1, 3, 8, 40])
 def test_column_wise_construction_sorts_suffixes(word):
     rng = np.random.default_rng(word)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lingoscope.operators.storage import stored
 
 MAX_ROUNDS = 60
+MAX_STEPS = 100_000  # of reachable without a depth: far above any crawl's, so that going on for ever is an error
+CUT_STEPS = 20  # after so many the found nodes are stored again, which keeps plans short
 
 
 def _lowest_neighbour(edges: DataFrame) -> DataFrame:
@@ -42,15 +44,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = 100) -> DataFrame:
-    """(node, depth): nodes reached from the single-column ``start`` and in how few steps."""
+def reachable(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", max_depth: int | None = None) -> DataFrame:
+    """(node, depth): nodes reached from the single-column ``start`` and in how few steps.
+
+    Runs until no step finds anything new, unless a depth is asked for.
+    """
     frontier = stored(start.toDF("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("to"))
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, (MAX_STEPS if max_depth is None else max_depth) + 1):
         reached = frontier.join(steps, "node").select(F.col("to").alias("node")).where("node is not null").distinct()
         frontier = stored(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if depth % CUT_STEPS == 0:
+            seen = stored(seen)
+    else:
+        if max_depth is None:
+            raise RuntimeError(f"reachability did not end in {MAX_STEPS} steps")
     return seen

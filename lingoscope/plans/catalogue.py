@@ -15,6 +15,7 @@ from lingoscope.functions.locale import LANGUAGES, locale_from_path
 from lingoscope.functions.urls import page_url, path_of
 from lingoscope.operators.graph import connected_components, reachable
 from lingoscope.operators.intervals import bursts, stopped_by_rate
+from lingoscope.operators.storage import stored
 from lingoscope.plans import reports, rules, runs
 from lingoscope.schema import FAILURE_BURST, FAILURE_RATE, FAILURE_SAMPLE
 from lingoscope.sources.pages import crawled
@@ -152,10 +153,18 @@ def variant_components(spark, sf_dir):
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), bo AS (SELECT host AS u, part AS v FROM e UNION SELECT part, host FROM e),
     reach(node, depth) AS (SELECT min(host), 0 FROM e UNION SELECT bo.v, depth + 1 FROM reach JOIN bo ON reach.node = bo.u WHERE depth < 6) SELECT node, min(depth) AS depth FROM reach GROUP BY node""")
 def frontier_reachability(spark, sf_dir):
+    """The first six steps, as the SQL asks (frontier_closure takes all)."""
     e = _host_parts(spark, sf_dir)
     return reachable(e.union(e.select("dst", "src")), e.agg(F.min("src")), max_depth=6)
 
 
+@query()
+def frontier_closure(spark, sf_dir):
+    """All that the first host reaches, however far."""
+    e = stored(_host_parts(spark, sf_dir))
+    return reachable(e.union(e.select("dst", "src")), e.agg(F.min("src")))
+
+
 @query(f"""WITH p AS (SELECT {_URL} AS u, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, {_LOCALE} AS locale, page_id % 7 = 0 AS broken FROM pages),
     fam AS (SELECT host FROM p GROUP BY host HAVING count(*) >= 2), cols(ix, l) AS (VALUES (0, 'en'), (1, 'de'), (2, 'fr'), (3, 'es'), (4, 'it')),
     cells AS (SELECT host, ix, coalesce((SELECT min_by(CASE WHEN broken THEN 'broken' ELSE 'present' END, (u, locale, broken)) FROM p WHERE p.host = fam.host AND locale = l), 'missing') AS cell FROM fam, cols),

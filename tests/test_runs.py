@@ -2,12 +2,14 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from crawls import BASE
 from pyspark.sql import functions as F
 
+from lingoscope.operators import graph
 from lingoscope.operators.graph import connected_components, reachable
 from lingoscope.operators.intervals import bursts, stopped_by_rate
-from lingoscope.plans import findings, reports, runs
+from lingoscope.plans import catalogue, findings, reports, runs
 from lingoscope.schema import RULES
 from lingoscope.sources import snapshots
 
@@ -28,6 +30,31 @@ def test_components_and_reach(spark):
     assert far == {1: 0, 2: 1, 3: 2, 30: 3, 31: 4}
 
 
+def test_reach_has_no_end_but_the_last_node(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CUT_STEPS", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(110)] + [(110, 0), (50, 3)], "src long, dst long")
+    one = spark.createDataFrame([(0,)], "n long")
+    assert {r["node"]: r["depth"] for r in reachable(edges, one).collect()} == {i: i for i in range(111)}
+    monkeypatch.setattr(graph, "MAX_STEPS", 5)
+    with pytest.raises(RuntimeError):
+        reachable(edges, one)
+    assert reachable(edges, one, max_depth=4).count() == 5
+
+
+def test_frontier_closure_against_breadth_first_search(spark):
+    sf = "/root/testdata/sf0.01"
+    near = {}
+    for r in catalogue._host_parts(spark, sf).collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+        near.setdefault(r["dst"], set()).add(r["src"])
+    first = min(r["src"] for r in catalogue._host_parts(spark, sf).collect())
+    want, rim = {first: 0}, [first]
+    while rim:
+        rim = sorted({n for x in rim for n in near[x]} - want.keys())
+        want |= {n: max(want.values()) + 1 for n in rim}
+    assert {r["node"]: r["depth"] for r in catalogue.frontier_closure(spark, sf).collect()} == want
+
+
 def test_comparability(spark):
     df = run_rows(spark, [("a", 1, True, SCOPE, ["x"]), ("b", 2, None, SCOPE, ["x"]), ("c", 3, False, SCOPE, ["x"]), ("d", 4, True, SCOPE, ["x"]), ("e", 5, True, SCOPE, ["x", "y"]), ("f", 6, True, (["/a"], [], ["en"]), ["y", "x"]), ("g", 7, True, (["/a"], [], ["en"]), ["x", "y", "x"])])
     got = {r["run_id"]: r["reason"] for r in runs.with_predecessor(df).collect()}

@@ -5,7 +5,8 @@
    like.  There are at most 27 ** 4 of them.
 2. Channel: a written character stands for itself, for a letter it resembles
    (leetspeak), for nothing (separators and decoration), or it repeats the one
-   before; single letters set apart by blanks may be one word.  Each choice has
+   before; between single letters set apart by blanks, each blank may stand for
+   nothing or for the end of a word.  Each choice has
    a cost; Viterbi finds the reading of least cost and highest probability.
 3. Score: words of the text as written and as restored, and their beginnings,
    are the features of a logistic regression learnt from labels; a feature's
@@ -60,6 +61,9 @@ ACCENTED[ord("æ")] = "ae"
 
 WORD = re.compile(r"[a-z]+")
 SPAN = re.compile(r"[a-z0-9@$!|+(€.\-_*~'#%&^=,;:)]+")
+SPACED = re.compile(SPAN.pattern.replace("[", "[ ", 1))
+ONE_LETTER = re.compile(r"[\W_]*[^\W_][\W_]*")
+EDGE = "`"  # the letter before a: symbol 0 of the model, a word's edge
 NEEDS = re.compile(r"[a-z][^a-z\s]+[a-z]|[0-9@$!|+(€][a-z]|[a-z][0-9@$!|+(€]|([a-z])\1\1")
 
 Model = namedtuple("Model", "log4 weights bias")
@@ -144,7 +148,7 @@ def log_model(counts: np.ndarray, strength: float = 4.0) -> np.ndarray:
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """Readings of each place: (letters, cost).  A run of three or more counts as one place."""
+    """Readings of each place: (letters, cost).  A run of three or more counts as one place, with or without blanks in it."""
     out, i = [], 0
     while i < len(span):
         c = span[i]
@@ -152,6 +156,15 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         while j < len(span) and span[j] == c:
             j += 1
         n = j - i
+        if c == " ":
+            out.append([("", 0.0), (EDGE, 0.0)])
+            i = j
+            continue
+        far, total = j, n
+        while span[far : far + 2] == " " + c:
+            far, total = far + 2, total + 1
+        if total >= 3:
+            j, n = far, total
         if "a" <= c <= "z":
             if n >= 3:
                 out.append([(c, COLLAPSE_COST), (c * 2, COLLAPSE_COST)])
@@ -168,7 +181,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(span: str, log4: np.ndarray) -> str:
-    """The likeliest reading of a span, as letters (Viterbi over the last three)."""
+    """The likeliest reading of a span, as letters and edges of words (Viterbi over the last three)."""
     states = {0: (0.0, None)}  # the last three symbols, base 27 -> (score, (what came before, letters))
     for place in lattice(span):
         then: dict[int, tuple] = {}
@@ -176,13 +189,15 @@ def decode(span: str, log4: np.ndarray) -> str:
             for letters, cost in place:
                 s, k = score - cost, context
                 for x in letters:
+                    if x == EDGE and k % 27 == 0:  # a word has just ended, or none has begun
+                        continue
                     code = k * 27 + ord(x) - 96
                     s += float(log4[code])
                     k = code % 19683
                 if k not in then or s > then[k][0]:
                     then[k] = (s, (path, letters))
         states = then
-    _, path = max(((s + float(log4[k * 27]), path) for k, (s, path) in states.items()), key=lambda x: x[0])
+    _, path = max(((s + (0.0 if k and k % 27 == 0 else float(log4[k * 27])), path) for k, (s, path) in states.items()), key=lambda x: x[0])
     read = []
     while path:
         path, letters = path
@@ -196,10 +211,12 @@ def words_of(chunk: str, log4: np.ndarray) -> set[str]:
     words = set(WORD.findall(plain))
     spaced = " " in plain
     if spaced:
-        plain = plain.replace(" ", "")
-    elif not NEEDS.search(plain):
+        for span in SPACED.findall(plain):
+            words.update(w for w in decode(span, log4).split(EDGE) if w)
         return words
-    words.update(decode(span, log4) for span in SPAN.findall(plain) if spaced or NEEDS.search(span))
+    if not NEEDS.search(plain):
+        return words
+    words.update(decode(span, log4) for span in SPAN.findall(plain) if NEEDS.search(span))
     return words
 
 
@@ -214,14 +231,14 @@ def features_of(words) -> set[str]:
 
 
 def spaced_out(chunks: list[str]) -> list[str]:
-    """Runs of four or more single characters, joined by blanks."""
-    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    single = np.flatnonzero(lengths == 1)
-    if len(single) < 4:
+    """Runs of four or more single characters or of three with two letters, each perhaps with marks, joined by blanks."""
+    # a longer chunk is of one letter only if a mark is at one of its ends
+    single = np.flatnonzero([len(c) == 1 or (not (c[0].isalnum() and c[-1].isalnum()) and ONE_LETTER.fullmatch(c) is not None) for c in chunks])
+    if len(single) < 3:
         return []
     cuts = np.flatnonzero(np.diff(single) > 1) + 1
-    runs = [r for r in np.split(single, cuts) if len(r) >= 4]
-    return [" ".join(chunks[r[0] : r[-1] + 1]) for r in runs if len(set(chunks[r[0] : r[-1] + 1])) > 2]
+    runs = [chunks[r[0] : r[-1] + 1] for r in np.split(single, cuts) if len(r) >= 3]
+    return [" ".join(r) for r in runs if len(set(r)) > 2 and (len(r) >= 4 or sum(any(x.isalpha() for x in c) for c in r) >= 2)]
 
 
 # ---------------------------------------------------------------- learning

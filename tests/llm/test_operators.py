@@ -426,6 +426,14 @@ def test_obfuscated_words_are_restored(written):
     assert z > 0 and hits == 1
 
 
+@pytest.mark.parametrize("written, words", [("you i d i o t!", {"idiot"}), ("what a s t u p i d man", {"stupid"}), ("he is a m o r o n.", {"moron"}), ("so s t u p i d i d i o t today", {"stupid", "idiot"}), ("i. d. i. o. t.", {"idiot"}), ('"i d i o t" he', {"idiot"}), ("s t u u u p i d", {"stupid"}), ("the o l d house", {"old"})])
+def test_words_set_apart_are_read_with_marks_and_neighbours(written, words):
+    m = model()
+    m.weights["old"] = 9.0
+    (found,) = toxicity.Reader(m).hits([written])
+    assert set(found) - {"stupi*"} == words
+
+
 def test_clean_words_stay_clean():
     reader = toxicity.Reader(model())
     assert all(h == 0 for _, h in reader.logits(["the house, near 100 trees", "a b", "", "e=mc2 (1999)", "hash 3f2a9c"]))

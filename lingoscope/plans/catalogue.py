@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lingoscope.functions import bands, html
 from lingoscope.functions.locale import LANGUAGES, locale_from_path
-from lingoscope.functions.urls import page_url, path_of
+from lingoscope.functions.urls import origin_of, page_url, path_of
 from lingoscope.operators.graph import connected_components, reachable
 from lingoscope.operators.intervals import bursts, stopped_by_rate
 from lingoscope.operators.storage import stored
@@ -183,18 +183,34 @@ def parity_grid(spark, sf_dir):
 
 @query()
 def detect_findings(spark, sf_dir):
-    """All rules over the pages as one crawl of one site, whose every eleventh page is gone."""
-    pages = table(spark, sf_dir, "pages")
-    url = F.regexp_replace("url", r"^https?://[^/?#]+", "https://site.example")
-    fetched = pages.dropDuplicates(["url"]).select(
-        F.lit("r1").alias("run_id"), url.alias("url"), F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("http_status"), F.lit(None).cast("string").alias("fetch_error"),
+    """The rules over all pages: a run for each origin, whose every eleventh page is gone.
+
+    Of rows with one address that of the smallest page_id is the page.  The tables
+    have no sitemap, robots rules, fetches of other sites or images, certificates,
+    browser or picture observations, redirects or headers; the rules that read
+    those (certificate_problem, security_header_contradiction, sitemap_url_failed,
+    page_missing_from_sitemap, robots_blocks_indexable, link_external_broken,
+    redirect_chain, image_oversized, console_error, visual_changed, and the
+    X-Robots-Tag in noindex_present) have nothing to judge here.
+    """
+    fetched = _one_of_each_address(table(spark, sf_dir, "pages")).select(
+        "run_id", "url", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("http_status"), F.lit(None).cast("string").alias("fetch_error"),
         F.lit("text/html").alias("content_type"), F.create_map().cast("map<string,string>").alias("headers"), "html",
     )
-    fetched = fetched.withColumn("_u", page_url(F.col("url"))).dropDuplicates(["_u"]).drop("_u")
-    run = spark.createDataFrame(
-        [("r1", "https://site.example/", True, False, "https://site.example/", ["en", "de"], [], [], [], False, False, True, None, None, None)], rules.S.RUNS
-    )
-    return rules.detect(rules.Crawl(spark, crawled(fetched), run))
+    base, none = F.concat("run_id", F.lit("/")), F.array().cast("array<string>")
+    held = {"base": base, "crawl_complete": F.lit(True), "scope_narrowed": F.lit(False), "entry_url": base, "expected_locales": F.array(F.lit("en"), F.lit("de")), "include_paths": none, "exclude_paths": none, "requested": none}
+    held |= {"external_complete": F.lit(False), "weights_complete": F.lit(False), "render_complete": F.lit(True), "sitemap_source": F.lit(None).cast("string"), "sitemap_discovery": F.lit(None).cast("string"), "now": F.lit(None).cast("timestamp")}
+    run = stored(fetched.select("run_id").distinct()).select("run_id", *[c.alias(name) for name, c in held.items()])
+    facts = stored(crawled(fetched).withColumn("redirect_chain", F.lit(None).cast(f"array<{rules.S.HOP}>")))
+    return rules.detect(rules.Crawl(spark, facts, run))  # every rule reads the pages
+
+
+def _one_of_each_address(pages: DataFrame) -> DataFrame:
+    """(run_id, url, page_id, html): the origin is the run; of rows with one address the smallest page_id stays."""
+    url = page_url(F.col("url"))
+    row = F.struct("page_id", "html")
+    one = pages.select(url.alias("url"), "page_id", "html").where("url is not null").groupBy(origin_of(F.col("url")).alias("run_id"), "url").agg(F.min(row).alias("row"))
+    return one.select("run_id", "url", "row.page_id", "row.html")
 
 
 # ---------------------------------------------------------------- runs, on events

@@ -121,7 +121,7 @@ def missing_locale(c: Crawl) -> DataFrame:
     )
     fam = fam.where("whole and not all_failed and size(present) > 0").join(c.runs.select("run_id", F.explode("expected_locales").alias("expected")), "run_id")
     fam = fam.where(~F.exists("present", lambda p: answers(p, F.col("expected"))))
-    return _finding(fam, "missing_locale", F.col("urls")[0], groupKey="group_key", missingLocale="expected", presentLocales="present", memberUrls="urls")
+    return _finding(fam, "missing_locale", F.get("urls", F.lit(0)), groupKey="group_key", missingLocale="expected", presentLocales="present", memberUrls="urls")
 
 
 def _diverged(c: Crawl) -> DataFrame:
@@ -246,7 +246,7 @@ def _several_canonicals(c: Crawl) -> DataFrame:
 
 def _single_canonicals(c: Crawl) -> DataFrame:
     """(run_id, url, canonical) of pages that name one other page."""
-    return c.judged.where("html_page and size(metadata.canonicals) = 1").select("run_id", "url", F.col("metadata.canonicals")[0].alias("canonical")).where("canonical <> url")
+    return c.judged.where("html_page and size(metadata.canonicals) = 1").select("run_id", "url", F.get("metadata.canonicals", F.lit(0)).alias("canonical")).where("canonical <> url")
 
 
 def canonical_conflicting(c: Crawl) -> DataFrame:
@@ -292,7 +292,7 @@ def content_duplicated(c: Crawl) -> DataFrame:
     """*Whole.*  One text at several isolated pages, unless content_untranslated names just these
     or they name one canonical page."""
     rows = c.judged.where("whole and html_page and content.isolated and content.text_digest is not null")
-    goal = F.when(F.size("metadata.canonicals") == 1, F.col("metadata.canonicals")[0]).otherwise(F.col("url"))
+    goal = F.when(F.size("metadata.canonicals") == 1, F.get("metadata.canonicals", F.lit(0))).otherwise(F.col("url"))
     same = rows.groupBy("run_id", F.col("content.text_digest").alias("digest")).agg(
         F.first("content.text_length").alias("length"), _sorted_set("url").alias("urls"), F.count_distinct(goal).alias("goals")
     ).where("size(urls) >= 2 and goals >= 2")

@@ -55,6 +55,24 @@ def test_frontier_closure_against_breadth_first_search(spark):
     assert {r["node"]: r["depth"] for r in catalogue.frontier_closure(spark, sf).collect()} == want
 
 
+def test_every_address_is_judged_once_in_its_own_run(spark, monkeypatch):
+    rows = [(3, "https://a.test/en/1", "three"), (1, "https://a.test/en/1", "one"), (5, "https://b.test/en/1", "five"), (2, "http://a.test/en/1", "two")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)
+    got = sorted(map(tuple, catalogue._one_of_each_address(pages).collect()))
+    assert got == [("http://a.test", "http://a.test/en/1", 2, "two"), ("https://a.test", "https://a.test/en/1", 1, "one"), ("https://b.test", "https://b.test/en/1", 5, "five")]
+
+
+def test_detect_findings_takes_all_pages(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(catalogue.rules, "detect", held.append)
+    sf = "/root/testdata/sf0.01"
+    catalogue.detect_findings(spark, sf)
+    (crawl,) = held
+    urls = {r["url"] for r in catalogue.table(spark, sf, "pages").select(catalogue.page_url(F.col("url")).alias("url")).collect()}
+    assert sorted(r["url"] for r in crawl.pages.select("url").collect()) == sorted(urls)
+    assert {r["base"] for r in crawl.runs.collect()} == {r["run_id"] + "/" for r in crawl.pages.select("run_id").distinct().collect()}
+
+
 def test_comparability(spark):
     df = run_rows(spark, [("a", 1, True, SCOPE, ["x"]), ("b", 2, None, SCOPE, ["x"]), ("c", 3, False, SCOPE, ["x"]), ("d", 4, True, SCOPE, ["x"]), ("e", 5, True, SCOPE, ["x", "y"]), ("f", 6, True, (["/a"], [], ["en"]), ["y", "x"]), ("g", 7, True, (["/a"], [], ["en"]), ["x", "y", "x"])])
     got = {r["run_id"]: r["reason"] for r in runs.with_predecessor(df).collect()}

@@ -46,7 +46,9 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE)
     v = F.transform("raw", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
     finite = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = narrow(vectors, id=id_col, raw=vector_col).where(F.col("id").isNotNull() & F.col("raw").isNotNull() & (F.size("raw") > 0))
-    rows = rows.where(F.coalesce(finite, F.lit(False))).select("id", v.alias("v"))
+    rows = rows.where(F.coalesce(finite, F.lit(False)))
+    usual = rows.groupBy(F.size("raw").alias("dim")).count().orderBy(F.desc("count"), "dim").first()  # of equally common ones the smallest
+    rows = rows.where(F.size("raw") == (usual["dim"] if usual else 0)).select("id", v.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
 

@@ -217,6 +217,12 @@ def test_top_k_against_brute_force(spark):
     assert topk_search.top_k(df.where("false"), F.col("id") % 100 == 0).count() == 0
 
 
+def test_vectors_of_another_dimension_take_no_part(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(5)] + [(7, [9.0] * 3, 0), (100, [9.0], 0)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), F.col("id") % 100 == 0, k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 2)]
+
+
 # ---------------------------------------------------------------- near duplicates
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.operators.storage import stored
+from lingoscope.operators.storage import discard, stored
 
 MAX_ROUNDS = 60
 MAX_STEPS = 100_000  # of reachable without a depth: far above any crawl's, so that going on for ever is an error
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(_lowest_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct())
+        before, e = e, stored(small.where("u <> v").distinct())
+        discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -34,7 +34,7 @@ def bounded_sample(rows: DataFrame, limit: int, id_col: str = "id") -> DataFrame
     h = F.xxhash64(id_col)
     if total > 1.5 * limit:
         rows = rows.where(h < int(-(2**63) + 2**64 * (1.5 * limit / total)))
-    return rows.orderBy(h, id_col).limit(limit)
+    return rows.orderBy(h, *rows.columns).limit(limit)
 
 
 def utf8_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ a text's probabilities are the mean over its windows, weighted by their letters.
 Training uses at most ``SAMPLE_DOCS`` labelled documents of the folds that may
 be learnt from, ``WINDOWS_PER_DOC`` windows each (the bound of the fit); they
 are picked by a hash of the id, so the choice doesn't depend on partitioning.
+Whole texts never leave the tasks that read them.
 
 Cases: null text and text without a letter get ``und`` and score 0; with no
 labelled row to learn from every text gets ``und``; null ids are predicted like
@@ -191,8 +192,9 @@ def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[n
         F.expr(f"substring(text, cast(1 + pmod(xxhash64(id, {k}), greatest(1, length(text) - {WINDOW})) as int), {WINDOW})")
         for k in range(WINDOWS_PER_DOC)
     ]
-    some = bounded_sample(rows.where(length > 0), sample_docs)
-    held = some.select("lang", F.array(*cut).alias("cuts")).collect()
+    # texts are cut before rows are put in order, so what tasks hold on to is bounded in bytes too
+    windows = rows.where(length > 0).select("id", "lang", F.array(*cut).alias("cuts"))
+    held = bounded_sample(windows, sample_docs).select("lang", "cuts").collect()
     x, y = [], []
     for r in held:
         for c in r["cuts"]:

@@ -9,7 +9,9 @@ ids of a chunk depend on nothing else.  That makes them memoisable.
 * Whole-token shortcut: on loading, every vocabulary string that ends a word is
   encoded by the library; those that come out as their one id form the table of
   proven whole tokens.  A pre-token in the table is one token without any merge.
-* Other pre-tokens are merged, a batch at a time, by rank in numpy.
+* Other pre-tokens are merged, a batch at a time, by rank in numpy; one of more
+  than ``LONG_RUN`` bytes is merged by the library, whose time is near linear in
+  its length (each numpy round rewrites the whole row, so the time is quadratic).
 * A chunk with a character at or above U+0180, or with the opening of a special
   token, goes to the library as it is.  Below U+0180 all characters are their
   own NFC form and lower-case and class rules are those in ``SPLIT``; a test
@@ -38,6 +40,7 @@ UNLIKE = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(r"[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 MEMO = 300_000
 LONG = 48  # chunks above this length aren't memoised
+LONG_RUN = 256  # bytes of a pre-token from which the library merges it
 END = "</w>"
 NONE = np.int32(2**31 - 1)
 
@@ -203,8 +206,10 @@ class Bpe:
             else:
                 parts.append((c, words))
                 rest.update([w for w in words if w not in whole])
-        rest = list(rest)
+        long = [w for w in rest if 4 * len(w) > LONG_RUN and len(w.encode()) > LONG_RUN]
+        rest = list(rest.difference(long))
         merged = dict(zip(rest, self.merge(rest)))
+        merged.update((w, self._pack(e.ids)) for w, e in zip(long, self.library.encode_batch(long, add_special_tokens=False)))
         for c, words in parts:
             out[c] = merged[words[0]] if len(words) == 1 else b"".join([whole[w] if w in whole else merged[w] for w in words])
         out.update((c, self._pack(e.ids)) for c, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False)))

@@ -1,126 +1,190 @@
 """Mixing sources to target weights by proportionate-fair (Pfair) scheduling.
 
-Each source's rows, in a seeded shuffle, are cut into blocks.  Block j (from 1)
-of a source with weight w is released at slot floor((j - 1) / w) and due by slot
-ceil(j / w).  Every slot goes to the released block with the earliest deadline,
-so after any number of slots each source has had its share to within less than
-one block.  When a source has no blocks left the others go on at the same ratio
-to each other: all rows are kept, and the slot from which that holds is the
-mixture's horizon (``in_mix`` is false from there on).
-
-The schedule is over blocks, and the size of a block grows with the corpus so
-that there are at most ``MAX_BLOCKS`` plus one for each source: what the driver
-handles doesn't grow with the rows.  Rows find their block through distributed
-ranks (see sharding).  The number of sources must be modest (up to thousands).
+Each source's rows, in a seeded shuffle, are cut into blocks of ``BLOCK_ROWS``.
+Block j (from 1) of a source with weight w is released at slot floor((j - 1) / w)
+and due by slot ceil(j / w).  Every slot goes to the released block with the
+earliest deadline, so after any number of slots each source has had its share to
+within less than one block.  When a source has no blocks left the others go on
+at the same ratio to each other: all rows are kept, and the slot from which that
+holds is the mixture's horizon (``in_mix`` is false from there on).
+
+Blocks keep their size however large the corpus is, and the driver never handles
+them one by one.  Weights are multiples of 1 / ``UNITS``: shares of u units of U
+in all give a schedule that repeats itself every U slots, until the first source
+ends.  So there is one phase for each source, each with one period of at most
+``UNITS`` slots; they are worked out on the driver and broadcast, and tasks find a
+block's slot from its phase, the number of whole periods before it, and its place
+in the period.  Up to ``MANY`` sources a period has about 16,384 slots; with more
+sources it is shorter, so that all phases together stay bounded.
 
 Cases: null is a source of its own; sources without a stated weight get none and
-come last; a stated source without rows is left out; equal ids are separate
-rows; an empty table gives an empty result.
+come last; a stated source without rows is left out; rows of one id are told
+apart by their other columns, and rows alike in all are interchangeable; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
-from math import ceil, floor
+from math import lcm
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingoscope.llm.sharding import ranked_in_source
+from lingoscope.llm.sharding import buckets_for, ranked_in_source
 
 BLOCK_ROWS = 64
-MAX_BLOCKS = 1 << 16
-RANK_BUCKETS = 1024
+UNITS = 1 << 14
+MANY = 32
+
+
+class Phase(NamedTuple):
+    """A stretch of slots in which the same sources take part: source -> units, blocks done before, one period's sources."""
+
+    start: int
+    units: dict
+    done: dict
+    period: list
+
+
+def period_of(units: dict, order: dict) -> list:
+    """The source of each slot of one period: earliest deadline first among released blocks."""
+    total = sum(units.values())
+
+    def job(s, j):
+        return j * total // units[s], -(-(j + 1) * total // units[s])
+
+    waiting = [(*job(s, 0), order[s], s, 0) for s in units]
+    heapq.heapify(waiting)
+    ready: list[tuple] = []
+    out = []
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, due, at, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, at, s, j))
+        _, at, s, j = heapq.heappop(ready)
+        out.append(s)
+        if j + 1 < units[s]:
+            heapq.heappush(waiting, (*job(s, j + 1), at, s, j + 1))
+    return out
+
+
+def phases(blocks: dict, units: dict) -> list[Phase]:
+    """The schedule, phase by phase; a phase ends with the last block of a source.
+
+    ``blocks``: how many each source has; sources without units come last, one by one.
+    """
+    order = {s: i for i, s in enumerate(sorted(blocks, key=lambda s: (s is None, str(s))))}
+    done, start, out = dict.fromkeys(blocks, 0), 0, []
+    live = {s: units[s] for s in blocks if blocks[s] and units.get(s, 0) > 0}
+    rest = [s for s in sorted(blocks, key=order.get) if blocks[s] and s not in live]
+    while live or rest:
+        if not live:
+            live = {rest.pop(0): 1}
+        period = period_of(live, order)
+        at: dict = {s: [] for s in live}
+        for slot, s in enumerate(period):
+            at[s].append(slot)
+        last = {s: divmod(blocks[s] - done[s] - 1, live[s]) for s in live}
+        ends = {s: q * len(period) + at[s][r] for s, (q, r) in last.items()}
+        first = min(ends, key=ends.get)
+        out.append(Phase(start, live, dict(done), period))
+        whole, part = divmod(ends[first] + 1, len(period))
+        for s in live:
+            done[s] += whole * live[s] + sum(x < part for x in at[s])
+        start += ends[first] + 1
+        live = {s: u for s, u in live.items() if s != first}
+    return out
 
 
 def pfair(blocks: dict, weights: dict) -> list[tuple]:
     """(slot, source, block, release, deadline, in_mix) for every block, in order of slots.
 
-    ``blocks``: how many each source has; ``weights``: exact fractions that add
-    up to 1.  A weight of 0 leaves a source's blocks to the end.
+    ``weights``: exact fractions that add up to 1.  For schedules that fit in memory.
     """
-    order = {s: i for i, s in enumerate(sorted(blocks, key=lambda s: (s is None, str(s))))}
-    out, slot, in_mix = [], 0, True
-    done = {s: 0 for s in blocks}
-    live = {s: Fraction(weights.get(s, 0)) for s in blocks if blocks[s] and weights.get(s, 0) > 0}
-    while live:
-        total = sum(live.values())
-        share = {s: w / total for s, w in live.items()}
-        start, base = slot, dict(done)
-
-        def job(s):
-            j = done[s] - base[s] + 1
-            return start + floor((j - 1) / share[s]), start + ceil(j / share[s])
-
-        waiting = [(*job(s), order[s], s) for s in live]
-        heapq.heapify(waiting)
-        ready: list[tuple] = []
-        ended = False  # None may be a source
-        while not ended:
-            while waiting and waiting[0][0] <= slot:
-                release, due, at, s = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, at, release, s))
-            due, at, release, s = heapq.heappop(ready)
-            out.append((slot, s, done[s], release, due, in_mix))
-            done[s] += 1
-            slot += 1
-            ended = done[s] == blocks[s]
-            if not ended:
-                heapq.heappush(waiting, (*job(s), at, s))
-        del live[s]
-        in_mix = in_mix and not any(done[s] < n for s, n in blocks.items())
-    for s in sorted((s for s in blocks if done[s] < blocks[s]), key=order.get):
-        while done[s] < blocks[s]:
-            out.append((slot, s, done[s], slot, slot + 1, False))
+    whole = lcm(*(Fraction(w).denominator for w in weights.values())) if weights else 1
+    plan = phases(blocks, {s: int(Fraction(w) * whole) for s, w in weights.items()})
+    total, out = sum(blocks.values()), []
+    for k, (start, units, done, period) in enumerate(plan):
+        done, size = dict(done), len(period)
+        for slot in range(start, plan[k + 1].start if k + 1 < len(plan) else total):
+            s = period[(slot - start) % size]
+            j = done[s] - plan[k].done[s]
+            out.append((slot, s, done[s], start + j * size // units[s], start - (-(j + 1) * size // units[s]), k == 0 and bool(weights.get(s))))
             done[s] += 1
-            slot += 1
     return out
 
 
-def target_weights(rows_of: dict, temperature: float) -> dict:
-    """Weights in proportion to rows ** temperature, as exact fractions of 10 ** 6."""
-    powers = {s: n**temperature for s, n in rows_of.items() if n}
-    total = sum(powers.values())
-    units = {s: max(1, round(p / total * 10**6)) for s, p in powers.items()}
-    return {s: Fraction(u, sum(units.values())) for s, u in units.items()}
+def units_of(weights: dict) -> dict:
+    """Weights as whole units, one at least for each."""
+    weights = {s: w for s, w in weights.items() if w > 0}
+    most = UNITS if len(weights) <= MANY else UNITS * MANY // len(weights)
+    total = sum(weights.values())
+    return {s: max(1, round(w / total * most)) for s, w in weights.items()}
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", seed: int = 41) -> DataFrame:
     """All columns of ``docs`` and mix_slot, mix_block, mix_release, mix_deadline, in_mix, mix_position.
 
-    ``mix_position`` numbers the rows without gaps in the mixed order.
+    ``mix_position`` numbers the rows without gaps in the mixed order.  Without
+    stated weights a source's is its rows ** temperature.
     """
     spark = docs.sparkSession
     named = [f"_c{i}" for i in range(len(docs.columns))]
     base = docs.toDF(*named).withColumns({"id": F.col(named[docs.columns.index(id_col)]), "source": F.col(named[docs.columns.index(source_col)])})
-    rows_of = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(rows_of.values())
-    size = max(block_rows, -(-total // MAX_BLOCKS))
+    rows_of = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each source
     if weights is None:
-        weights = target_weights(rows_of, temperature)
-    else:
-        stated = {s: Fraction(w).limit_denominator(10**6) for s, w in weights.items() if w > 0 and rows_of.get(s)}
-        weights = {s: w / sum(stated.values()) for s, w in stated.items()}
-    plan, start = [], 0
-    for slot, s, block, release, due, in_mix in pfair({s: -(-n // size) for s, n in rows_of.items()}, weights):
-        plan.append((s, block, slot, release, due, in_mix, start))
-        start += min(size, rows_of[s] - block * size)
+        weights = {s: n**temperature for s, n in rows_of.items()}
+    plan = phases({s: -(-n // block_rows) for s, n in rows_of.items()}, units_of({s: w for s, w in weights.items() if rows_of.get(s)}))
+    # rows that the last blocks of the sources that ended before a phase lack
+    lacking, short = 0, []
+    for k in range(len(plan)):
+        short.append(lacking)
+        ended = next((s for s in plan[k].units if k + 1 == len(plan) or s not in plan[k + 1].units), None)
+        lacking += -rows_of[ended] % block_rows if ended in rows_of else 0
     kind = docs.schema[source_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField("s", kind),
-            *(T.StructField(n, T.LongType()) for n in ("mix_block", "mix_slot", "mix_release", "mix_deadline")),
-            T.StructField("in_mix", T.BooleanType()),
-            T.StructField("start", T.LongType()),
-        ]
-    )
-    slots = spark.createDataFrame([(s, b, slot, release, due, m, at) for s, b, slot, release, due, m, at in plan], schema)
-    ranked = ranked_in_source(base, seed, RANK_BUCKETS, len(rows_of) * RANK_BUCKETS <= 1 << 18).withColumn("block", F.expr(f"rank div {size}"))
-    joined = ranked.join(F.broadcast(slots), ranked["source"].eqNullSafe(slots["s"]) & (ranked["block"] == slots["mix_block"]))
-    return joined.select(
+    long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    parts = [
+        (s, k, p.start, u, len(p.period), short[k], p.done[s], next((q.done[s] for q in plan[k + 1 :]), 1 << 62), k == 0 and bool(weights.get(s)))
+        for k, p in enumerate(plan)
+        for s, u in p.units.items()
+    ]
+    part = spark.createDataFrame(parts, T.StructType([T.StructField("s", kind), *long("phase", "p_start", "units", "period", "short", "first", "end"), T.StructField("in_mix", T.BooleanType())]))
+    slots = []
+    for k, p in enumerate(plan):
+        nth = dict.fromkeys(p.units, 0)
+        for at, s in enumerate(p.period):
+            slots.append((s, k, nth[s], at))
+            nth[s] += 1
+    slot = spark.createDataFrame(slots, T.StructType([T.StructField("s2", kind), *long("phase2", "nth", "at")]), verifySchema=False)
+    # sources times buckets is checked; phases and periods are bounded by the number of sources
+    buckets = buckets_for(sum(rows_of.values()))
+    ties = tuple(c for c, f in zip(named, docs.schema.fields) if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, source_col))
+    ranked = ranked_in_source(base, seed, buckets, ties, len(rows_of) * buckets <= 1 << 18).withColumn("block", F.expr(f"rank div {block_rows}"))
+    here = ranked.join(F.broadcast(part), ranked["source"].eqNullSafe(part["s"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
+    here = here.withColumn("j", F.col("block") - F.col("first"))
+    here = here.join(F.broadcast(slot), here["source"].eqNullSafe(slot["s2"]) & (F.col("phase") == F.col("phase2")) & (F.expr("j % units") == F.col("nth")))
+    at = F.expr("p_start + (j div units) * period + at")
+    return here.select(
         *[F.col(n).alias(c) for n, c in zip(named, docs.columns)],
-        "mix_slot", "mix_block", "mix_release", "mix_deadline", "in_mix",
-        (F.col("start") + F.col("rank") - F.col("block") * size).alias("mix_position"),
+        at.alias("mix_slot"), F.col("block").alias("mix_block"), F.expr("p_start + (j * period) div units").alias("mix_release"),
+        F.expr("p_start + ((j + 1) * period + units - 1) div units").alias("mix_deadline"), "in_mix",
+        (at * block_rows - F.col("short") + F.expr(f"rank % {block_rows}")).alias("mix_position"),
     )
+
+
+def written_in_order(docs: DataFrame, position_col: str) -> DataFrame:
+    """``docs``, read from Parquet files, with the place that each row has in them, file after file.
+
+    Files follow each other by the numbers that Spark's writer gave them.
+    """
+    number = F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as long)")
+    at = docs.select(F.struct(*docs.columns).alias("held"), number.alias("number"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("nth"))
+    files = at.groupBy("number", "name").agg((F.max("nth") + 1).alias("n"))  # a row for each file
+    before = Window.partitionBy(F.lit(0)).orderBy("number", "name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("name").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = at.join(F.broadcast(starts), at["name"] == starts["of"])
+    return placed.select("held.*", (F.col("start") + F.col("nth")).alias(position_col))

@@ -8,12 +8,16 @@ equal parts gives shards whose row counts are at most one apart.
 No rank is taken over a whole source or the whole corpus in one task.  A rank
 is the rank inside a small bucket plus the counts of the buckets before it:
 buckets of the hash for the source's rank, buckets of the fraction for the
-global one.  Only tables of bucket counts, whose size is ``sources x BUCKETS``
-and ``BUCKETS``, are summed over a window.
+global one.  There are as many buckets as make ``BUCKET_ROWS`` rows each, however
+many rows one source holds; only tables of bucket counts are summed over a window.
 
-Cases: null text has size 1; null source is a source of its own; repeated rows
-and ids are ordered arbitrarily among themselves but each keeps one slot; an
-empty table gives an empty result; fewer rows than shards leaves shards empty.
+The order is total up to rows that are alike in every column that it reads, so a
+task that is run again after a lost executor gives each row the rank it had.
+
+Cases: null text has size 1; null source is a source of its own; rows of one id
+are ordered by their texts' checksums and sizes, and rows alike in these too are
+interchangeable but keep one slot each; an empty table gives an empty result;
+fewer rows than shards leaves shards empty.
 """
 
 from __future__ import annotations
@@ -23,16 +27,23 @@ from pyspark.sql import functions as F
 
 from lingoscope.llm.common import narrow
 
-BUCKETS = 4096
+LEAST_BUCKETS = 64
+BUCKET_ROWS = 1 << 14  # that one task sorts together, on average
+
+
+def buckets_for(rows: int) -> int:
+    """How many buckets deal out so many rows, even if all are of one source."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
-def ranked_in_source(rows: DataFrame, seed: int, buckets: int = BUCKETS, few_sources: bool = False) -> DataFrame:
+def ranked_in_source(rows: DataFrame, seed: int, buckets: int, ties: tuple[str, ...] = (), few_sources: bool = False) -> DataFrame:
     """Adds ``rank`` (from 0, in seeded order) and ``n_source`` to rows (id, source, ...).
 
-    ``few_sources``: the caller has counted them, and sources times buckets is
-    small enough to broadcast the counts, which saves wide rows a shuffle.
+    ``ties``: columns that tell rows of one id apart.  ``few_sources``: the caller
+    has counted them, and sources times buckets is small enough to broadcast the
+    counts, which saves wide rows a shuffle.
     """
-    shuffled = rows.withColumn("order", F.xxhash64(F.lit(seed), F.col("id")))
+    shuffled = rows.withColumn("order", F.xxhash64(F.lit(seed), F.col("id"), *ties))
     shuffled = shuffled.withColumn("_bucket", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * buckets).cast("int"))
     counts = shuffled.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,16 +54,16 @@ def ranked_in_source(rows: DataFrame, seed: int, buckets: int = BUCKETS, few_sou
         F.sum("_n").over(Window.partitionBy("source")).alias("n_source"),
     )
     starts = F.broadcast(starts) if few_sources else starts
-    inside = Window.partitionBy("source", "_bucket").orderBy("order", "id")
+    inside = Window.partitionBy("source", "_bucket").orderBy("order", "id", *ties)
     placed = shuffled.withColumn("_inside", F.row_number().over(inside) - 1)
     joined = placed.join(starts, placed["source"].eqNullSafe(starts["_s"]) & (placed["_bucket"] == starts["_b"]))
     return joined.withColumn("rank", F.col("_start") + F.col("_inside")).drop("_s", "_b", "_start", "_inside", "_bucket")
 
 
-def globally_ranked(rows: DataFrame, key: Column, ties: list[str]) -> DataFrame:
+def globally_ranked(rows: DataFrame, key: Column, ties: list[str], buckets: int) -> DataFrame:
     """Adds ``at``, the rank from 0 in the order of ``key`` (0 <= key < 1), then ``ties``; and ``n_all``."""
     keyed = rows.withColumn("key", key)
-    keyed = keyed.withColumn("bucket", F.floor(F.col("key") * BUCKETS).cast("int"))
+    keyed = keyed.withColumn("bucket", F.floor(F.col("key") * buckets).cast("int"))
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy(F.lit(0))
     before = everything.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,9 +80,10 @@ def stratified_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     rows = narrow(docs, id=id_col, text=text_col, source=source_col).select(
         "id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    ranked = ranked_in_source(rows, seed)
+    buckets = buckets_for(docs.count())
+    ranked = ranked_in_source(rows, seed, buckets, ("text_crc32", "size"))
     # (rank + 1/2) / n_source lies strictly between 0 and 1 and treats small and large sources alike
-    placed = globally_ranked(ranked, (F.col("rank") + 0.5) / F.col("n_source"), ["order", "source", "id"])
+    placed = globally_ranked(ranked, (F.col("rank") + 0.5) / F.col("n_source"), ["order", "source", "id", "text_crc32", "size"], buckets)
     shard = F.expr(f"at * {shards} div n_all").cast("int")
     first = F.expr(f"(shard * n_all + {shards - 1}) div {shards}")  # the smallest rank that falls into the shard
     return placed.withColumn("shard", shard).select(

@@ -503,3 +503,90 @@ def test_pipeline_stages(spark, tmp_path):
         before = docs.count()
     tokens_out = docs.agg(F.sum("length")).first()[0]
     assert tokens_out == docs.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_windows_keep_the_mixture(spark, tmp_path, monkeypatch):
+    """What the mixing stage decides holds in the final sequences: every prefix of them has the target weights."""
+    import corpus_pipeline
+
+    group = 256
+    monkeypatch.setattr(packing.packed_in_order, "__defaults__", (*packing.packed_in_order.__defaults__[:-1], group))
+    rng = np.random.default_rng(5)
+    source = [["a", "b", "c"][k] for k in rng.choice(3, 6000, p=[0.6, 0.3, 0.1])]
+    rows = [(i, " ".join(["word"] * int(rng.integers(1, 40))), None, s, *[None] * 5) for i, s in enumerate(source)]
+    mixing_stage, packing_stage = (stage for name, stage in corpus_pipeline.STAGES if name in ("mixing", "packing"))
+    mixing_stage(spark, table(spark, rows), "").write.parquet(path := str(tmp_path / "mixed"))
+    out = packing_stage(spark, spark.read.parquet(path), "").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(6000))
+    placed = Counter((r["sequence_id"]) for r in out)
+    assert sorted(placed) == list(range(len(placed)))
+    counts = Counter(source)
+    weights = mixing.units_of({s: n**0.7 for s, n in counts.items()})
+    weights = {s: u / sum(weights.values()) for s, u in weights.items()}
+    horizon = min(counts[s] / w for s, w in weights.items())
+    seen = Counter()
+    for k, r in enumerate(sorted(out, key=lambda r: (r["sequence_id"], r["offset"])), 1):
+        seen[source[r["doc_id"]]] += 1
+        if k > horizon - group:
+            break
+        assert all(abs(seen[s] - w * k) <= group + 2 * mixing.BLOCK_ROWS for s, w in weights.items())
+    assert k > 2000
+
+
+def test_periods_give_the_same_schedule_as_one_run():
+    """Pfair by phases and periods against earliest deadline first, slot by slot."""
+    import heapq
+
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        names = "abcde"[: int(rng.integers(1, 6))]
+        blocks = {s: int(rng.integers(1, 90)) for s in names}
+        units = {s: int(rng.integers(1, 9)) for s in names}
+        plan = mixing.pfair(blocks, {s: Fraction(u, sum(units.values())) for s, u in units.items()})
+        assert [p[0] for p in plan] == list(range(sum(blocks.values()))) and Counter(p[1] for p in plan) == blocks
+        slot, done, live = 0, dict.fromkeys(names, 0), dict(units)
+        want = []
+        while live:
+            total, start, base, ready, ended = sum(live.values()), slot, dict(done), [], None
+            while ended is None:
+                jobs = [(start - (-(done[s] - base[s] + 1) * total // u), s) for s, u in live.items() if start + (done[s] - base[s]) * total // u <= slot]
+                _, s = min(jobs)
+                want.append((slot, s, done[s]))
+                done[s] += 1
+                slot += 1
+                ended = s if done[s] == blocks[s] else None
+            del live[ended]
+        assert [p[:3] for p in plan] == want
+
+
+def test_mixing_positions_with_many_uneven_sources(spark):
+    sizes = {"a": 700, "b": 131, "c": 64, "d": 1, None: 65, "z": 200}
+    rows = [(i, "t", None, s, *[None] * 5) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    out = mixing.mixed(table(spark, rows), weights={"a": 3, "b": 2, "c": 1, "d": 1, None: 1}).orderBy("mix_position").collect()
+    assert [r["mix_position"] for r in out] == list(range(len(rows)))
+    assert [r["mix_slot"] for r in out] == sorted(r["mix_slot"] for r in out)
+    assert {r["source"] for r in out[-200:]} == {"z"}  # no weight was stated for it
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in out)
+
+
+def test_long_runs_of_letters_take_near_linear_time():
+    import time
+
+    own, lib = tokens.Bpe(tokenizer_path()), library()
+    rng = np.random.default_rng(1)
+    for n in (200, 257, 3000, 1_000_000):
+        run = "".join(map(chr, rng.integers(97, 123, n)))
+        began = time.time()
+        got = own.ids([run, f"a {run[:5000]}!{run[:300]} b"])
+        assert time.time() - began < 5 + n / 100_000
+        assert [x.tolist() for x in got] == [e.ids for e in lib.encode_batch([run, f"a {run[:5000]}!{run[:300]} b"], add_special_tokens=False)]
+
+
+def test_pieces_of_one_document_are_ranked_by_where_they_start(spark):
+    """Ranks must not change when a task is run again, however its rows come."""
+    rows = [(None if i % 2 else 7, "word " * 900, *[None] * 7) for i in range(20)] + [(7, f"w{i} " * 700, *[None] * 7) for i in range(20)]
+    first = packing.packed(table(spark, rows), tokenizer_path(), 128)
+    again = packing.packed(table(spark, rows[::-1]).repartition(3), tokenizer_path(), 128)
+    assert by_all(first.collect()) == by_all(again.collect())
+    shards = sharding.stratified_shards(table(spark, rows), 4)
+    assert by_all(shards.collect()) == by_all(sharding.stratified_shards(table(spark, rows[::-1]).repartition(3), 4).collect())

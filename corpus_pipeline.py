@@ -34,7 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, tokenizer_path())
+    """Windows that follow each other in the mixed order, to within one packing group."""
+    return packing.packed_in_order(mixing.written_in_order(docs.select("doc_id", "text"), "mix_position"), tokenizer_path(), "mix_position")
 
 
 STAGES = [

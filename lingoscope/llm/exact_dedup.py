@@ -9,10 +9,12 @@ Built from DataFrame functions only.
   row for each map task.
 * Rows find their group by (MD5, SHA-256).  Should two *different* texts of one
   group ever share both, the job stops with an error instead of merging them.
+* The rows of a group of very many copies are salted before that; the groups'
+  keys, of which there can only be a bounded number, are broadcast for it.
 
 Cases: null text counts as empty; rows with equal ids are separate rows of the
-group; a null id never represents a group unless it has no other; an empty table
-gives an empty result.
+group; a null id never represents a group unless it has no other; input columns
+may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingoscope.llm.common import narrow
+from lingoscope.operators.storage import stored
 
+LARGE = 1_000  # copies from which a group's rows are salted
+MOST_LARGE = 50_000  # such groups at most: above, only those of rows / MOST_LARGE copies are
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -50,9 +55,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count(F.lit(1)).alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")
     )
     groups = groups.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long")))
-    members = hashed.select("id", "h128", "sha")
-    joined = members.join(groups.drop("texts"), ["h128", "sha"])
-    return joined.select(
+    groups = stored(groups.drop("texts"))
+    rows = groups.agg(F.sum("group_size")).first()[0] or 0
+    part = max(LARGE, rows // MOST_LARGE)
+    key = ["h128", "sha"]
+    salts = F.expr(f"cast(group_size div {part} as int)")
+    # at most MOST_LARGE rows, since the groups' sizes add up to the number of rows
+    large = groups.where(F.col("group_size") >= part).select(*key, salts.alias("salts"))
+    members = hashed.select("id", *key).join(F.broadcast(large), key, "left")
+    members = members.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).otherwise(F.lit(0))).drop("salts")
+    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return members.join(dealt, [*key, "salt"]).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -66,9 +79,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of rows that have that id and an equal text, an arbitrary one stays.
     """
-    groups = exact_groups(docs, id_col, text_col, keep).where("kept")
-    kept = groups.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    kept = stored(groups.groupBy("kept_id", "kept_sha").agg((F.count(F.lit(1)) > 1).alias("twins")))
     sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
-    rows = docs.withColumn("_text_sha256", sha)
-    some = rows.join(kept, rows[id_col].eqNullSafe(kept["_id"]) & (rows["_text_sha256"] == kept["_sha"]), "left_semi")
-    return some.dropDuplicates([id_col, "_text_sha256"]).drop("_text_sha256")
+    rows = docs.select(docs[id_col].alias("id"), sha.alias("sha"), F.struct(*[docs[c] for c in docs.columns]).alias("held"))
+    same = rows["id"].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["kept_sha"])
+    some = rows.join(kept, same).select("id", "sha", "held", "twins")
+    single = some.where("not twins").select("held.*")
+    if kept.where("twins").isEmpty():
+        return single
+    return single.unionByName(some.where("twins").dropDuplicates(["id", "sha"]).select("held.*"))

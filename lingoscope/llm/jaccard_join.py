@@ -338,5 +338,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
+    rows = docs.select(docs[id_col].alias("row_id"), F.struct(*[docs[c] for c in docs.columns]).alias("held"))
+    return rows.join(kept, rows["row_id"].eqNullSafe(kept["kept_id"]), "left_semi").select("held.*")

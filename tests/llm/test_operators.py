@@ -590,3 +590,24 @@ def test_pieces_of_one_document_are_ranked_by_where_they_start(spark):
     assert by_all(first.collect()) == by_all(again.collect())
     shards = sharding.stratified_shards(table(spark, rows), 4)
     assert by_all(shards.collect()) == by_all(sharding.stratified_shards(table(spark, rows[::-1]).repartition(3), 4).collect())
+
+
+def test_large_groups_of_copies_are_found_like_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 3)
+    rows = [(i, f"Text {i % 7}" if i % 3 else "SAME", *[None] * 7) for i in range(60)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(table(spark, rows), keep="largest").collect()}
+    groups = defaultdict(list)
+    for r in rows:
+        groups[lower(r[1])].append(r[0])
+    assert got == {i: (max(g), len(g)) for g in groups.values() for i in g}
+
+
+def test_any_column_names_pass_through(spark):
+    names = ["doc_id", "text", "_text_sha256", "_kept_id", "sha", "held", "id", "kept_sha", "twins"]
+    docs = spark.createDataFrame([(1, "one two three four five six", *"abcdefg"), (2, "ONE two three four five six", *"hijklmn"), (2, "ONE two three four five six", *"hijklmn"), (None, "x", *"opqrstu")], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names[2:])}")
+    first = exact_dedup.drop_exact_copies(docs)
+    assert first.columns == names and by_all(first.collect()) == by_all([(1, "one two three four five six", *"abcdefg"), (None, "x", *"opqrstu")])
+    last = exact_dedup.drop_exact_copies(docs, keep="largest")
+    assert by_all(last.collect()) == by_all([(2, "ONE two three four five six", *"hijklmn"), (None, "x", *"opqrstu")])
+    near = jaccard_join.one_of_each(docs)
+    assert near.columns == names and {r["doc_id"] for r in near.collect()} == {1, None}

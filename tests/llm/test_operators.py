@@ -611,3 +611,53 @@ def test_any_column_names_pass_through(spark):
     assert by_all(last.collect()) == by_all([(2, "ONE two three four five six", *"hijklmn"), (None, "x", *"opqrstu")])
     near = jaccard_join.one_of_each(docs)
     assert near.columns == names and {r["doc_id"] for r in near.collect()} == {1, None}
+
+
+def brute_top_k(rows, queries, k):
+    """By integers of any size."""
+    out = []
+    for q in queries:
+        scored = sorted((-sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q)
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["large", "normalised", "negative"])
+def test_top_k_is_exact_in_every_cell(spark, monkeypatch, kind):
+    """Scores beyond 2^53, vectors of one length, thresholds below 0; many small cells and blocks."""
+    for name, n in (("CANDIDATE_BLOCK", 40), ("QUERY_BLOCK", 3), ("HEAD", 16), ("BUCKET_ROWS", 8), ("PRODUCTS", 2)):
+        monkeypatch.setattr(topk_search, name, n)
+    rng = np.random.default_rng(4)
+    m = rng.normal(0, 1, (300, 6))
+    if kind == "large":
+        m = np.round(m * 2.0**14) + 2.0**16
+    elif kind == "normalised":
+        m /= np.linalg.norm(m, axis=1)[:, None]
+    else:
+        m = np.abs(m) * np.where(np.arange(300) % 50 == 0, -1, 1)[:, None]
+    rows = {i: [float(np.float32(x)) for x in v] for i, v in enumerate(m)}
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows.items()], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("id") % 50 == 0, k=7).collect()))
+    assert got == brute_top_k(rows, range(0, 300, 50), 7)
+    if kind == "large":
+        assert max(s for *_, s in got) > 2**53
+
+
+def test_cells_out_of_reach_are_not_sent(spark, monkeypatch):
+    blocks, cells = topk_search.meetings([0.0, 2.0, 2.0, 9.5], [1.0, 2.0, 3.0, 9.0])
+    assert blocks == [(0, 0, 4), (1, 1, 4), (2, 1, 4), (3, 4, 4)] and cells == [(0, 0, 1), (1, 0, 3), (2, 0, 3), (3, 0, 3)]
+    assert {(b, c) for b, low, high in blocks for c in range(low, high)} == {(b, c) for c, low, high in cells for b in range(low, high)}
+    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 50)
+    monkeypatch.setattr(topk_search, "HEAD", 30)
+    rng = np.random.default_rng(3)
+    rows = {i: (rng.uniform(0.9, 1, 4) * (1000.0 if i < 40 else 0.01)).tolist() for i in range(1000)}
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows.items()], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, topk_search.top_k(df, F.col("id") % 100 == 0, k=5).collect())) == brute_top_k(rows, range(0, 1000, 100), 5)
+
+
+def test_empty_vectors_and_scores_that_do_not_fit(spark):
+    kind = "vec_id long, embedding array<double>, label int"
+    got = topk_search.top_k(spark.createDataFrame([(0, [], 0), (1, [], 0), (2, [1.0], 0)], kind), F.col("id") == 0, k=2).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 0)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(spark.createDataFrame([(0, [1e9], 0), (1, [1e9], 0)], kind), F.col("id") == 0).collect()

@@ -33,11 +33,24 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written by buckets of ``key``, so that joins on it don't move the table again."""
+    spark = df.sparkSession
+    name, path = f"bucketed_{uuid.uuid4().hex}", f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stored_at, out._named = path, name
+    return out
+
+
 def discard(*tables: DataFrame | None) -> None:
-    """Removes tables that ``stored`` gave and that nothing will read again."""
+    """Removes tables that ``stored`` or ``bucketed`` gave and that nothing will read again."""
     for table in tables:
         path = getattr(table, "_stored_at", None)
         if path:
+            if hasattr(table, "_named"):
+                table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._named}")
             jvm = table.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

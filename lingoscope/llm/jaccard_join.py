@@ -13,7 +13,9 @@ the same number of shingles as long as the estimated cost of candidates (rows to
 look at, texts to verify) falls; that many more matches are then required.
 
 1. One pass over the texts gives each its set's 128-bit digest and size, and the
-   frequency table.  Texts with equal sets are one class from here on.
+   frequency table.  Texts with equal sets are one class from here on.  Rows name a
+   class by 64 bits folded from its digest; that no two classes share a name is
+   checked, and where two do, all are folded in another way.
 2. Prefix rows (shingle, set) meet by shingle; shingles that only one set shows
    are dropped.
 3. First links: each set is tried against the lowest and highest set of each of
@@ -28,7 +30,8 @@ look at, texts to verify) falls; that many more matches are then required.
    the cells of a grid, and each cell compares its sets in memory and returns no
    more than one link for two components.
 5. Verification compares the whole texts' sets; a pair's texts come by joins on
-   their rows' keys, digests of id and text.
+   their rows' keys, digests of id and text.  The texts are written once, by
+   buckets of that key, so the joins move pairs and never the corpus again.
 
 The result is exact for components at any frequency table, since the table only
 orders the shingles.  Hash values are 64 bits for a shingle and 128 for a set.
@@ -51,14 +54,17 @@ from pyspark.sql import functions as F
 from lingoscope.llm.common import byte_sized, narrow, sparing
 from lingoscope.llm.shingles import WORDS, linked, mixed, shingle_sets
 from lingoscope.operators.graph import connected_components
-from lingoscope.operators.storage import stored
+from lingoscope.operators.storage import bucketed, discard, stored
 
 PERCENT = 75
 BUCKETS = 1 << 18  # of the frequency table, which is broadcast
 MOST_MATCHES = 32  # how far a prefix may be lengthened
 VERIFY_COST = 40.0  # of a candidate's verification, in rows looked at
 MOST_PARTS = 128  # components of a shingle that meet as pairs of rows
-CELL = 2048  # sets on a side of a grid's cell
+CELL = 1 << 21  # shingles on a side of a grid's cell, or
+CELL_SETS = 256  # sets, as long as that makes few sides
+FEW_SIDES = 8
+MOST_FOLDINGS = 100
 UNSEEN = 0.1  # partners expected of a shingle that the table doesn't show to be frequent
 PIECE = 1 << 21
 
@@ -68,6 +74,34 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return int(mixed(s, 1).sum().view(np.int64)), int(mixed(s, 2).sum().view(np.int64))
 
 
+def folded(first: np.ndarray, second: np.ndarray, folding: int) -> np.ndarray:
+    """The 64-bit names of sets from the two halves of their digests."""
+    with np.errstate(over="ignore"):
+        inner = mixed(second.view(np.uint64), folding)
+        return mixed(first.view(np.uint64) ^ inner, folding + 1).view(np.int64)
+
+
+def name_of(s: np.ndarray, folding: int) -> int:
+    return int(folded(*(np.array([half], np.int64) for half in _digest(s)), folding)[0])
+
+
+def named(sets: DataFrame) -> tuple[DataFrame, int]:
+    """``sets`` with a ``set_id`` for each digest (first, second), none for two, and the folding that gives it."""
+    for folding in range(MOST_FOLDINGS):
+
+        def run(batches, folding=folding):
+            for batch in batches:
+                ids = folded(batch.column("first").to_numpy(), batch.column("second").to_numpy(), folding)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*batch.schema.names, "set_id"])
+
+        out = stored(sets.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in sets.schema)}, set_id long"))
+        twice = out.where("n > 0").groupBy("set_id").agg(F.min(F.struct("first", "second")).alias("a"), F.max(F.struct("first", "second")).alias("b"))
+        if twice.where("a <> b").isEmpty():
+            return out, folding
+        discard(out)
+    raise RuntimeError(f"{MOST_FOLDINGS} foldings give two sets one name")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, key): a row's own key, whether it has an id or not."""
     return narrow(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
@@ -81,7 +115,7 @@ def keyed_texts(docs: DataFrame, nameless: bool, id_col: str, text_col: str) ->
 
 
 def digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, key, n, set_id, check) for documents, and (bucket, amount) for the frequency table."""
+    """Rows (id, key, n, first, second) for documents, and (bucket, amount) for the frequency table."""
 
     @sparing
     def run(batches):
@@ -98,19 +132,19 @@ def digests(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFram
                 none = pa.nulls(n, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(start, n), batch.column("key").slice(start, n), pa.array([len(s) for s in sets], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, pa.nulls(n, pa.int64())],
-                    names=["id", "key", "n", "set_id", "check", "bucket", "amount"],
+                    names=["id", "key", "n", "first", "second", "bucket", "amount"],
                 )
         at = np.flatnonzero(amounts)
         k = len(at)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(at, pa.int32()), pa.array(amounts[at], pa.int64())],
-            names=["id", "key", "n", "set_id", "check", "bucket", "amount"],
+            names=["id", "key", "n", "first", "second", "bucket", "amount"],
         )
 
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    return rows.mapInArrow(run, f"id {kind}, key long, n int, set_id long, check long, bucket int, amount long")
+    return rows.mapInArrow(run, f"id {kind}, key long, n int, first long, second long, bucket int, amount long")
 
 
 def matches_to_ask(n: int, frequency: np.ndarray, percent: int = PERCENT) -> int:
@@ -129,7 +163,7 @@ def matches_to_ask(n: int, frequency: np.ndarray, percent: int = PERCENT) -> int
     return int(k[cost.argmin()])
 
 
-def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int, text_col: str) -> DataFrame:
+def prefixes(docs: DataFrame, table: np.ndarray, folding: int, words: int, percent: int, text_col: str) -> DataFrame:
     """Rows (shingle, set_id, inner, sizes): each set's outer prefix, once for each task that has the set.
 
     ``inner``: whether the shingle is in the inner prefix too; ``sizes`` holds n
@@ -150,7 +184,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, words: int, percent: int, text_
                     n = len(s)
                     if not n:
                         continue
-                    set_id = _digest(s)[0]
+                    set_id = name_of(s, folding)
                     if set_id in done:
                         continue
                     if len(done) < 500_000:
@@ -185,7 +219,7 @@ def enough(percent: int) -> str:
     return f"n * 100 >= n2 * {percent} and matches >= least({outer}, {inner}) + {share}"
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, folding: int, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose texts' sets are linked."""
     of = classes.select("set_id", "rep")
     named = pairs.join(of.toDF("a", "key_a"), "a").join(of.toDF("b", "key_b"), "b")
@@ -203,11 +237,11 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
                 for i in range(start, start + n):
                     if a[i] not in last:
                         left = shingle_sets(batch.column("text_a").slice(i, 1), words)[0]
-                        if _digest(left)[0] != a[i]:
+                        if name_of(left, folding) != a[i]:
                             continue
                         last = {a[i]: left}
                     other = right[i - start]
-                    if _digest(other)[0] == b[i] and linked(last[a[i]], other, percent):
+                    if name_of(other, folding) == b[i] and linked(last[a[i]], other, percent):
                         keep.append(i)
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
@@ -251,9 +285,10 @@ def links_in_cell(sets: list[np.ndarray], ids: np.ndarray, parts: np.ndarray, si
     return out
 
 
-def grid_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between the members (low, set_id, part) of each ``low``, cell by cell."""
-    blocks = members.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("blocks"))
+def grid_links(members: DataFrame, classes: DataFrame, texts: DataFrame, folding: int, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between the members (low, set_id, n, part) of each ``low``, cell by cell."""
+    few = F.least(F.lit(FEW_SIDES), F.ceil(F.count(F.lit(1)) / F.lit(CELL_SETS)))
+    blocks = members.groupBy("low").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CELL)), few).cast("int").alias("blocks"))
     rows = members.join(blocks, "low").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     rows = rows.join(classes.select("set_id", F.col("rep").alias("key")), "set_id").join(texts, "key")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -264,7 +299,7 @@ def grid_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
         sets = [s for start, n in byte_sized(column, PIECE) for s in shingle_sets(column.slice(start, n), words)]
         ids, parts, sides = (table.column(c).to_numpy() for c in ("set_id", "part", "side"))
         # of rows with one key, those that bear the set
-        keep = [k for k, s in enumerate(sets) if len(s) and _digest(s)[0] == ids[k]]
+        keep = [k for k, s in enumerate(sets) if len(s) and name_of(s, folding) == ids[k]]
         found = links_in_cell([sets[k] for k in keep], ids[keep], parts[keep], sides[keep], percent) if keep else []
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
@@ -275,14 +310,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """id, n_shingles, component_id (the smallest id reachable by links) for every row."""
     spark = docs.sparkSession
     first = stored(digests(docs, words, id_col, text_col))
-    sets = first.where("bucket is null").select("id", "key", "n", "set_id", "check")
+    sets, folding = named(first.where("bucket is null").select("id", "key", "n", "first", "second"))
     table = np.zeros(BUCKETS, np.int64)
     amounts = first.where("bucket is not null").groupBy("bucket").agg(F.sum("amount").alias("amount")).toArrow()  # BUCKETS rows at most
     table[amounts["bucket"].to_numpy()] = amounts["amount"].to_numpy()
-    classes = sets.where("n > 0").groupBy("set_id", "check", "n").agg(F.min("key").alias("rep"))
-    texts = keyed_texts(docs, not sets.where("id is null").isEmpty(), id_col, text_col)
+    discard(first)
+    classes = sets.where("n > 0").groupBy("set_id").agg(F.min("key").alias("rep"))
+    texts = bucketed(keyed_texts(docs, not sets.where("id is null").isEmpty(), id_col, text_col), "key")
 
-    shown = prefixes(docs, table, words, percent, text_col)
+    shown = prefixes(docs, table, folding, words, percent, text_col)
     shown = shown.repartition("shingle").dropDuplicates(["shingle", "set_id"])
     ends = shown.groupBy("shingle").agg(
         F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.min_by("sizes", "set_id").alias("low_sizes"), F.max_by("sizes", "set_id").alias("high_sizes"),
@@ -297,16 +333,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tried = opened(opened(tried), "sizes2", "2")
     # here a few matches in proportion are asked for: what isn't tried now is met later
     tried = tried.where(f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and matches * 100 >= least(n, n2) * 8").select("a", "b")
-    links = stored(verified(tried, classes, texts, words, percent))
+    links = stored(verified(tried, classes, texts, folding, words, percent))
     parts = stored(connected_components(links, "a", "b")).toDF("set_id", "part")
 
     rows = shared.select("shingle", "low", "set_id", "inner", "sizes").join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
     ends = rows.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.bool_or("inner").alias("any"))
     rows = stored(rows.join(ends.where("p <> q and any").select("shingle"), "shingle"))
+    discard(shared)
     spread = rows.select("shingle", "part").distinct().groupBy("shingle").count()
     crowded = stored(spread.where(f"count > {MOST_PARTS}").select("shingle"))
-    members = stored(rows.join(crowded, "shingle", "left_semi").select("low", "set_id", "part").distinct())
-    more = stored(grid_links(members, classes, texts, words, percent)) if not members.isEmpty() else None
+    members = stored(rows.join(crowded, "shingle", "left_semi").select("low", "set_id", F.shiftright("sizes", 32).alias("n"), "part").distinct())
+    more = stored(grid_links(members, classes, texts, folding, words, percent)) if not members.isEmpty() else None
+    rows_met = rows
     # a pair that shares a crowded shingle has met; any other shares none, so its count is whole without them
     rows = rows.join(crowded, "shingle", "left_anti")
     inner = rows.where("inner").select("shingle", "part", F.col("set_id").alias("a"), "sizes")
@@ -321,7 +359,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = stored(pairs.where(enough(percent)).select("a", "b"))
     later = [] if more is None else [more]
     if not pairs.isEmpty():
-        later.append(stored(verified(pairs, classes, texts, words, percent)))
+        later.append(stored(verified(pairs, classes, texts, folding, words, percent)))
+    discard(texts, rows_met)
     later = [x for x in later if not x.isEmpty()]
     for x in later:
         links = links.union(x)

@@ -265,7 +265,8 @@ def near_copies():
 @pytest.mark.parametrize("crowd", [128, 1])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard_join, "MOST_PARTS", crowd)
-    monkeypatch.setattr(jaccard_join, "CELL", 7)
+    monkeypatch.setattr(jaccard_join, "CELL", 700)
+    monkeypatch.setattr(jaccard_join, "CELL_SETS", 7)
     texts = near_copies()
     rows = [(i, t, None, None, None, None, None, None, None) for i, t in enumerate(texts)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(table(spark, rows)).collect()}
@@ -293,6 +294,16 @@ def test_rows_without_an_id_bridge_near_duplicates(spark, monkeypatch, crowd):
     assert by_all(got) == by_all((r[0], n, lowest[c]) for r, (n, c) in zip(rows, part))
 
 
+def test_sets_that_a_folding_confuses_stay_apart(spark, monkeypatch):
+    """Where 64 bits are not enough to tell digests apart, another folding is taken."""
+    plain = jaccard_join.folded
+    monkeypatch.setattr(jaccard_join, "folded", lambda a, b, folding: plain(a, b, folding) % 5 if folding < 2 else plain(a, b, folding))
+    texts = near_copies()
+    rows = [(i, t, *[None] * 7) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(table(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts)
+
+
 def test_shingle_hashes_agree_with_sets():
     import pyarrow as pa
 

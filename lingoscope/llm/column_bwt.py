@@ -10,13 +10,16 @@ one more than the smallest common prefix between the neighbours' tails.
 The sorted suffixes are kept as columns in files: link (first symbol and place
 of the tail), before (the transform: symbol in front), common (common prefix
 with the suffix above), where (place in the collection).  A round reads each
-file from start to end, merges its insertions and writes the next file; nothing
-is sought, and what one round needs besides is as large as its insertions.
-
-A symbol is a word of several bytes, so a byte string gives as many strings of
-words as a word has bytes, one for each phase, and every byte's suffix is among
-them.  Prefixes are compared to whole words, which decides the lengths that are
-multiples of a word.  Words are numbered in their order before the first round.
+file from start to end through a buffer of ``BUFFER`` entries, merges its
+insertions and writes the next file; nothing is sought.  In memory are the
+strings themselves and what one round inserts, so the columns, some twenty times
+as large, may exceed it.
+
+A symbol is a word of a few bytes, taken as the number that the bytes are, so a
+byte string gives as many strings of words as a word has bytes, one for each
+phase, and every byte's suffix is among them.  Prefixes are compared to whole
+words, which decides the lengths that are multiples of a word.  (Words of more
+than ``RAW`` bytes don't fit a link; they are numbered in their order first.)
 """
 
 from __future__ import annotations
@@ -25,56 +28,70 @@ import tempfile
 
 import numpy as np
 
-WORD = 40
-LOW = 2**32 - 1
-_KINDS = {"link": np.int64, "before": np.int32, "common": np.uint8, "where": np.int32}
+WORD = 5
+RAW = 5
+PLACE = 23  # bits of a place in a link: suffixes of one collection
+LOW = (1 << PLACE) - 1
+BUFFER = 1 << 18
+_KINDS = {"link": np.int64, "before": np.int64, "common": np.uint8, "where": np.int32}
 
 
 class Columns:
-    """The columns, each in a file of its own that is replaced round by round."""
-
-    def __init__(self, **first: np.ndarray):
-        self.n = len(first["link"])
-        self.files = {}
-        for name, column in first.items():
-            self.files[name] = tempfile.TemporaryFile()
-            self._write(self.files[name], name, column)
-
-    @staticmethod
-    def _write(file, name: str, column: np.ndarray) -> None:
-        np.ascontiguousarray(column, _KINDS[name]).tofile(file)
-        file.flush()
+    """The columns: each is read from one file and written to another, which then change places."""
+
+    def __init__(self):
+        self.n = 0
+        self.old = {name: tempfile.TemporaryFile(buffering=0) for name in _KINDS}
+        self.new = {name: tempfile.TemporaryFile(buffering=0) for name in _KINDS}
+
+    def start(self, *names: str) -> None:
+        for name in names:
+            self.old[name].seek(0)
+
+    def read(self, name: str, n: int) -> np.ndarray:
+        """The next ``n`` entries."""
+        out = np.empty(n, _KINDS[name])
+        view = memoryview(out).cast("B")
+        while len(view):
+            got = self.old[name].readinto(view)
+            if not got:
+                raise EOFError(name)
+            view = view[got:]
+        return out
+
+    def write(self, **columns: np.ndarray) -> None:
+        for name, column in columns.items():
+            view = memoryview(np.ascontiguousarray(column, _KINDS[name])).cast("B")
+            while len(view):
+                view = view[self.new[name].write(view) :]
 
-    def read(self, name: str) -> np.ndarray:
-        self.files[name].seek(0)
-        return np.fromfile(self.files[name], _KINDS[name], self.n)
+    def turn(self, n: int) -> None:
+        """What was written is what will be read."""
+        self.old, self.new, self.n = self.new, self.old, n
+        for file in self.new.values():
+            file.seek(0)
 
-    def replace(self, n: int, **columns: np.ndarray) -> None:
-        for name, column in columns.items():
-            new = tempfile.TemporaryFile()
-            self._write(new, name, column)
-            self.files[name].close()
-            self.files[name] = new
-        self.n = n
+    def parts(self):
+        return [(a, min(a + BUFFER, self.n)) for a in range(0, self.n, BUFFER)]
 
     def close(self) -> None:
-        for file in self.files.values():
+        for file in [*self.old.values(), *self.new.values()]:
             file.close()
 
 
 class Lowest:
-    """The smallest value in ranges of a column of bytes."""
+    """The smallest value in ranges of a column of bytes, none longer than ``most``."""
 
-    def __init__(self, column: np.ndarray):
-        self.levels = [column]
+    def __init__(self, column: np.ndarray, most: int):
+        levels = [column]
         width = 1
-        while 2 * width <= len(column):
-            top = self.levels[-1]
-            self.levels.append(np.minimum(top[: len(top) - width], top[width:]))
+        while 2 * width <= min(most, len(column)):
+            top = levels[-1]
+            levels.append(np.minimum(top[: len(top) - width], top[width:]))
             width *= 2
         # all levels side by side, so that a query is two looked-up bytes
-        self.starts = np.cumsum([0, *(len(x) for x in self.levels)])[:-1]
-        self.flat = np.concatenate(self.levels)
+        self.starts = np.cumsum([0, *(len(x) for x in levels)])[:-1]
+        self.flat = np.concatenate(levels)
 
     def between(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Smallest of column[first:end], each range holding one value at least."""
@@ -83,6 +100,34 @@ class Lowest:
         return np.minimum(self.flat[base + first], self.flat[base + end - (1 << level)])
 
 
+def lowest_in(columns: Columns, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Smallest common prefix in each range [first, end) of the column, in one pass."""
+    out = np.full(len(first), 255, np.uint8)
+    if not len(first):
+        return out
+    columns.start("common")
+    whole = []
+    order, by_end = np.argsort(first), np.argsort(end)
+    starts, ends = first[order], end[by_end]
+    for a, b in columns.parts():
+        column = columns.read("common", b - a)
+        whole.append(column.min())
+        here = order[np.searchsorted(starts, a) : np.searchsorted(starts, b)]
+        late = by_end[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b, "right")]
+        late = late[first[late] < a]
+        some = np.concatenate([here, late])
+        if not len(some):
+            continue
+        low, high = np.maximum(first[some], a) - a, np.minimum(end[some], b) - a
+        out[some] = np.minimum(out[some], Lowest(column, int((high - low).max())).between(low, high))
+    if len(whole) > 2:
+        low, high = -(-first // BUFFER), end // BUFFER  # the whole parts in between
+        wide = np.flatnonzero(high > low)
+        if len(wide):
+            out[wide] = np.minimum(out[wide], Lowest(np.array(whole, np.uint8), len(whole)).between(low[wide], high[wide]))
+    return out
+
+
 def _ranked(values: np.ndarray) -> np.ndarray:
     """Numbers from 0 in the order of the values, equal for equal ones."""
     order = np.argsort(values)
@@ -92,111 +137,136 @@ def _ranked(values: np.ndarray) -> np.ndarray:
     return rank
 
 
-def codes(data: np.ndarray, width: int, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
-    """A number for the ``width`` bytes at each place, ordered as the bytes are (zeros stand after the end)."""
-    known = {} if known is None else known
-    if width in known:
-        return known[width]
-    if width <= 8:
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]).view(">u8").ravel().astype(np.uint64)
-        known[width] = _ranked(words >> np.uint64(64 - 8 * width))
-    else:
-        first = 8
-        while 2 * first < width:
-            first *= 2
-        head, tail = codes(data, first, known), codes(data, width - first, known)
-        after = np.zeros(len(data), np.int64)
-        after[: max(0, len(data) - first)] = tail[first:]
-        known[width] = _ranked((head << 32) + after)
-    return known[width]
-
-
-def word_codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte that a whole word follows within its string: place, words that follow, code (from 1)."""
-    usable = np.maximum(0, lengths - word + 1)
-    total = int(usable.sum())
-    string = np.repeat(np.arange(len(starts)), usable)
-    offset = np.arange(total) - np.repeat(np.cumsum(usable) - usable, usable)
-    place = starts[string] + offset
-    return place, (lengths[string] - offset) // word, codes(data, word)[place] + 1
-
-
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: int = WORD) -> tuple[np.ndarray, np.ndarray]:
+def raw_words(data: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """The ``width`` bytes at each place as a number, high byte first; bytes after the end are 0."""
+    out = np.zeros(len(at), np.int64)
+    for k in range(width):
+        here = at + k
+        out = (out << 8) + np.where(here < len(data), data[np.minimum(here, len(data) - 1)], 0)
+    return out
+
+
+def codes(data: np.ndarray, width: int) -> np.ndarray:
+    """A number for the ``width`` bytes at each place, ordered as the bytes are."""
+    every = np.arange(len(data))
+    if width <= RAW:
+        return raw_words(data, width, every)
+    head, tail = _ranked(raw_words(data, RAW, every)), codes(data, width - RAW)
+    after = np.zeros(len(data), np.int64)
+    after[: max(0, len(data) - RAW)] = _ranked(tail)[RAW:]
+    return _ranked((head << 31) + after)
+
+
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(place, common): byte places in the order of their suffixes, and the words shared with the one above.
 
     The strings are ``data[start : start + length]``.
     """
-    place, left, code = word_codes(data, starts, lengths, word)
-    if not len(place):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    longest = int(left.max())
-    if longest > 250:
+    word = word or WORD
+    if len(lengths) and int(lengths.max()) // word > 250:
         raise ValueError("strings must have at most 250 words")
-    # the entry one word earlier in the same string, or -1; entries from len(place) on are empty suffixes
-    at = np.full(len(data) + word, -1, np.int64)
-    at[place + word] = np.arange(len(place))
-    earlier = at[place]
-    earlier[(earlier >= 0) & (left[earlier] != left + 1)] = -1
-    ends = np.flatnonzero(left == 1)
-    earlier = np.concatenate([earlier, ends])
-    before = np.where(earlier >= 0, code[earlier], 0)
-
-    k = len(ends)
-    empty = np.arange(len(place), len(place) + k)
-    # an empty suffix has no first symbol: its link is negative, stays as it is and sorts first
-    columns = Columns(link=np.arange(-k, 0), before=before[empty], common=np.zeros(k, np.uint8), where=empty)
-    last = np.arange(k)  # places of the suffixes that the last round inserted
-    for _ in range(longest):
-        transform, entries = columns.read("before"), columns.read("where")
-        active = last[transform[last] > 0]
-        if not len(active):
-            break
-        key = (transform[active].astype(np.int64) << 32) + active
-        order = np.argsort(key, kind="stable")
-        key, entry = key[order], earlier[entries[active[order]]]
-        link, common = columns.read("link"), columns.read("common")
-        n, k = len(link), len(key)
-        position = np.searchsorted(link, key)
-        lowest = Lowest(common)
-
-        def prefix(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-            """Common prefixes of neighbours (the upper one's link first)."""
-            out = np.zeros(len(low), np.uint8)
-            alike = np.flatnonzero((high >> 32) == (low >> 32))
-            if len(alike):
-                out[alike] = 1 + lowest.between((high[alike] & LOW) + 1, (low[alike] & LOW) + 1)
-            return out
-
-        # links of what stands above each insertion: an insertion in the same gap, or an older suffix
-        chained = np.zeros(k, bool)
-        chained[1:] = position[1:] == position[:-1]
-        above = link[position - 1]  # empty suffixes come first, so there is always one above
-        above[chained] = key[np.flatnonzero(chained) - 1]
-        fresh = prefix(above, key)
-        final = np.flatnonzero(np.append(position[1:] != position[:-1], True) & (position < n))
-        common[position[final]] = prefix(key[final], link[position[final]])
-
-        moved = np.cumsum(np.bincount(position, minlength=n + 1))  # insertions at or above each place
-        target = position + np.arange(k)
-        old = np.ones(n + k, bool)
-        old[target] = False
-
-        def merged(column: np.ndarray, new: np.ndarray) -> np.ndarray:
-            out = np.empty(n + k, column.dtype)
+    if int(np.maximum(lengths + 1, 0).sum()) + word * len(lengths) > LOW:
+        raise ValueError(f"a collection must have less than {LOW} suffixes")
+    table = None if word <= RAW else codes(data, word)
+
+    def symbols(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The symbol at each place, from 1; 0 in front of a string."""
+        out = (raw_words(data, word, np.maximum(at, 0)) if table is None else table[np.maximum(at, 0)]) + 1
+        out[at < begin] = 0
+        return out
+
+    # a strand for each string and phase that has a symbol; all start with an empty suffix
+    phase = np.tile(np.arange(word), len(starts))
+    begin, end = np.repeat(starts, word), np.repeat(starts + lengths, word) - phase
+    some = end - word >= begin
+    begin, end = begin[some].astype(np.int64), end[some].astype(np.int64)
+    k = len(end)
+    columns = Columns()
+    try:
+        # an empty suffix has no first symbol: its link is negative, stays as it is and sorts first
+        columns.write(link=np.arange(-k, 0), before=symbols(end - word, begin), common=np.zeros(k, np.uint8), where=-np.ones(k))
+        columns.turn(k)
+        last, places = np.arange(k), end  # where the suffixes of the last round are in the order, and in the strings
+        while len(last):
+            last, places, begin = inserted(columns, last, places, begin, symbols, word)
+        columns.start("where", "common")
+        where, common = columns.read("where", columns.n), columns.read("common", columns.n)
+    finally:
+        columns.close()
+    return where[k:].astype(np.int64), common[k:]  # the empty suffixes share nothing with what follows them
+
+
+def inserted(columns: Columns, last: np.ndarray, places: np.ndarray, begin: np.ndarray, symbols, word: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: a suffix one symbol longer for each strand that has another; (last, places, begin) for the next."""
+    n = columns.n
+    # the symbols in front, read from the transform; ``last`` ascends
+    columns.start("before")
+    front = np.empty(len(last), np.int64)
+    for a, b in columns.parts():
+        low, high = np.searchsorted(last, [a, b])
+        front[low:high] = columns.read("before", b - a)[last[low:high] - a]
+    active = np.flatnonzero(front)
+    if not len(active):
+        return last[:0], places[:0], begin[:0]
+    key = (front[active] << PLACE) + last[active]
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], active[order]
+    places, begin = places[of] - word, begin[of]
+
+    # where they go, and the links of what will stand above and below
+    k = len(key)
+    position, above, below = np.full(k, n), np.empty(k, np.int64), np.full(k, -1)
+    columns.start("link")
+    done, upper = 0, -1
+    for a, b in columns.parts():
+        link = columns.read("link", b - a)
+        high = int(np.searchsorted(key, link[-1], "right"))
+        at = np.searchsorted(link, key[done:high])
+        position[done:high], below[done:high] = a + at, link[at]
+        above[done:high] = np.where(at > 0, link[at - 1], upper)  # empty suffixes come first, so there is always one above
+        done, upper = high, link[-1]
+    above[done:] = upper
+    chained = np.zeros(k, bool)
+    chained[1:] = position[1:] == position[:-1]  # another insertion in the same gap stands above
+    above[chained] = key[np.flatnonzero(chained) - 1]
+    final = np.flatnonzero(np.append(position[1:] != position[:-1], True) & (position < n))
+
+    # common prefixes with the neighbours: tails of one symbol share one more than their own least
+    upper, lower = np.concatenate([above, key[final]]), np.concatenate([key, below[final]])
+    alike = np.flatnonzero((upper >> PLACE) == (lower >> PLACE))
+    shared = np.zeros(len(upper), np.uint8)
+    shared[alike] = 1 + lowest_in(columns, (upper[alike] & LOW) + 1, (lower[alike] & LOW) + 1)
+    fresh, changed = shared[:k], shared[k:]
+
+    # merge everything, file by file
+    moved = np.cumsum(np.bincount(position, minlength=n + 1)) if n <= BUFFER else None
+
+    def shift(place: np.ndarray) -> np.ndarray:
+        """How many insertions are at or above each place."""
+        return np.searchsorted(position, place, "right") if moved is None else moved[place]
+
+    new = {"link": key + shift(key & LOW), "before": symbols(places - word, begin), "common": fresh, "where": places}
+    columns.start(*_KINDS)
+    parts = columns.parts()
+    for a, b in parts:
+        low, high = np.searchsorted(position, [a, n + 1 if b == n else b])
+        here = position[low:high] - a + np.arange(high - low)
+        old = np.ones(b - a + high - low, bool)
+        old[here] = False
+        for name in _KINDS:
+            column = columns.read(name, b - a)
+            if name == "link":
+                inner = int(np.searchsorted(column, 0))  # links of empty suffixes don't move
+                column[inner:] += shift(column[inner:] & LOW)
+            if name == "common":
+                x, y = np.searchsorted(position[final], [a, b])
+                column[position[final[x:y]] - a] = changed[x:y]
+            out = np.empty(len(old), _KINDS[name])
             out[old] = column
-            out[target] = new
-            return out
-
-        inner = link >= 0
-        link[inner] += moved[link[inner] & LOW]
-        key += moved[key & LOW]
-        columns.replace(n + k, link=merged(link, key), before=merged(transform, before[entry]), common=merged(common, fresh), where=merged(entries, entry))
-        last = target
-    where, common = columns.read("where"), columns.read("common")
-    columns.close()
-    real = where < len(place)  # the empty suffixes share nothing with what follows them
-    return place[where[real]], common[real]
+            out[here] = new[name][low:high]
+            columns.write(**{name: out})
+    columns.turn(n + k)
+    return position + np.arange(k), places, begin
 
 
 def repeated_places(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:

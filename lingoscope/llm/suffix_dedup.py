@@ -5,15 +5,16 @@ else in the collection goes; overlaps count, matches never cross documents, and
 strings are judged on the input.
 
 No suffix array over the whole collection is needed to know which strings are
-equal: equal strings have the same smallest hash among their 32-byte substrings.
+equal: equal strings have the same smallest hash among their 64-byte substrings.
 
 1. Scan: for all windows of ``LENGTH`` bytes, the smallest of those hashes, their
    anchor.  Neighbouring windows with one anchor make a piece; a row says where
    it is, its anchor and a digest of its bytes.
 2. Anchors that occur once in the corpus are dropped: their windows are unique.
    (A piece that repeats itself has its anchor in two places, and counts twice.)
-   Equal pieces are folded to one with a weight.
-3. The texts of the remaining different pieces, joined by their row's key, are brought together
+   Equal pieces, by 128 bits of hashes, are folded to one with a weight.  A folded
+   piece that is the only one of its anchor is repeated as it stands.
+3. The texts of all other pieces, joined by their row's key, are brought together
    by anchor.  Each task builds the sorted suffixes and common prefixes of its
    pieces by the column-wise construction (see column_bwt), a block of anchors at
    a time; suffixes that share ``LENGTH`` bytes and weigh two or more are marked.
@@ -22,10 +23,11 @@ equal: equal strings have the same smallest hash among their 32-byte substrings.
 
 An anchor with very many different pieces (the edges of a passage that a large
 part of the corpus quotes) never comes to one task: its pieces are opened to
-single windows before the sort, and equal ones are counted by grouping on
-their bytes.  There the grouping decides, not the construction.  What most
-pieces share is looked up in a broadcast table, so no key gathers more than
-``COMMON`` rows, and a block's memory stays bounded whatever the anchor's count.
+single windows.  Those whose hash occurs once are unique; of the others, two of
+each hash from each batch are dealt out and compared by the same construction.
+What most pieces share is looked up in a broadcast table, so no key gathers more
+than ``COMMON`` rows, and a block's memory stays bounded whatever the anchor's
+count.
 
 Cases: null text counts as empty; texts below ``LENGTH`` bytes lose nothing; a
 row's key is a digest of its id and text, so rows with null or repeated ids are
@@ -45,12 +47,12 @@ from pyspark.sql import functions as F
 from lingoscope.llm.column_bwt import repeated_places
 from lingoscope.llm.common import byte_sized, narrow, sparing, utf8_of
 from lingoscope.llm.shingles import _power, mixed
-from lingoscope.operators.storage import stored
+from lingoscope.operators.storage import discard, stored
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 BLOCK_BYTES = 160_000  # of pieces that are sorted together
-MOST_PIECES = 4_000  # different pieces of one anchor that are sorted as they are
+MOST_PIECES = 2_000  # different pieces of one anchor that are sorted as they are
 COMMON = 1_000  # pieces with one window from which it is broadcast; there are at most (windows / COMMON) of those
 PIECE = 1 << 20
 
@@ -136,7 +138,7 @@ def scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def piece_texts(folded: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, weight, windows, bytes, crowded) of each different piece, cut from the text that has it."""
+    """(anchor, digest, weight, windows, bytes, crowded) of each piece, cut from the text that has it."""
     lists = folded.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "digest", "weight", "crowded")).alias("pieces"))
     rows = lists.join(docs, "key").select("text", "pieces")
 
@@ -174,8 +176,18 @@ def marked_windows(pieces: list[bytes], weights: np.ndarray, windows: np.ndarray
     return [flat[s : s + w] for s, w in zip(starts.tolist(), windows.tolist())]
 
 
+def window_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hashes of the ``length`` bytes from each place on, in two numbers."""
+    total, inverse = _sums(data)
+    plain = (total[length:] - total[:-length]) * inverse[: len(total) - length]
+    power, back = _power(len(data) + 1)
+    other = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODE[255 - data] * power[: len(data)], out=other[1:])
+    return mixed(plain, 11).view(np.int64), mixed((other[length:] - other[:-length]) * back[: len(other) - length], 12).view(np.int64)
+
+
 def opened(pieces: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, windows, weight, at, window) of every single window."""
+    """(anchor, digest, windows, weight, at, first, second) of every single window; the last two are its hash."""
 
     @sparing
     def run(batches):
@@ -186,29 +198,89 @@ def opened(pieces: DataFrame, length: int) -> DataFrame:
                 windows = some.column("windows").to_numpy()
                 piece = np.repeat(np.arange(n), windows)
                 at = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-                held = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[bounds[piece] + at])
-                offsets = np.arange(len(piece) + 1, dtype=np.int32) * np.int32(length)
-                window = pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+                hashes = window_hashes(data, length)
                 of = pa.array(piece)
                 yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c).take(of) for c in ("anchor", "digest", "windows", "weight")), pa.array(at.astype(np.int32)), window],
-                    names=["anchor", "digest", "windows", "weight", "at", "window"],
+                    [*(some.column(c).take(of) for c in ("anchor", "digest", "windows", "weight")), pa.array(at.astype(np.int32)), *(pa.array(h[bounds[piece] + at]) for h in hashes)],
+                    names=["anchor", "digest", "windows", "weight", "at", "first", "second"],
                 )
 
-    return pieces.mapInArrow(run, "anchor long, digest long, windows int, weight long, at int, window binary")
+    return pieces.mapInArrow(run, "anchor long, digest long, windows int, weight long, at int, first long, second long")
+
+
+def joined_by_hash(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows whose (first, second) is in ``held``, with its ``common``: whether very many rows have it."""
+    key = ["first", "second"]
+    common = rows.join(F.broadcast(held.where("common")), key, "left")
+    # the others have at most COMMON rows each; no row of a common one takes part in that shuffle
+    rare = common.where("common is null").drop("common").join(held.where("not common"), key)
+    return common.where("common").select(rare.columns).unionByName(rare)
+
+
+def windows_of(pieces: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """(first, second, common, weight, window) of the windows at ``places``; of those with one hash two of a batch will do."""
+    lists = places.groupBy("anchor", "digest").agg(F.collect_list(F.struct("at", "first", "second", "common")).alias("list"))
+    rows = pieces.select("anchor", "digest", "weight", "bytes").join(lists, ["anchor", "digest"]).select("weight", "bytes", "list")
+
+    @sparing
+    def run(batches):
+        for batch in batches:
+            data, bounds = utf8_of(batch.column("bytes"))
+            lists = batch.column("list")
+            of = lists.value_parent_indices().to_numpy()
+            at, first, second, common = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            weight = batch.column("weight").to_numpy()[of]
+            order = np.lexsort((second, first))
+            opens = np.ones(len(order), bool)
+            opens[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
+            two = order[nth < 2]  # of equal ones; that they are equal is for the construction to find
+            for k in range(0, len(two), part := max(1, PIECE // length)):
+                some = two[k : k + part]
+                held = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[bounds[of[some]] + at[some]])
+                offsets = np.arange(len(some) + 1, dtype=np.int32) * np.int32(length)
+                window = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first[some]), pa.array(second[some]), pa.array(common[some]), pa.array(weight[some]), window], names=["first", "second", "common", "weight", "window"]
+                )
+
+    return rows.mapInArrow(run, "first long, second long, common boolean, weight long, window binary")
+
+
+def confirmed(windows: DataFrame, length: int) -> DataFrame:
+    """(first, second, common) of the windows that the construction finds twice or more."""
+    dealt = windows.repartition("first").sortWithinPartitions("first", "second")
+
+    @sparing
+    def run(batches):
+        def block(rows):
+            found = marked_windows([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), np.ones(len(rows), np.int64), length)
+            names = sorted({r[:3] for r, m in zip(rows, found) if m[0]})
+            return pa.RecordBatch.from_arrays(
+                [pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([n[2] for n in names], pa.bool_())], names=["first", "second", "common"]
+            )
+
+        held = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if len(held) * length >= BLOCK_BYTES and row[:2] != held[-1][:2]:
+                    yield block(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield block(held)
+
+    return dealt.mapInArrow(run, "first long, second long, common boolean")
 
 
 def crowded_marks(pieces: DataFrame, length: int) -> DataFrame:
     """What ``marks`` gives, for the pieces of crowded anchors: window by window."""
     single = opened(pieces, length)
-    counts = single.groupBy("anchor", "window").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("pieces"))
-    twice = stored(counts.where("n > 1").select("anchor", "window", (F.col("pieces") > COMMON).alias("common")))
-    key = ["anchor", "window"]
-    common, rare = F.broadcast(twice.where("common")), twice.where("not common").select(*key)
-    split = single.drop("weight").join(common, key, "left")
-    # the rare windows have at most COMMON rows each; no row of a common one takes part in that shuffle
-    left = split.where("common is null").drop("common").join(rare, key)
-    found = split.where("common").drop("common").unionByName(left)
+    counts = single.groupBy("first", "second").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    twice = stored(counts.where("n > 1").select("first", "second", (F.col("pieces") > COMMON).alias("common")))
+    places = stored(joined_by_hash(single.drop("weight"), twice))
+    equal = stored(confirmed(windows_of(pieces, places, length), length))
+    found = joined_by_hash(places.drop("common"), equal)
     lists = found.groupBy("anchor", "digest", "windows").agg(F.collect_set("at").alias("at"))
 
     def pack(batches):
@@ -224,7 +296,7 @@ def crowded_marks(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def marks(pieces: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, marks): the windows of each piece, as packed bits, that occur elsewhere.
+    """(anchor, digest, marks): the windows of each piece that occur elsewhere, as packed bits.
 
     No anchor has more than ``MOST_PIECES`` pieces here.
     """
@@ -275,16 +347,18 @@ def cut_texts(docs: DataFrame, places: DataFrame, length: int, texts: bool) -> D
                     if lists[i].is_valid:
                         inner = lists.slice(i, 1).flatten()
                         start, windows, digest = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                        packed = inner.field(3).to_pylist()
+                        packed = inner.field(3)
                         total, inverse = _sums(np.frombuffer(raw, np.uint8))
+                        end = start + windows + length - 1
+                        # another text with the same key has other pieces there
+                        own = np.flatnonzero(end <= len(raw))
+                        own = own[mixed((total[end[own]] - total[start[own]]) * inverse[start[own]] + windows[own].astype(np.uint64)).view(np.int64) == digest[own]]
                         change = np.zeros(len(raw) + 1, np.int64)
-                        for s, w, d, bits in zip(start.tolist(), windows.tolist(), digest.tolist(), packed):
-                            end = s + w + length - 1
-                            if end > len(raw):
-                                continue
-                            if int(mixed((total[end : end + 1] - total[s : s + 1]) * inverse[s : s + 1] + np.uint64(w)).view(np.int64)[0]) != d:
-                                continue
-                            at = s + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=w))
+                        whole = packed.is_null().to_numpy(zero_copy_only=False)[own]
+                        np.add.at(change, start[own[whole]], 1)
+                        np.add.at(change, end[own[whole]], -1)
+                        for k in own[~whole].tolist():
+                            at = start[k] + np.flatnonzero(np.unpackbits(np.frombuffer(packed[k].as_py(), np.uint8), count=windows[k]))
                             change[at] += 1
                             change[at + length] -= 1
                         gone = np.cumsum(change[:-1]) > 0
@@ -309,19 +383,22 @@ def cut_texts(docs: DataFrame, places: DataFrame, length: int, texts: bool) -> D
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept (the remaining bytes) for every row."""
     rows = narrow(docs, id=id_col, text=text_col).withColumn("key", F.xxhash64("id", "text"))
-    pieces = scan(rows, length, gram)
-    repeated = pieces.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    pieces = stored(scan(rows, length, gram))
+    repeated = stored(pieces.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"))
     places = stored(pieces.drop("times").join(repeated, "anchor"))
+    discard(pieces, repeated)
     folded = stored(places.groupBy("anchor", "digest", "windows").agg(F.count(F.lit(1)).alias("weight"), F.min("key").alias("key"), F.min_by("start", "key").alias("start")))
-    crowds = stored(folded.groupBy("anchor").count().where(F.col("count") > MOST_PIECES).select("anchor", F.lit(True).alias("crowded")))
-    if crowds.isEmpty():
-        found = marks(piece_texts(folded.withColumn("crowded", F.lit(False)), rows, length), length)
-    else:
-        # of the pieces' number at most one in MOST_PIECES, so small enough to broadcast
-        flagged = folded.join(F.broadcast(crowds), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-        pieces = stored(piece_texts(flagged, rows, length))
-        found = marks(pieces.where("not crowded"), length).unionByName(crowded_marks(pieces.where("crowded"), length))
+    different = stored(folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces")))
+    counted = stored(folded.join(different, "anchor").withColumn("crowded", F.col("pieces") > MOST_PIECES))
+    discard(folded, different)
+    settled = F.col("pieces") == 1, F.col("weight") > 1
+    whole = counted.where(settled[0] & settled[1]).select("anchor", "digest", F.lit(None).cast("binary").alias("marks"))
+    texts_of = stored(piece_texts(counted.where(~(settled[0] & settled[1])), rows, length))
+    found = marks(texts_of.where("not crowded"), length)
+    if not texts_of.where("crowded").isEmpty():
+        found = found.unionByName(crowded_marks(texts_of.where("crowded"), length))
     found = stored(found)
-    here = places.join(found, ["anchor", "digest"]).select("key", "start", "windows", "digest", "marks")
+    discard(texts_of)
+    here = places.join(found.unionByName(whole), ["anchor", "digest"]).select("key", "start", "windows", "digest", "marks")
     out = cut_texts(rows, here, length, texts)
     return (out if texts else out.drop("kept")).withColumnRenamed("id", id_col)

@@ -672,3 +672,43 @@ def test_empty_vectors_and_scores_that_do_not_fit(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 0)]
     with pytest.raises(Exception, match="64 bits"):
         topk_search.top_k(spark.createDataFrame([(0, [1e9], 0), (1, [1e9], 0)], kind), F.col("id") == 0).collect()
+
+
+@pytest.mark.parametrize("most", [2000, 2])
+def test_the_construction_decides_what_repeats(spark, monkeypatch, most):
+    """With a construction that only reads weights the result is wrong, in the plain and in the crowded path."""
+    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", most)
+    rng = np.random.default_rng(15)
+    prose = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = prose(300)
+    texts = [prose(int(k)) + passage + prose(int(k)) for k in rng.integers(20, 150, 9)]
+    rows = [(i, t, *[None] * 7) for i, t in enumerate(texts)]
+    result = lambda: {r["doc_id"]: tuple(r[1:5]) for r in suffix_dedup.without_repeats(table(spark, rows).repartition(3), texts=False).collect()}
+    want = [x[:4] for x in cut(texts, 200)]
+    got = result()
+    assert [got[i] for i in range(len(texts))] == want
+
+    def by_weight(pieces, weights, windows, length):
+        return [np.full(n, w > 1) for n, w in zip(windows, weights)]
+
+    monkeypatch.setattr(suffix_dedup, "marked_windows", by_weight)
+    got = result()
+    assert [got[i] for i in range(len(texts))] != want
+
+
+@pytest.mark.parametrize("buffer", [7, 64, 1 << 18])
+def test_columns_may_exceed_their_buffer(monkeypatch, buffer):
+    monkeypatch.setattr(column_bwt, "BUFFER", buffer)
+    rng = np.random.default_rng(buffer)
+    for word in (1, 4, 5, 12):
+        strings = [bytes(rng.integers(97, 99, int(rng.integers(1, 120))).astype(np.uint8)) for _ in range(6)]
+        lengths = np.array(list(map(len, strings)))
+        starts = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        place, common = column_bwt.sorted_suffixes(data, starts, lengths, word)
+        of = np.searchsorted(starts, place, "right") - 1
+        suffixes = [data[p : p + (starts[o] + lengths[o] - p) // word * word].tobytes() for p, o in zip(place, of)]
+        assert suffixes == sorted(suffixes) and len(suffixes) == int(np.maximum(0, lengths - word + 1).sum())
+        for a, b, n in zip(suffixes, suffixes[1:], common[1:]):
+            same = [a[k : k + word] == b[k : k + word] and len(a) >= k + word for k in range(0, len(b), word)]
+            assert n == (same.index(False) if False in same else len(same))

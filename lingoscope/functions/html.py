@@ -20,6 +20,11 @@ UNRENDERED = r"\{\{[^{}]{1,120}\}\}|\$\{[^{}]{1,120}\}|\[\[[^\[\]]{1,120}\]\]"
 _KEPT = "\u0001"
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def element(html: Column, tag: str) -> Column:
     """What the first ``tag`` element holds; NULL without one."""
     pattern = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
@@ -32,16 +37,35 @@ def _without(html: Column, *tags: str) -> Column:
     return html
 
 
-def _entities(text: Column, others: str | None) -> Column:
-    """Reads known entities; ``others`` replaces the rest (None: they stay)."""
+def _entities(text: Column, others: str) -> Column:
+    """Reads known entities; ``others`` replaces the rest."""
     for name, value in ENTITIES.items():
         text = F.regexp_replace(text, f"(?i){name}", value)
     text = F.regexp_replace(text, "(?i)&amp;", _KEPT)  # a read ampersand must not open another entity
-    if others is not None:
-        text = F.regexp_replace(text, r"(?i)&[a-z]+;|&#[0-9]+;", others)
+    text = F.regexp_replace(text, r"(?i)&[a-z]+;|&#[0-9]+;", others)
     return F.regexp_replace(text, _KEPT, "&")
 
 
+#: The entities with a name that a title or description may use.
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
+
+
+def decoded_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities as characters; others stay as they are written."""
+
+    def one(part: Column) -> Column:
+        hexadecimal = F.regexp_extract(part, r"^(?i)&#x0*([0-9a-f]{1,6});$", 1)
+        decimal = F.regexp_extract(part, r"^&#0*([0-9]{1,7});$", 1)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).try_cast("int")
+        known = code.between(0x20, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        read = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.element_at(F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair)), F.lower(part))
+        return F.coalesce(named, F.when(known, read), part)
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?i)(&#x[0-9a-f]+;|&#[0-9]+;|&[a-z]+;|[^&]+|&)"), 1)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def _collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
@@ -70,24 +94,32 @@ def blocks(region: Column) -> Column:
 
 def markers(html: Column) -> Column:
     """Kinds of placeholder left in a page, outside code samples."""
-    shown = visible_text(_without(html, "code", "pre"))
-    kinds = {"lorem_ipsum": shown.rlike("lorem ipsum"), "unrendered_expression": shown.rlike(UNRENDERED)}
-    return F.array_compact(F.array(*(F.when(test, F.lit(kind)) for kind, test in kinds.items())))
+    kinds = {"lorem_ipsum": "lorem ipsum", "unrendered_expression": UNRENDERED}
+    return once(visible_text(_without(html, "code", "pre")), lambda shown: F.array_compact(F.array(*(F.when(shown.rlike(test), F.lit(kind)) for kind, test in kinds.items()))))
+
+
+def text_facts(html: Column) -> Column:
+    """(text_length, text_digest) of what a page's content region shows."""
+    return once(visible_text(content_region(html)[0]), lambda t: F.struct(F.length(t).cast("int").alias("text_length"), text_digest(t).alias("text_digest")))
 
 
 def content(html: Column, is_html: Column) -> Column:
+    def full(part: Column) -> Column:
+        def described(text: Column) -> Column:
+            return F.struct(
+                F.lit(True).alias("is_html"), part["isolated"].alias("isolated"), text_digest(text).alias("text_digest"), F.length(text).cast("int").alias("text_length"),
+                markers(html).alias("markers"), blocks(part["region"]).alias("blocks"),
+            )
+
+        return once(visible_text(part["region"]), described)
+
     region, isolated = content_region(html)
-    text = visible_text(region)
-    full = F.struct(
-        F.lit(True).alias("is_html"), isolated.alias("isolated"), text_digest(text).alias("text_digest"), F.length(text).cast("int").alias("text_length"),
-        markers(html).alias("markers"), blocks(region).alias("blocks"),
-    )
     no = F.struct(*(F.lit(False).alias(name) for name in BLOCK_TAGS))
     empty = F.struct(
         is_html.alias("is_html"), F.lit(False).alias("isolated"), F.lit(None).cast("string").alias("text_digest"), F.lit(0).alias("text_length"),
         F.array().cast("array<string>").alias("markers"), no.alias("blocks"),
     )
-    return F.when(is_html & (F.trim(html) != ""), full).otherwise(empty)
+    return F.when(is_html & (F.trim(html) != ""), once(F.struct(region.alias("region"), isolated.alias("isolated")), full)).otherwise(empty)
 
 
 def head_region(html: Column) -> Column:
@@ -96,8 +128,8 @@ def head_region(html: Column) -> Column:
 
 
 def plain_text(markup: Column) -> Column:
-    """A title or description: tags out, known entities read, others kept; NULL if nothing is left."""
-    text = _collapsed(_entities(F.regexp_replace(markup, "<[^>]*>", " "), None))
+    """A title or description: tags out, entities read, unknown ones kept; NULL if nothing is left."""
+    text = _collapsed(decoded_entities(F.regexp_replace(markup, "<[^>]*>", " ")))
     return F.when(text != "", F.substring(text, 1, MAX_METADATA_CHARS))
 
 
@@ -109,17 +141,30 @@ def tags(html: Column, name: str) -> Column:
 def attribute(tag: Column, name: str, before: str = r"[\s\"'/]") -> Column:
     """An attribute's value, trimmed; NULL if the tag has none.  ``before`` must precede the name."""
     pattern = rf"(?i){before}{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
-    value = F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"^[\"']|[\"']$", "")
-    return F.when(tag.rlike(pattern), F.trim(value))
+    # an attribute that is there has a character at least, a quote or another
+    return once(F.regexp_extract(tag, pattern, 1), lambda found: F.when(found != "", F.trim(F.regexp_replace(found, r"^[\"']|[\"']$", ""))))
+
+
+def _title(head: Column) -> Column:
+    return plain_text(element(head, "title"))
+
+
+def _description(head: Column) -> Column:
+    metas = F.filter(tags(head, "meta"), lambda t: F.lower(attribute(t, "name")) == "description")
+    return plain_text(attribute(F.get(metas, F.lit(0)), "content"))
 
 
 def title(html: Column) -> Column:
-    return plain_text(element(head_region(html), "title"))
+    return once(head_region(html), _title)
 
 
 def description(html: Column) -> Column:
-    metas = F.filter(tags(head_region(html), "meta"), lambda t: F.lower(attribute(t, "name")) == "description")
-    return plain_text(attribute(F.get(metas, F.lit(0)), "content"))
+    return once(head_region(html), _description)
+
+
+def head_facts(head: Column) -> Column:
+    """(title, description, robots) of a head region."""
+    return F.struct(_title(head).alias("title"), _description(head).alias("description"), _robots_meta(head).alias("robots"))
 
 
 def raw_canonicals(html: Column) -> Column:
@@ -133,7 +178,11 @@ def directives(value: Column) -> Column:
 
 
 def robots_meta(html: Column) -> Column:
-    metas = F.filter(tags(head_region(html), "meta"), lambda t: F.lower(attribute(t, "name")).isin(list(ROBOT_NAMES)) & attribute(t, "content").isNotNull())
+    return once(head_region(html), _robots_meta)
+
+
+def _robots_meta(head: Column) -> Column:
+    metas = F.filter(tags(head, "meta"), lambda t: F.lower(attribute(t, "name")).isin(list(ROBOT_NAMES)) & attribute(t, "content").isNotNull())
 
     def one(t: Column) -> Column:
         name = F.lower(attribute(t, "name"))
@@ -142,10 +191,16 @@ def robots_meta(html: Column) -> Column:
     return F.transform(metas, one)
 
 
+def quoted(tag: Column, name: str) -> Column:
+    """An attribute's value if it is quoted and not empty, else NULL."""
+    pattern = rf"(?i){name}\s*=\s*[\"']([^\"']+)[\"']"
+    return F.when(tag.rlike(pattern), F.regexp_extract(tag, pattern, 1))
+
+
 def raw_hreflang(html: Column) -> Column:
     """(locale, href) of every alternate link, in document order."""
-    links = F.filter(tags(html, "link"), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']alternate") & attribute(t, "hreflang").isNotNull() & attribute(t, "href").isNotNull())
-    return F.transform(links, lambda t: F.struct(F.lower(attribute(t, "hreflang")).alias("locale"), attribute(t, "href").alias("href")))
+    links = F.filter(tags(html, "link"), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?alternate") & quoted(t, "hreflang").isNotNull() & quoted(t, "href").isNotNull())
+    return F.transform(links, lambda t: F.struct(F.lower(quoted(t, "hreflang")).alias("locale"), quoted(t, "href").alias("href")))
 
 
 def raw_links(html: Column) -> Column:

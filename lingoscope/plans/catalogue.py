@@ -70,20 +70,20 @@ _TITLE = r"""
 """
 
 
-def _texts(pages: DataFrame) -> DataFrame:
-    region, _ = html.content_region(F.col("html"))
-    return pages.withColumn("text", html.visible_text(region))
+def _texts(pages: DataFrame, *columns) -> DataFrame:
+    """The columns and (text_length, text_digest); a filter on these doesn't read the text again."""
+    return pages.select(*columns, F.inline(F.array(html.text_facts(F.col("html")))))
 
 
 @query(f"SELECT page_id, CAST(length(t) AS INTEGER) AS text_length, CASE WHEN length(t) >= 200 THEN sha256(t) END AS text_digest FROM (SELECT page_id, {_TEXT} AS t FROM pages)")
 def page_content_digest(spark, sf_dir):
-    return _texts(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("text_length"), html.text_digest(F.col("text")).alias("text_digest"))
+    return _texts(table(spark, sf_dir, "pages"), "page_id")
 
 
 @query(f"""SELECT digest, count(*) AS pages, string_agg(u, '|' ORDER BY u) AS urls FROM
     (SELECT {_URL} AS u, CASE WHEN length(t) >= 200 THEN sha256(t) END AS digest FROM (SELECT url, {_TEXT} AS t FROM pages)) WHERE digest IS NOT NULL GROUP BY digest HAVING count(*) >= 2""")
 def content_duplicated(spark, sf_dir):
-    rows = _texts(table(spark, sf_dir, "pages")).select(page_url(F.col("url")).alias("url"), html.text_digest(F.col("text")).alias("digest")).where("digest is not null")
+    rows = _texts(table(spark, sf_dir, "pages"), page_url(F.col("url")).alias("url")).withColumnRenamed("text_digest", "digest").where("digest is not null")
     return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("pages"), joined(F.array_sort(F.collect_list("url"))).alias("urls")).where("pages >= 2")
 
 
@@ -201,8 +201,7 @@ def detect_findings(spark, sf_dir):
     held = {"base": base, "crawl_complete": F.lit(True), "scope_narrowed": F.lit(False), "entry_url": base, "expected_locales": F.array(F.lit("en"), F.lit("de")), "include_paths": none, "exclude_paths": none, "requested": none}
     held |= {"external_complete": F.lit(False), "weights_complete": F.lit(False), "render_complete": F.lit(True), "sitemap_source": F.lit(None).cast("string"), "sitemap_discovery": F.lit(None).cast("string"), "now": F.lit(None).cast("timestamp")}
     run = stored(fetched.select("run_id").distinct()).select("run_id", *[c.alias(name) for name, c in held.items()])
-    facts = stored(crawled(fetched).withColumn("redirect_chain", F.lit(None).cast(f"array<{rules.S.HOP}>")))
-    return rules.detect(rules.Crawl(spark, facts, run))  # every rule reads the pages
+    return rules.detect(rules.Crawl(spark, crawled(fetched), run))
 
 
 def _one_of_each_address(pages: DataFrame) -> DataFrame:

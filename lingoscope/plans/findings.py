@@ -92,8 +92,10 @@ def identity(kind: Column, detail: Column, url: Column) -> Column:
         return F.coalesce(F.get_json_object(detail, f"$.{path}"), F.lit(""))
 
     keys = {name: F.concat_ws("\u0000", F.lit(name), *(part(p) for p in parts)) for name, parts in IDENTITY.items()}
-    fallback = F.concat_ws("\u0000", kind, F.coalesce(url, F.lit("")), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(detail, "map<string,string>"))))))
-    return _by_type(kind, keys, fallback)
+    # a type that isn't known is named by the address it speaks of, and only without one by its whole detail
+    subject = F.array_join(F.array_sort(F.array_distinct(_strings(detail, "url"))), "\u0001")
+    whole = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.from_json(detail, "map<string,string>")))))
+    return _by_type(kind, keys, F.concat_ws("\u0000", kind, F.when(subject != "", subject).otherwise(whole)))
 
 
 def roles(kind: Column, detail: Column) -> Column:

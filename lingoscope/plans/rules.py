@@ -4,12 +4,16 @@ A rule takes a ``Crawl`` and returns (run_id, type, url, detail).  All are keyed
 by run, so one plan judges any number of runs.  A rule says nothing where a fact
 wasn't recorded; those marked *whole* also say nothing unless the crawl was.
 Some rules defer to others: the sets they defer to are parts of their plans.
+
+Tables that several rules read (judged pages, families, declarations, links and
+the sets that rules defer to) are written once for a crawl; rules then read the
+few columns they need.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +22,7 @@ from lingoscope import schema as S
 from lingoscope.functions import bands, headers
 from lingoscope.functions.locale import answers, is_language_tag, locale_from_path, primary
 from lingoscope.functions.urls import ancestors, in_scope, origin_of, page_url, path_of
+from lingoscope.operators.storage import stored
 from lingoscope.plans.variants import declarations, families
 from lingoscope.sources.robots import group_for, verdicts
 from lingoscope.sources.sitemap import reconciled
@@ -27,9 +32,27 @@ def is_failed(error: Column, status: Column) -> Column:
     return error.isNotNull() | status.isNull() | (status >= 400)
 
 
+def conforming(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` with the schema's columns that it lacks, as NULLs: not recorded."""
+    kinds = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], schema).schema}
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items() if name not in df.columns})
+
+
+def once(part):
+    """For a part of the plans that several rules read: written at its first use."""
+
+    @wraps(part)
+    def run(c: Crawl) -> DataFrame:
+        if part.__name__ not in c.kept:
+            c.kept[part.__name__] = stored(part(c))
+        return c.kept[part.__name__]
+
+    return run
+
+
 @dataclass
 class Crawl:
-    """What crawls recorded; tables that are left out weren't recorded."""
+    """What crawls recorded; tables and columns that are left out weren't recorded."""
 
     spark: SparkSession
     pages: DataFrame
@@ -43,8 +66,10 @@ class Crawl:
     certificates: DataFrame | None = None
     observations: DataFrame | None = None
     visual: DataFrame | None = None
+    kept: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
+        self.pages, self.runs = conforming(self.pages, S.PAGES), conforming(self.runs, S.RUNS)
         for name, kind in (
             ("reverified", S.REVERIFIED), ("aliases", S.ALIASES), ("external", S.EXTERNAL), ("image_weights", S.IMAGE_WEIGHTS), ("sitemap", S.SITEMAP),
             ("robots", S.ROBOTS), ("certificates", S.CERTIFICATES), ("observations", S.OBSERVATIONS), ("visual", S.VISUAL),
@@ -52,45 +77,50 @@ class Crawl:
             if getattr(self, name) is None:
                 setattr(self, name, self.spark.createDataFrame([], kind))
 
+    @cached_property
+    def recorded(self) -> DataFrame:
+        """The pages, read from their HTML once at most."""
+        return stored(self.pages.select(*self.spark.createDataFrame([], S.PAGES).columns))
+
     @cached_property
     def judged(self) -> DataFrame:
         """Pages with the status that holds (a second observation replaces the first) and run facts."""
         again = self.reverified.select("run_id", "url", F.col("http_status").alias("s2"), F.col("fetch_error").alias("e2"), F.col("confirmed").alias("confirmed"), F.lit(True).alias("again"))
-        rows = self.pages.join(again, ["run_id", "url"], "left")
+        rows = self.recorded.join(again, ["run_id", "url"], "left")
         rows = rows.withColumns(
             {"http_status": F.when(F.col("again"), F.col("s2")).otherwise(F.col("http_status")), "fetch_error": F.when(F.col("again"), F.col("e2")).otherwise(F.col("fetch_error"))}
         ).drop("s2", "e2", "again")
         rows = rows.withColumn("failed", is_failed(F.col("fetch_error"), F.col("http_status")))
         facts = self.runs.select("run_id", "base", F.coalesce("crawl_complete", F.lit(False)).alias("whole"), "include_paths", "exclude_paths")
-        return rows.join(facts, "run_id").withColumn("html_page", ~F.col("failed") & F.coalesce(F.col("content.is_html"), F.lit(False)))
+        return stored(rows.join(facts, "run_id").withColumn("html_page", ~F.col("failed") & F.coalesce(F.col("content.is_html"), F.lit(False))))
 
     @cached_property
     def family(self) -> DataFrame:
-        return families(self.pages)
+        return stored(families(self.recorded))
 
     @cached_property
     def members(self) -> DataFrame:
         """Pages of families of two or more, with their family and locale."""
         rows = self.family.join(self.judged.select("run_id", "url", "failed", "html_page", "whole", "content", "http_status", "fetch_error", "hreflang"), ["run_id", "url"])
         big = rows.groupBy("run_id", "group_key").agg(F.count(F.lit(1)).alias("size")).where("size >= 2").drop("size")
-        return rows.join(big, ["run_id", "group_key"])
+        return stored(rows.join(big, ["run_id", "group_key"]))
 
     @cached_property
     def declared(self) -> DataFrame:
         """(run_id, declared_by, locale, target): alternates in a named language, to other pages."""
-        rows = declarations(self.pages).where(is_language_tag(F.col("locale")) & (F.col("url") != F.col("target")))
-        return rows.withColumnRenamed("url", "declared_by")
+        rows = declarations(self.recorded).where(is_language_tag(F.col("locale")) & (F.col("url") != F.col("target")))
+        return stored(rows.withColumnRenamed("url", "declared_by"))
 
     @cached_property
     def links(self) -> DataFrame:
         """(run_id, src, dst): every link to another address, once."""
-        return self.pages.select("run_id", F.col("url").alias("src"), F.explode("links").alias("dst")).where("src <> dst").distinct()
+        return stored(self.recorded.select("run_id", F.col("url").alias("src"), F.explode("links").alias("dst")).where("src <> dst").distinct())
 
     @cached_property
     def comparable_entries(self) -> DataFrame:
         """(run_id, url, raw): sitemap entries that the run could have crawled, once."""
         rows = reconciled(self.sitemap, self.runs).where("part = 'comparable'")
-        return rows.groupBy("run_id", "url").agg(F.min("raw").alias("raw"))
+        return stored(rows.groupBy("run_id", "url").agg(F.min("raw").alias("raw")))
 
     def scoped(self, df: DataFrame, url: str) -> DataFrame:
         """Rows whose address the run meant to crawl."""
@@ -124,6 +154,7 @@ def missing_locale(c: Crawl) -> DataFrame:
     return _finding(fam, "missing_locale", F.get("urls", F.lit(0)), groupKey="group_key", missingLocale="expected", presentLocales="present", memberUrls="urls")
 
 
+@once
 def _diverged(c: Crawl) -> DataFrame:
     broken = c.members.where("failed").select("run_id", "group_key", F.col("url").alias("target"), "locale", "http_status", "fetch_error")
     by = c.declared.groupBy("run_id", "target").agg(_sorted_set("declared_by").alias("by")).where("size(by) >= 2")
@@ -148,11 +179,12 @@ def hreflang_target_failed(c: Crawl) -> DataFrame:
 
 def hreflang_target_unreached(c: Crawl) -> DataFrame:
     """*Whole.*  A declared alternate inside the scope that the crawl never recorded."""
-    known = c.pages.select("run_id", F.col("url").alias("target"))
+    known = c.recorded.select("run_id", F.col("url").alias("target"))
     rows = c.whole_only(c.scoped(c.declared.join(known, ["run_id", "target"], "left_anti"), "target"))
     return _finding(rows, "hreflang_target_unreached", F.col("declared_by"), declaredBy="declared_by", locale="locale", target="target")
 
 
+@once
 def _inconsistent(c: Crawl) -> DataFrame:
     own = F.filter(F.map_entries(F.coalesce("hreflang", F.create_map().cast("map<string,string>"))), lambda e: is_language_tag(e["key"]))
     healthy = c.members.where("not failed").withColumn("own", own)
@@ -187,6 +219,7 @@ def no_hreflang(c: Crawl) -> DataFrame:
     return _finding(rows.join(described, ["run_id", "url"], "left_anti"), "no_hreflang", F.col("url"), url="url", impliedLocale="implied")
 
 
+@once
 def _identical(c: Crawl) -> DataFrame:
     rows = c.members.where("whole and html_page and content.text_digest is not null and locale is not null")
     return rows.groupBy("run_id", "group_key", F.col("content.text_digest").alias("digest")).agg(
@@ -244,6 +277,7 @@ def _several_canonicals(c: Crawl) -> DataFrame:
     return c.judged.where("html_page and size(metadata.canonicals) >= 2")
 
 
+@once
 def _single_canonicals(c: Crawl) -> DataFrame:
     """(run_id, url, canonical) of pages that name one other page."""
     return c.judged.where("html_page and size(metadata.canonicals) = 1").select("run_id", "url", F.get("metadata.canonicals", F.lit(0)).alias("canonical")).where("canonical <> url")
@@ -258,6 +292,7 @@ def canonical_conflicting(c: Crawl) -> DataFrame:
     return several.unionByName(chain)
 
 
+@once
 def _broken_canonicals(c: Crawl) -> DataFrame:
     targets = c.judged.select("run_id", F.col("url").alias("canonical"), "failed", "http_status", "fetch_error")
     rows = _single_canonicals(c).join(targets, ["run_id", "canonical"], "left")
@@ -271,6 +306,7 @@ def canonical_target_broken(c: Crawl) -> DataFrame:
     return _finding(_broken_canonicals(c), "canonical_target_broken", F.col("url"), kind="kind", url="url", canonical="canonical", httpStatus="http_status", fetchError="fetch_error")
 
 
+@once
 def _noindex(c: Crawl) -> DataFrame:
     """(run_id, url, channel, crawler, directive) of every statement that keeps a healthy page out."""
     pages = c.judged.where("not failed")
@@ -322,11 +358,11 @@ def link_external_broken(c: Crawl) -> DataFrame:
 
 def redirect_chain(c: Crawl) -> DataFrame:
     """Routes of two or more real hops, and loops; each start once."""
-    routes = c.pages.select("run_id", F.col("redirect_chain").alias("chain"), F.col("url").alias("to")).unionByName(c.aliases.select("run_id", "chain", F.col("served").alias("to"))).where("size(chain) > 0")
+    routes = c.recorded.select("run_id", F.col("redirect_chain").alias("chain"), F.col("url").alias("to")).unionByName(c.aliases.select("run_id", "chain", F.col("served").alias("to"))).where("size(chain) > 0")
     real = F.filter("chain", lambda h: ~page_url(h["url"]).eqNullSafe(page_url(h["location"])))
     visited = F.transform("chain", lambda h: h["url"])
-    last = F.element_at("chain", -1)["location"]
-    rows = routes.withColumns({"from": F.col("chain")[0]["url"], "hops": real, "loop": F.array_contains(visited, last) | (F.size(F.array_distinct(visited)) < F.size(visited))})
+    last = F.get("chain", F.size("chain") - 1)["location"]
+    rows = routes.withColumns({"from": F.get("chain", F.lit(0))["url"], "hops": real, "loop": F.array_contains(visited, last) | (F.size(F.array_distinct(visited)) < F.size(visited))})
     rows = rows.where("coalesce(loop, false) or size(hops) >= 2").groupBy("run_id", "from").agg(F.max_by(F.struct("loop", "hops", "to"), F.struct("loop", F.size("hops"))).alias("r"))
     linked = c.links.groupBy("run_id", F.col("dst").alias("from")).agg(_sorted_set("src").alias("linked"))
     rows = rows.join(linked, ["run_id", "from"], "left").select("run_id", "from", "r.*", F.coalesce("linked", F.array().cast("array<string>")).alias("linked"))
@@ -409,7 +445,7 @@ def page_orphaned(c: Crawl) -> DataFrame:
     linked = c.links.select("run_id", either(F.col("dst")).alias("key"))
     routed = c.aliases.select("run_id", either(F.col("requested")).alias("key"))
     lonely = entries.join(linked, ["run_id", "key"], "left_anti").join(routed, ["run_id", "key"], "left_anti")
-    seen = c.pages.select("run_id", either(F.col("url")).alias("above"))
+    seen = c.recorded.select("run_id", either(F.col("url")).alias("above"))
     above = lonely.select("run_id", "url", F.explode(ancestors(F.col("url"))).alias("a")).select("run_id", "url", either(F.col("a")).alias("above"))
     rows = above.join(seen, ["run_id", "above"], "left_semi").groupBy("run_id").agg(_sorted_set("url").alias("urls"))
     return _finding(_with_sitemap(c, rows), "page_orphaned", None, sitemapSource="sitemap_source", discovery="sitemap_discovery", urls="urls")
@@ -467,5 +503,11 @@ def detect(c: Crawl, rule_set: list[str] | None = None) -> DataFrame:
     for at, name in enumerate(rule_set or S.RULES):
         rows = RULES[name](c).withColumn("rule", F.lit(at))
         found = rows if found is None else found.unionByName(rows)
-    order = Window.partitionBy("run_id").orderBy("rule", F.col("url").asc_nulls_first(), "detail")
-    return found.select("run_id", F.row_number().over(order).cast("long").alias("ord"), "type", "url", "detail")
+    order = ["run_id", "rule", "url", "detail"]  # NULL comes first
+    # sorted by ranges; a finding's number is what its run has in the ranges before, and its place in its own
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id()})
+    ranged = stored(ranged)
+    counts = ranged.groupBy("run_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("run_id", "part", "first", before.alias("before"))
+    return ranged.join(starts, ["run_id", "part"]).select("run_id", (F.col("before") + F.col("nth") - F.col("first") + 1).alias("ord"), "type", "url", "detail")

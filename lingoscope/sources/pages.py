@@ -7,36 +7,38 @@ from pyspark.sql import functions as F
 
 from lingoscope.functions import headers, html
 from lingoscope.functions.urls import page_url, resolved
-from lingoscope.schema import MAX_REDIRECT_HOPS
+from lingoscope.schema import HOP, MAX_REDIRECT_HOPS
 from lingoscope.operators.storage import stored
 
 
 def crawled(pages: DataFrame) -> DataFrame:
     """Facts (see schema.PAGES) of rows (run_id, url, http_status, fetch_error, content_type, headers, html).
 
-    One pass over the HTML for everything but images, which are grouped by
+    Rows may have a ``redirect_chain``; without one no page was redirected.  One pass over the HTML for everything but images, which are grouped by
     address.  A page without a body (an error) has empty facts, not NULL ones.
     """
     h = F.coalesce(F.col("html"), F.lit(""))
     is_html = F.coalesce(F.lower("content_type").rlike("html"), F.lit(False)) & F.col("html").isNotNull()
     declared = html.raw_hreflang(h)
     targets = resolved(F.transform(declared, lambda d: d["href"]), F.col("url"))
-    rows = pages.withColumn("url", page_url(F.col("url"))).select(
-        "run_id", "url", "http_status", "fetch_error", "html",
+    chain = F.array().cast(f"array<{HOP}>")
+    if "redirect_chain" in pages.columns:
+        chain = F.coalesce(F.col("redirect_chain").cast(f"array<{HOP}>"), chain)
+    rows = pages.withColumn("url", page_url(F.col("url"))).withColumn("redirect_chain", chain).select(
+        "run_id", "url", "http_status", "fetch_error", "html", "redirect_chain", is_html.alias("is_html"),
         F.transform(declared, lambda d: d["locale"]).alias("locales"), targets.alias("targets"),
-        resolved(html.raw_links(h), F.col("url")).alias("links"),
-        html.content(h, is_html).alias("content"),
-        html.title(h).alias("title"), html.description(h).alias("description"),
-        resolved(html.raw_canonicals(h), F.col("url")).alias("canonicals"), html.robots_meta(h).alias("robots"),
+        resolved(html.raw_links(h), F.col("url")).alias("links"), resolved(html.raw_canonicals(h), F.col("url")).alias("canonicals"),
         F.element_at("headers", "x-robots-tag").alias("x_robots_tag"), headers.security_headers(F.col("headers")).alias("security_headers"),
     )
+    # one generated row for each page: what follows reads these facts without working them out again
+    rows = rows.select("*", F.inline(F.array(F.struct(html.content(h, F.col("is_html")).alias("content"), html.once(html.head_region(h), html.head_facts).alias("head")))))
     pairs = F.filter(F.arrays_zip("locales", "targets"), lambda p: p["targets"].isNotNull())
     # the last declaration of a locale holds
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["locales"]), F.create_map(p["locales"], p["targets"])))
     facts = rows.select(
         "run_id", "url", "http_status", "fetch_error", last.alias("hreflang"), F.array_distinct(F.array_compact("links")).alias("links"), "content",
-        F.struct("title", "description", F.array_distinct(F.array_compact("canonicals")).alias("canonicals"), "robots").alias("metadata"),
-        "x_robots_tag", "security_headers",
+        F.struct("head.title", "head.description", F.array_distinct(F.array_compact("canonicals")).alias("canonicals"), "head.robots").alias("metadata"),
+        "x_robots_tag", "security_headers", "redirect_chain",
     )
     found = html.images(rows.where("content.is_html"), ["run_id", "url"])
     none = F.array().cast("array<string>")

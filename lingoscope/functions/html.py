@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingoscope.functions.binding import once
 from lingoscope.functions.urls import extension_of, resolved
 from lingoscope.schema import MAX_LISTED_IMAGES, MAX_METADATA_CHARS, MIN_COMPARABLE_CHARS
 
@@ -20,11 +21,6 @@ UNRENDERED = r"\{\{[^{}]{1,120}\}\}|\$\{[^{}]{1,120}\}|\[\[[^\[\]]{1,120}\]\]"
 _KEPT = "\u0001"
 
 
-def once(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, however often ``then`` uses it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def element(html: Column, tag: str) -> Column:
     """What the first ``tag`` element holds; NULL without one."""
     pattern = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lingoscope.functions.binding import once
 
 
 def page_url(raw: Column) -> Column:
@@ -18,13 +19,17 @@ def page_url(raw: Column) -> Column:
     Lower-case scheme and host, no default port, no query, no fragment, and no
     slash at the end of a path other than the root.  NULL for anything else.
     """
-    text = F.trim(raw)
-    scheme = F.lower(F.regexp_extract(text, r"^(?i)(https?)://", 1))
-    host = F.lower(F.regexp_extract(text, r"^(?i:https?)://([^/?#]+)", 1))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(F.regexp_replace(host, ":443$", ""))
-    path = F.regexp_extract(text, r"^(?i:https?)://[^/?#]+([^?#]*)", 1)
-    path = F.when(path == "", F.lit("/")).when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, path))
+
+    def parts(text: Column) -> Column:
+        path = F.regexp_extract(text, r"^(?i:https?)://[^/?#]+([^?#]*)", 1)
+        return F.struct(F.lower(F.regexp_extract(text, r"^(?i)(https?)://", 1)).alias("scheme"), F.lower(F.regexp_extract(text, r"^(?i:https?)://([^/?#]+)", 1)).alias("host"), path.alias("path"))
+
+    def whole(url: Column) -> Column:
+        port = F.when(url["scheme"] == "http", ":80$").otherwise(":443$")
+        path = F.when(F.length(url["path"]) > 1, F.regexp_replace(url["path"], "/$", "")).when(url["path"] == "", F.lit("/")).otherwise(url["path"])
+        return F.when((url["scheme"] != "") & (url["host"] != ""), F.concat(url["scheme"], F.lit("://"), F.regexp_replace(url["host"], port, F.lit("")), path))
+
+    return once(once(F.trim(raw), parts), whole)
 
 
 def path_of(url: Column) -> Column:

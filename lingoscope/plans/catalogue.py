@@ -72,7 +72,7 @@ _TITLE = r"""
 
 def _texts(pages: DataFrame, *columns) -> DataFrame:
     """The columns and (text_length, text_digest); a filter on these doesn't read the text again."""
-    return pages.select(*columns, F.inline(F.array(html.text_facts(F.col("html")))))
+    return pages.select(*columns, F.inline_outer(F.array(html.text_facts(F.col("html")))))
 
 
 @query(f"SELECT page_id, CAST(length(t) AS INTEGER) AS text_length, CASE WHEN length(t) >= 200 THEN sha256(t) END AS text_digest FROM (SELECT page_id, {_TEXT} AS t FROM pages)")

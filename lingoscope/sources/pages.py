@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingoscope.functions import headers, html
+from lingoscope.functions.binding import once
 from lingoscope.functions.urls import page_url, resolved
 from lingoscope.schema import HOP, MAX_REDIRECT_HOPS
 from lingoscope.operators.storage import stored
@@ -31,16 +32,16 @@ def crawled(pages: DataFrame) -> DataFrame:
         F.element_at("headers", "x-robots-tag").alias("x_robots_tag"), headers.security_headers(F.col("headers")).alias("security_headers"),
     )
     # one generated row for each page: what follows reads these facts without working them out again
-    rows = rows.select("*", F.inline(F.array(F.struct(html.content(h, F.col("is_html")).alias("content"), html.once(html.head_region(h), html.head_facts).alias("head")))))
+    read = rows.select("*", F.inline_outer(F.array(F.struct(html.content(h, F.col("is_html")).alias("content"), once(html.head_region(h), html.head_facts).alias("head")))))
     pairs = F.filter(F.arrays_zip("locales", "targets"), lambda p: p["targets"].isNotNull())
     # the last declaration of a locale holds
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["locales"]), F.create_map(p["locales"], p["targets"])))
-    facts = rows.select(
+    facts = read.select(
         "run_id", "url", "http_status", "fetch_error", last.alias("hreflang"), F.array_distinct(F.array_compact("links")).alias("links"), "content",
         F.struct("head.title", "head.description", F.array_distinct(F.array_compact("canonicals")).alias("canonicals"), "head.robots").alias("metadata"),
         "x_robots_tag", "security_headers", "redirect_chain",
     )
-    found = html.images(rows.where("content.is_html"), ["run_id", "url"])
+    found = html.images(rows.where("is_html"), ["run_id", "url"])
     none = F.array().cast("array<string>")
     empty = F.struct(F.lit(0).alias("total"), F.lit(0).alias("undimensioned"), F.lit(0).alias("legacy"), none.alias("undimensioned_urls"), none.alias("legacy_urls"), none.alias("urls"))
     return facts.join(found, ["run_id", "url"], "left").withColumn("images", F.coalesce("images", F.when(F.col("content.is_html"), empty)))

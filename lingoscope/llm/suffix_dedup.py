@@ -54,7 +54,7 @@ GRAM = 64
 BLOCK_BYTES = 160_000  # of pieces that are sorted together
 MOST_PIECES = 2_000  # different pieces of one anchor that are sorted as they are
 COMMON = 1_000  # pieces with one window from which it is broadcast; there are at most (windows / COMMON) of those
-PIECE = 1 << 20
+PIECE = 1 << 18  # bytes of texts that a task looks at together
 
 _CODE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -225,24 +225,26 @@ def windows_of(pieces: DataFrame, places: DataFrame, length: int) -> DataFrame:
     @sparing
     def run(batches):
         for batch in batches:
-            data, bounds = utf8_of(batch.column("bytes"))
-            lists = batch.column("list")
-            of = lists.value_parent_indices().to_numpy()
-            at, first, second, common = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            weight = batch.column("weight").to_numpy()[of]
-            order = np.lexsort((second, first))
-            opens = np.ones(len(order), bool)
-            opens[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
-            two = order[nth < 2]  # of equal ones; that they are equal is for the construction to find
-            for k in range(0, len(two), part := max(1, PIECE // length)):
-                some = two[k : k + part]
-                held = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[bounds[of[some]] + at[some]])
-                offsets = np.arange(len(some) + 1, dtype=np.int32) * np.int32(length)
-                window = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[some]), pa.array(second[some]), pa.array(common[some]), pa.array(weight[some]), window], names=["first", "second", "common", "weight", "window"]
-                )
+            for start, n in byte_sized(batch.column("bytes"), BLOCK_BYTES):
+                some = batch.slice(start, n)
+                data, bounds = utf8_of(some.column("bytes"))
+                lists = some.column("list")
+                of = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
+                at, first, second, common = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                weight = some.column("weight").to_numpy()[of]
+                order = np.lexsort((second, first))
+                opens = np.ones(len(order), bool)
+                opens[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
+                two = order[nth < 2]  # of equal ones; that they are equal is for the construction to find
+                for k in range(0, len(two), part := max(1, PIECE // length)):
+                    few = two[k : k + part]
+                    held = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[bounds[of[few]] + at[few]])
+                    offsets = np.arange(len(few) + 1, dtype=np.int32) * np.int32(length)
+                    window = pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(first[few]), pa.array(second[few]), pa.array(common[few]), pa.array(weight[few]), window], names=["first", "second", "common", "weight", "window"]
+                    )
 
     return rows.mapInArrow(run, "first long, second long, common boolean, weight long, window binary")
 
@@ -275,7 +277,7 @@ def confirmed(windows: DataFrame, length: int) -> DataFrame:
 
 def crowded_marks(pieces: DataFrame, length: int) -> DataFrame:
     """What ``marks`` gives, for the pieces of crowded anchors: window by window."""
-    single = opened(pieces, length)
+    single = stored(opened(pieces, length))
     counts = single.groupBy("first", "second").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("pieces"))
     twice = stored(counts.where("n > 1").select("first", "second", (F.col("pieces") > COMMON).alias("common")))
     places = stored(joined_by_hash(single.drop("weight"), twice))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lingoscope.schema import MIN_CHANGED_SHARE, VITALS
+from lingoscope.schema import MAX_MASKS, MAX_SELECTOR_CHARS, MIN_CHANGED_SHARE, VITALS
 
 
 def cls(value: Column) -> Column:
@@ -88,6 +88,29 @@ def visual_state(summary: Column, rows: Column, project_baseline: Column) -> Col
     )
 
 
+def performance_state(summary: Column, measured: Column, failed: Column, crawled: Column) -> Column:
+    """(kind, coverage) of a run's browser measurements: counts of pages that were measured, that failed, and of all crawled."""
+
+    def pages(n: Column) -> Column:
+        return F.concat(n.cast("string"), F.when(n == 1, " page").otherwise(" pages"))
+
+    of = F.when(crawled > 0, F.concat(F.lit(" of "), pages(crawled), F.lit(" crawled"))).otherwise("")
+    base = F.concat(pages(measured), F.lit(" measured"), of)
+    coverage = F.when(failed == 0, base).otherwise(F.concat(base, F.lit("; "), failed.cast("string"), F.lit(" could not be measured")))
+    kind = (
+        F.when(summary.isNull(), "not_recorded").when(~summary["complete"], "unavailable")
+        .when((summary["chosen"] == 0) | (measured + failed == 0), "nothing_to_measure").otherwise("measured")
+    )
+    return F.struct(kind.alias("kind"), F.when(kind == "measured", coverage).alias("coverage"))
+
+
+def mask_selectors(text: Column) -> Column:
+    """(selectors, problem) of a list written one to a line: each once, in order; too many or too long ones are a problem."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""))
+    problem = F.when(F.size(lines) > MAX_MASKS, "too_many").when(F.exists(lines, lambda x: F.length(x) > MAX_SELECTOR_CHARS), "too_long")
+    return F.struct(lines.alias("selectors"), problem.alias("problem"))
+
+
 def uncompared_reason(capture_error: Column, expired_at: Column, comparable: Column, reason: Column) -> Column:
     return (
         F.when(capture_error.isNotNull(), "could not be photographed")

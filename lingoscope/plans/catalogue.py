@@ -158,7 +158,8 @@ def frontier_reachability(spark, sf_dir):
     return reachable(e.union(e.select("dst", "src")), e.agg(F.min("src")), max_depth=6)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), bo AS (SELECT host AS u, part AS v FROM e UNION SELECT part, host FROM e),
+    reach(node, depth) USING KEY (node) AS (SELECT min(host), 0 FROM e UNION SELECT DISTINCT bo.v, depth + 1 FROM reach JOIN bo ON reach.node = bo.u WHERE bo.v NOT IN (SELECT node FROM recurring.reach)) SELECT node, depth FROM reach""")
 def frontier_closure(spark, sf_dir):
     """All that the first host reaches, however far."""
     e = stored(_host_parts(spark, sf_dir))
@@ -181,7 +182,19 @@ def parity_grid(spark, sf_dir):
     return reports.parity(pages, run).select("group_key", joined(F.col("cells")).alias("cells"), "place", "hidden")
 
 
-@query()
+@query(rf"""WITH all_ AS (SELECT *, {_URL} AS u, {_LOCALE} AS locale, lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) AS raw_origin FROM pages),
+    page AS (SELECT u, regexp_extract(u, '^(https?://[^/]+)', 1) AS run_id, min_by(page_id, page_id) AS page_id, arg_min(html, page_id) AS html, any_value(locale) AS locale FROM all_ GROUP BY u),
+    f AS (SELECT *, page_id % 11 <> 0 AS live, {_TITLE} AS title, {_TEXT} AS t, length(regexp_extract(html, '(?i)(<article\b[^>]*>)', 1)) > 0 AS isolated FROM page),
+    ok AS (SELECT * FROM f WHERE live),
+    link AS (SELECT DISTINCT run_id, u AS src, run_id || CASE WHEN h = '/' THEN h ELSE regexp_replace(h, '/$', '') END AS dst FROM (SELECT run_id, u, unnest(list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda x: x[2:-2])) AS h FROM f) WHERE regexp_full_match(h, '/[A-Za-z0-9/_-]*')),
+    found AS (
+        SELECT run_id, 3 AS rule, 'no_hreflang' AS type, u AS url, CAST(to_json({{'url': u, 'impliedLocale': locale}}) AS VARCHAR) AS detail FROM ok WHERE locale IS NOT NULL
+        UNION ALL SELECT run_id, 8, 'metadata_missing', u, CAST(to_json({{'url': u, 'fields': list_filter([CASE WHEN title IS NULL THEN 'title' END, 'description'], lambda x: x IS NOT NULL)}}) AS VARCHAR) FROM ok
+        UNION ALL SELECT run_id, 9, 'metadata_duplicated', NULL, CAST(to_json({{'field': 'title', 'language': locale, 'value': title, 'urls': urls}}) AS VARCHAR) FROM (SELECT run_id, locale, title, list_sort(list(u)) AS urls FROM ok WHERE title IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
+        UNION ALL SELECT run_id, 14, 'content_duplicated', NULL, CAST(to_json({{'digest': sha256(t), 'textLength': CAST(length(t) AS INTEGER), 'urls': urls}}) AS VARCHAR) FROM (SELECT run_id, t, list_sort(list(u)) AS urls FROM ok WHERE isolated AND length(t) >= 200 GROUP BY ALL HAVING count(*) >= 2)
+        UNION ALL SELECT run_id, 15, 'link_broken', NULL, CAST(to_json({{'target': dst, 'httpStatus': 404, 'fetchError': CAST(NULL AS VARCHAR), 'confirmed': false, 'linkedFrom': linked}}) AS VARCHAR)
+            FROM (SELECT l.run_id, dst, list_sort(list(DISTINCT src)) AS linked FROM link l JOIN f d ON d.run_id = l.run_id AND d.u = dst AND NOT d.live WHERE src <> dst GROUP BY ALL))
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY rule, url NULLS FIRST, detail) AS ord, type, url, detail FROM found""")
 def detect_findings(spark, sf_dir):
     """The rules over all pages: a run for each origin, whose every eleventh page is gone.
 

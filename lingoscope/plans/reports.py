@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingoscope.functions import bands
 from lingoscope.functions.locale import answers
 from lingoscope.plans.findings import pages_involved, roles
 from lingoscope.schema import GRID_ROWS
@@ -90,6 +91,29 @@ def by_type(findings: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "type").agg(F.count(F.lit(1)).alias("findings"), F.min("ord").alias("first")).join(touched, ["run_id", "type"])
 
 
-def observations_in_order(df: DataFrame) -> DataFrame:
+def observations_order() -> list[Column]:
     """Failed ones first, then most errors, then slowest; not measured counts as fastest."""
-    return df.orderBy(F.col("render_error").isNull(), F.desc("first_party_errors"), F.desc(F.coalesce("lcp_ms", F.lit(-1))), "url")
+    return [F.col("render_error").isNull(), F.desc("first_party_errors"), F.desc(F.coalesce("lcp_ms", F.lit(-1))), F.col("url")]
+
+
+def observations_in_order(df: DataFrame) -> DataFrame:
+    return df.orderBy(*observations_order())
+
+
+def snapshots_order() -> list[Column]:
+    """Pictures that couldn't be compared first, then most changed; what is below the floor hasn't changed."""
+    compared = F.col("comparable"), F.col("changed_pixels"), F.col("compared_pixels")
+    refused = bands.uncompared_reason(F.col("capture_error"), F.col("expired_at"), F.col("comparable"), F.col("reason")).isNotNull()
+    return [F.desc(refused), F.desc(F.when(bands.differs(*compared), bands.change_share(*compared)).otherwise(F.lit(-1.0))), F.col("url")]
+
+
+def spread(correlated: DataFrame, statuses: DataFrame) -> DataFrame:
+    """(run_id, problem, findings, new, sentence): how many findings of each problem are new since the run before.
+
+    The sentence is NULL if none is, or all are.  Correlated findings as ``correlate``
+    gives them, statuses (run_id, ord, status) as ``runs.compare_runs`` does.
+    """
+    rows = correlated.where("problem is not null").join(statuses.where("status <> 'resolved'").select("run_id", "ord", "status"), ["run_id", "ord"], "left")
+    rows = rows.groupBy("run_id", "problem").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("status") == "new").alias("new"))
+    sentence = F.concat(F.col("new").cast("string"), F.lit(" of "), F.col("findings").cast("string"), F.lit(" new since the previous run"))
+    return rows.withColumn("sentence", F.when((F.col("new") > 0) & (F.col("new") < F.col("findings")), sentence))

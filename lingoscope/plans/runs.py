@@ -118,3 +118,36 @@ def expired(snapshots: DataFrame, runs: DataFrame, now: Column, kept: int = SNAP
     rows = snapshots.join(gone, "run_id", "left")
     drop = F.col("gone") & F.col("picture").isNotNull()
     return rows.withColumns({"expired_at": F.when(drop, now).otherwise(F.col("expired_at")), "picture": F.when(F.col("gone"), F.lit(None)).otherwise(F.col("picture"))}).drop("gone")
+
+
+def comparison_state(has_predecessor: Column, reason: Column) -> Column:
+    """Whether a run's comparison is shown: none, refused or compared."""
+    return F.when(~has_predecessor, "none").when(reason.isNotNull(), "refused").otherwise("compared")
+
+
+def swept(runs: DataFrame) -> DataFrame:
+    """Runs with those that a stopped service left queued or running as interrupted."""
+    return runs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "interrupted").otherwise(F.col("status")))
+
+
+def with_page_ids(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Findings with the ``page_id`` of their address in the run; NULL where the run has no such page."""
+    return findings.join(pages.select("run_id", "url", "page_id"), ["run_id", "url"], "left")
+
+
+def recorded_observations(observations: DataFrame, pages: DataFrame) -> DataFrame:
+    """Observations by page, times in whole milliseconds; addresses that the run has no page for are left out."""
+    rows = observations.join(pages.select("run_id", "url", "page_id"), ["run_id", "url"])
+    return rows.withColumns({c: F.round(c).cast("int") for c in ("ttfb_ms", "lcp_ms")}).withColumn("cls", F.col("cls").cast("string"))
+
+
+def added(held: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """``held`` and those rows of ``more`` whose keys it lacks; one row for a key."""
+    return held.unionByName(more.join(held, keys, "left_anti").dropDuplicates(keys))
+
+
+def visible_projects(projects: DataFrame, assignments: DataFrame, tenant: Column, user: Column, owner: Column) -> DataFrame:
+    """Projects of a tenant that aren't archived and that the user is assigned to; an owner sees all."""
+    rows = projects.where((F.col("tenant_id") == tenant) & F.col("archived_at").isNull())
+    assigned = assignments.where(F.col("user_id") == user).select("project_id").distinct().withColumn("assigned", F.lit(True))
+    return rows.join(assigned, "project_id", "left").where(owner | F.col("assigned")).drop("assigned")

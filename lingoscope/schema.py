@@ -48,6 +48,9 @@ MAX_REGIONS = 8
 REGION_CELL = 16
 PIXEL_THRESHOLD = 0.1
 MAX_RENDERS = 12
+MAX_MASKS = 50
+MAX_SELECTOR_CHARS = 255
+MAX_SITEMAPS = 50
 SNAPSHOTS_KEPT = 3
 MAX_REDIRECT_HOPS = 10
 TREND_RUNS = 12

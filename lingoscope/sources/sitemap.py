@@ -7,11 +7,13 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingoscope.functions.urls import in_scope, origin_of, page_url, path_of
+from lingoscope.operators.storage import stored
+from lingoscope.schema import MAX_SITEMAPS
 
 #: Fixed limits of a sitemap document, as its format states them.
 MAX_BYTES, MAX_URLS = 50 * 1024 * 1024, 50_000
@@ -64,3 +66,29 @@ def reconciled(entries: DataFrame, runs: DataFrame) -> DataFrame:
         .otherwise("comparable")
     )
     return rows.withColumn("part", part).drop("base", "include_paths", "exclude_paths")
+
+
+def read_tree(roots: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(run_id, raw, url, source): entries of the sitemaps that ``roots`` (run_id, sitemap) name, through their indexes.
+
+    ``bodies`` (run_id, sitemap, text) are what was fetched.  Sitemaps are read
+    level by level, each once, at most ``MAX_SITEMAPS`` of a run and ``MAX_URLS``
+    entries; what an index names is read after what it stands beside.
+    """
+    told = parse(bodies.withColumn("source", F.struct("run_id", "sitemap")).select("source", "text"), "source")
+    told = stored(told.select("run_id.*", "is_index", "raw", "url").withColumnRenamed("sitemap", "source"))
+    known = bodies.where("text is not null").select("run_id", "sitemap").distinct()
+    level = stored(roots.select("run_id", page_url(F.col("sitemap")).alias("sitemap")).distinct().join(known, ["run_id", "sitemap"]).withColumn("level", F.lit(0)))
+    seen = level
+    for depth in range(1, MAX_SITEMAPS + 1):
+        children = told.where("is_index").join(level.select("run_id", F.col("sitemap").alias("source")), ["run_id", "source"])
+        children = children.select("run_id", F.col("url").alias("sitemap")).distinct().join(known, ["run_id", "sitemap"])
+        level = stored(children.join(seen, ["run_id", "sitemap"], "left_anti").withColumn("level", F.lit(depth)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("level", "sitemap"))
+    read = seen.withColumn("nth", nth).where(F.col("nth") <= MAX_SITEMAPS)
+    entries = told.where("not is_index").join(read.select("run_id", F.col("sitemap").alias("source"), "nth"), ["run_id", "source"])
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("nth", "raw"))
+    return entries.withColumn("place", place).where(F.col("place") <= MAX_URLS).select("run_id", "raw", "url", "source")

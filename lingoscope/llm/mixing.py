@@ -147,26 +147,27 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7
         lacking += -rows_of[ended] % block_rows if ended in rows_of else 0
     kind = docs.schema[source_col].dataType
     long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    number = {s: i for i, s in enumerate(rows_of)}
     parts = [
-        (s, k, p.start, u, len(p.period), short[k], p.done[s], next((q.done[s] for q in plan[k + 1 :]), 1 << 62), k == 0 and bool(weights.get(s)))
+        (s, number[s], k, p.start, u, len(p.period), short[k], p.done[s], next((q.done[s] for q in plan[k + 1 :]), 1 << 62), k == 0 and bool(weights.get(s)))
         for k, p in enumerate(plan)
         for s, u in p.units.items()
     ]
-    part = spark.createDataFrame(parts, T.StructType([T.StructField("s", kind), *long("phase", "p_start", "units", "period", "short", "first", "end"), T.StructField("in_mix", T.BooleanType())]))
+    part = spark.createDataFrame(parts, T.StructType([T.StructField("s", kind), *long("number", "phase", "p_start", "units", "period", "short", "first", "end"), T.StructField("in_mix", T.BooleanType())]))
     slots = []
     for k, p in enumerate(plan):
         nth = dict.fromkeys(p.units, 0)
         for at, s in enumerate(p.period):
-            slots.append((s, k, nth[s], at))
+            slots.append((k, number[s], nth[s], at))
             nth[s] += 1
-    slot = spark.createDataFrame(slots, T.StructType([T.StructField("s2", kind), *long("phase2", "nth", "at")]), verifySchema=False)
+    slot = spark.createDataFrame(slots, "phase2 int, number2 int, nth int, at int", verifySchema=False)
     # sources times buckets is checked; phases and periods are bounded by the number of sources
     buckets = buckets_for(sum(rows_of.values()))
     ties = tuple(c for c, f in zip(named, docs.schema.fields) if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, source_col))
     ranked = ranked_in_source(base, seed, buckets, ties, len(rows_of) * buckets <= 1 << 18).withColumn("block", F.expr(f"rank div {block_rows}"))
     here = ranked.join(F.broadcast(part), ranked["source"].eqNullSafe(part["s"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
     here = here.withColumn("j", F.col("block") - F.col("first"))
-    here = here.join(F.broadcast(slot), here["source"].eqNullSafe(slot["s2"]) & (F.col("phase") == F.col("phase2")) & (F.expr("j % units") == F.col("nth")))
+    here = here.join(F.broadcast(slot), (F.col("phase") == F.col("phase2")) & (F.col("number") == F.col("number2")) & (F.expr("j % units") == F.col("nth")))
     at = F.expr("p_start + (j div units) * period + at")
     return here.select(
         *[F.col(n).alias(c) for n, c in zip(named, docs.columns)],

@@ -42,7 +42,8 @@ from lingoscope.llm.tokens import text_groups
 SAMPLE_DOCS = 20_000
 FEATURES = 2_048
 LEAST_G2 = 15.0  # evidence a feature needs; about one in 10 ** 4 by chance, which the ridge then weighs
-MEMO = 300_000
+MEMO = 150_000
+GROUP = 1 << 20  # characters of texts that are read together
 
 #: Fixed values of the channel: what a sign may stand for, and what that costs (in nats).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -385,7 +386,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         reader = Reader(held.value)
         m = held.value
         for batch in batches:
-            found = [h for some in text_groups([t or "" for t in batch.column("text").to_pylist()]) for h in reader.logits(some)]
+            found = [h for some in text_groups([t or "" for t in batch.column("text").to_pylist()], GROUP) for h in reader.logits(some)]
             z, hits = np.array([f[0] for f in found], float), np.array([f[1] for f in found], np.int64)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             if not m.weights:
@@ -409,7 +410,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         reader = Reader(held.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            z = [x for some in text_groups(texts) for x, _ in reader.logits(some)]
+            z = [x for some in text_groups(texts, GROUP) for x, _ in reader.logits(some)]
             clean = [not held.value.weights or x < 0 for x in z]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -712,3 +712,45 @@ def test_columns_may_exceed_their_buffer(monkeypatch, buffer):
         for a, b, n in zip(suffixes, suffixes[1:], common[1:]):
             same = [a[k : k + word] == b[k : k + word] and len(a) >= k + word for k in range(0, len(b), word)]
             assert n == (same.index(False) if False in same else len(same))
+
+
+def test_shards_against_brute_force(spark):
+    """The interleaved order itself: fractional ranks of a seeded shuffle, cut in equal parts."""
+    rows = [(i, "t" * (i % 9), None, None if i % 17 == 0 else f"s{i % 3}" if i % 5 else "big", *[None] * 5) for i in range(900)]
+    docs = table(spark, rows)
+    size = F.length("text").cast("long") + 1
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.crc32(F.col("text").cast("binary")), size).alias("h")).collect()}
+    by_source = defaultdict(list)
+    for i, _, _, source, *_ in rows:
+        by_source[source].append(i)
+    place = {}
+    for ids in by_source.values():
+        for rank, i in enumerate(sorted(ids, key=lambda i: (hashed[i], i))):
+            place[i] = (rank + 0.5) / len(ids)
+    order = sorted(place, key=lambda i: (place[i], hashed[i]))
+    want = {i: at * 8 // len(order) for at, i in enumerate(order)}
+    first = {s: min(at for at in range(len(order)) if at * 8 // len(order) == s) for s in range(8)}
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.stratified_shards(docs, 8).collect()}
+    assert got == {i: (want[i], at - first[want[i]]) for at, i in enumerate(order)}
+
+
+def test_mixed_rows_follow_the_schedule(spark):
+    """Slots of rows, found by periods in tasks, against the schedule slot by slot."""
+    rng = np.random.default_rng(2)
+    source = [["a", "b", "c", None][k] for k in rng.choice(4, 2500, p=[0.55, 0.25, 0.15, 0.05])]
+    rows = [(i, "t", None, s, *[None] * 5) for i, s in enumerate(source)]
+    out = mixing.mixed(table(spark, rows), temperature=0.5, block_rows=7).collect()
+    counts = Counter(source)
+    units = mixing.units_of({s: n**0.5 for s, n in counts.items()})
+    plan = mixing.pfair({s: -(-n // 7) for s, n in counts.items()}, {s: Fraction(u, sum(units.values())) for s, u in units.items()})
+    assert {(r["mix_slot"], r["source"], r["mix_block"], r["mix_release"], r["mix_deadline"], r["in_mix"]) for r in out} == set(plan)
+    start = np.cumsum([0, *(min(7, counts[s] - 7 * b) for _, s, b, *_ in plan)])
+    assert sorted(r["mix_position"] for r in out) == list(range(2500))
+    assert all(start[r["mix_slot"]] <= r["mix_position"] < start[r["mix_slot"] + 1] for r in out)
+
+
+def test_toxicity_of_rows_that_were_not_learnt_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id")
+    n = Counter((r["toxic"], r["predicted"]) for r in scored.collect())
+    assert n[1, 1] >= 0.5 * (n[1, 1] + n[1, 0]) > 0 and n[0, 1] <= 0.05 * (n[0, 0] + n[0, 1])

@@ -64,6 +64,7 @@ MOST_PARTS = 128  # components of a shingle that meet as pairs of rows
 CELL = 1 << 21  # shingles on a side of a grid's cell, or
 CELL_SETS = 256  # sets, as long as that makes few sides
 FEW_SIDES = 8
+TRIED = 500  # pairs of one set that are verified in one task
 MOST_FOLDINGS = 100
 UNSEEN = 0.1  # partners expected of a shingle that the table doesn't show to be frequent
 PIECE = 1 << 21
@@ -222,9 +223,15 @@ def enough(percent: int) -> str:
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, folding: int, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose texts' sets are linked."""
     of = classes.select("set_id", "rep")
-    named = pairs.join(of.toDF("a", "key_a"), "a").join(of.toDF("b", "key_b"), "b")
-    with_b = named.join(texts.toDF("key_b", "text_b"), "key_b").select("a", "b", "key_a", "text_b")
-    with_both = with_b.join(texts.toDF("key_a", "text_a"), "key_a").select("a", "b", "text_a", "text_b")
+    # a set that very many are tried against: its pairs are dealt to several tasks, and its text to each of them
+    many = pairs.groupBy("a").agg(F.expr(f"cast((count(1) + {TRIED - 1}) div {TRIED} as int)").alias("parts")).where("parts > 1")
+    many = F.broadcast(stored(many))  # one row for TRIED pairs at most
+    dealt = lambda df: df.join(many, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    heads = dealt(pairs.select("a").distinct()).join(of.toDF("a", "key_a"), "a").join(texts.toDF("key_a", "text_a"), "key_a")
+    heads = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text_a")
+    with_b = dealt(pairs).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    with_b = with_b.join(of.toDF("b", "key_b"), "b").join(texts.toDF("key_b", "text_b"), "key_b").select("a", "b", "part", "text_b")
+    with_both = with_b.join(heads, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
     @sparing
     def run(batches):

@@ -67,11 +67,18 @@ def byte_sized(column: pa.Array, most: int):
         start = stop
 
 
+def text_lists(column: pa.Array, most: int = 1 << 20):
+    """(start, texts): a column's texts as strings, a slice of about ``most`` bytes at a time; a null is an empty text."""
+    for start, n in byte_sized(column, most):
+        yield start, [t or "" for t in column.slice(start, n).to_pylist()]
+
+
 def sparing(function):
     """For a function over a task's batches: no search for reference cycles while it runs.
 
     Code that makes many small objects and no cycles spends half its time in that
-    search.  It is on again after the task, since workers serve many tasks.
+    search.  It is made up for after the task, and memory that isn't used is given
+    back, since workers serve many tasks and wait between them.
     """
 
     def run(batches):
@@ -80,5 +87,7 @@ def sparing(function):
             yield from function(batches)
         finally:
             gc.enable()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     return run

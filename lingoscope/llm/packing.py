@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import narrow, sparing
+from lingoscope.llm.common import narrow, sparing, text_lists
 from lingoscope.llm.sharding import buckets_for, ranked_in_source
-from lingoscope.llm.tokens import bpe, text_groups
+from lingoscope.llm.tokens import TOGETHER, bpe
 from lingoscope.operators.storage import stored
 
 WINDOW = 4096
@@ -153,7 +153,7 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "d
         for batch in batches:
             rows = ([], [], [], [], [])
             at = 0
-            for some in text_groups([t or "" for t in batch.column("text").to_pylist()]):
+            for _, some in text_lists(batch.column("text"), TOGETHER):
                 for ids in tokenizer.ids(some):
                     full = np.empty(len(ids) + 1, "<u4")
                     full[:-1] = ids

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lingoscope.llm.common import narrow, sparing
+from lingoscope.llm.common import narrow, sparing, text_lists, utf8_of
 
 #: Fixed values of the tokenizer's own split, for characters below U+0180.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſà-öÀ-ÖØ-Þ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ſÀ-ÖØ-Þ0-9²³¹¼½¾]+")
@@ -39,6 +39,7 @@ PLAIN = re.compile(r"(?:[!-;=-~¡-¬®-ſ]|<(?!\|))+\Z")  # no controls, no open
 UNLIKE = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile(r"[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 MEMO = 300_000
+TOGETHER = 1 << 21  # bytes of texts that are tokenised together
 LONG = 48  # chunks above this length aren't memoised
 LONG_RUN = 256  # bytes of a pre-token from which the library merges it
 END = "</w>"
@@ -244,19 +245,6 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def text_groups(texts: list[str], most: int = 1 << 21):
-    """Lists of texts that hold about ``most`` characters, a text at least."""
-    some, held = [], 0
-    for t in texts:
-        some.append(t)
-        held += len(t)
-        if held >= most:
-            yield some
-            some, held = [], 0
-    if some:
-        yield some
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of every whole text.
 
@@ -268,10 +256,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def count(batches):
         tokenizer = bpe(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n = [c for some in text_groups(texts) for c in tokenizer.counts(some)]
+            n = [c for _, some in text_lists(batch.column("text"), TOGETHER) for c in tokenizer.counts(some)]
+            size = np.diff(utf8_of(batch.column("text"))[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_())],
+                [batch.column("id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 

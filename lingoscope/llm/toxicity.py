@@ -36,14 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import bounded_sample, byte_sized, fold_of, narrow, sparing, utf8_of
-from lingoscope.llm.tokens import text_groups
+from lingoscope.llm.common import bounded_sample, byte_sized, fold_of, narrow, sparing, text_lists, utf8_of
 
 SAMPLE_DOCS = 20_000
 FEATURES = 2_048
 LEAST_G2 = 15.0  # evidence a feature needs; about one in 10 ** 4 by chance, which the ridge then weighs
 MEMO = 150_000
-GROUP = 1 << 20  # characters of texts that are read together
+GROUP = 1 << 20  # bytes of texts that are read together
 
 #: Fixed values of the channel: what a sign may stand for, and what that costs (in nats).
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -118,7 +117,7 @@ def corpus_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(27**4, np.int64)
         for batch in batches:
-            for start, n in byte_sized(batch.column("text"), 1 << 22):
+            for start, n in byte_sized(batch.column("text"), 1 << 21):
                 data, bounds = utf8_of(batch.column("text").slice(start, n))
                 # a blank between texts, so that no gram spans two
                 data = np.insert(data, bounds[1:-1], 32) if n > 1 else data
@@ -264,7 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     def count(batches):
         positive, negative, n = Counter(), Counter(), [0, 0]
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            texts = (t for _, some in text_lists(batch.column("text"), GROUP) for t in some)
+            for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
                 chunks = text.split()
                 words = set().union(*(words_of(c, held.value) for c in [*set(chunks), *spaced_out(chunks)])) if chunks else set()
                 (positive if toxic else negative).update(features_of(words))
@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     def hits(batches):
         reader = Reader(shared.value)
         for batch in batches:
-            found = reader.hits(batch.column("text").to_pylist())
+            found = [h for _, some in text_lists(batch.column("text"), GROUP) for h in reader.hits(some)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([[index[f] for f in c] for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())],
                 names=["features", "counts", "toxic"],
@@ -386,7 +386,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         reader = Reader(held.value)
         m = held.value
         for batch in batches:
-            found = [h for some in text_groups([t or "" for t in batch.column("text").to_pylist()], GROUP) for h in reader.logits(some)]
+            found = [h for _, some in text_lists(batch.column("text"), GROUP) for h in reader.logits(some)]
             z, hits = np.array([f[0] for f in found], float), np.array([f[1] for f in found], np.int64)
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             if not m.weights:
@@ -409,8 +409,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def run(batches):
         reader = Reader(held.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            z = [x for some in text_groups(texts, GROUP) for x, _ in reader.logits(some)]
+            z = [x for _, some in text_lists(batch.column(at), GROUP) for x, _ in reader.logits(some)]
             clean = [not held.value.weights or x < 0 for x in z]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

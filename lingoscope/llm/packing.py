@@ -144,8 +144,11 @@ def placed(length: np.ndarray, rank: np.ndarray, runs: np.ndarray) -> tuple[np.n
     return first + k // each, offset + (k % each) * length
 
 
-def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, start, length, ids_crc32, doc_tokens) and what ``also`` names (numbers): every text's ids and end token, cut."""
+def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), spare: bool = False) -> DataFrame:
+    """Rows (id, start, length, ids_crc32, doc_tokens) and what ``also`` names (numbers): every text's ids and end token, cut.
+
+    ``spare``: a worker keeps no memo of chunks between its tasks, which costs time and saves memory.
+    """
 
     @sparing
     def cut(batches):
@@ -168,6 +171,8 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "d
                 [batch.column("id").take(of), *(pa.array(r, pa.int64()) for r in rows[1:]), *(batch.column(c).take(of) for c in also)],
                 names=["id", "start", "length", "ids_crc32", "doc_tokens", *also],
             )
+        if spare:
+            tokenizer.memo = {}
 
     rows = narrow(docs, id=id_col, text=text_col, **{c: c for c in also})
     kind = rows.schema["id"].dataType.simpleString()
@@ -199,7 +204,7 @@ def packed_in_order(docs: DataFrame, path: str, position_col: str, window: int =
     A task holds one group's pieces at a time, as short rows.
     """
     grouped = docs.withColumn("group", F.expr(f"`{position_col}` div {group_docs}")).withColumn("position", F.col(position_col))
-    pieces = stored(pieces_of(grouped, path, window, id_col, text_col, also=("group", "position")))
+    pieces = stored(pieces_of(grouped, path, window, id_col, text_col, also=("group", "position"), spare=True))
     kind = pieces.schema["id"].dataType.simpleString()
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:

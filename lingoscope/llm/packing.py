@@ -147,7 +147,7 @@ def placed(length: np.ndarray, rank: np.ndarray, runs: np.ndarray) -> tuple[np.n
 def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = (), spare: bool = False) -> DataFrame:
     """Rows (id, start, length, ids_crc32, doc_tokens) and what ``also`` names (numbers): every text's ids and end token, cut.
 
-    ``spare``: a worker keeps no memo of chunks between its tasks, which costs time and saves memory.
+    ``spare``: a worker keeps no tokenizer between its tasks, which costs time and saves memory.
     """
 
     @sparing
@@ -172,7 +172,8 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "d
                 names=["id", "start", "length", "ids_crc32", "doc_tokens", *also],
             )
         if spare:
-            tokenizer.memo = {}
+            del tokenizer
+            bpe.cache_clear()
 
     rows = narrow(docs, id=id_col, text=text_col, **{c: c for c in also})
     kind = rows.schema["id"].dataType.simpleString()

@@ -117,7 +117,7 @@ def corpus_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(27**4, np.int64)
         for batch in batches:
-            for start, n in byte_sized(batch.column("text"), 1 << 21):
+            for start, n in byte_sized(batch.column("text"), 1 << 19):
                 data, bounds = utf8_of(batch.column("text").slice(start, n))
                 # a blank between texts, so that no gram spans two
                 data = np.insert(data, bounds[1:-1], 32) if n > 1 else data

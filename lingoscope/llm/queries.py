@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoscope.llm import exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, tokens, topk_search, toxicity
+from lingoscope.llm import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, tokens, topk_search, toxicity
 from lingoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path() -> str:
@@ -64,7 +65,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(str(public_tokenizers.path(RANKS))), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding, op13_byte_bpe)}
 
 ORACLES = {
     "op5_ngram_jaccard": r"""

@@ -396,7 +396,7 @@ def workers_own(key: str, make):
 def encoded(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens and ids (array of int) of every whole text; a null text has no ids."""
     merges = compile_merges(tokens)
-    key = _name(merges, pattern)
+    key = _name("encode", merges, pattern)
 
     @sparing
     def encode(batches):
@@ -420,7 +420,7 @@ def decoded(rows: DataFrame, tokens: list[bytes], id_col: str = "doc_id", ids_co
 
     Ids outside the vocabulary and null ids are errors.
     """
-    key = _name(tokens)
+    key = _name("decode", tokens)
 
     @sparing
     def decode(batches):
@@ -445,7 +445,7 @@ def round_trips(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str
     an empty result.  Ids of a text are written and hashed a stretch at a time.
     """
     merges = compile_merges(tokens)
-    key = _name(merges, pattern)
+    key = _name("both", merges, pattern)
 
     @sparing
     def digests(batches):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoscope.llm import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, tokens, topk_search, toxicity
+from lingoscope.llm import byte_bpe, conversation_repair, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, tokens, topk_search, toxicity
 from lingoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,13 +65,83 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(str(public_tokenizers.path(RANKS))), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding, op12_conversation_repair, op13_byte_bpe)}
+
+
+def _on(held: str, cost: str, letter: str) -> str:
+    """SQL: what is held (twelve digits of cost, then letters) with one edit more."""
+    return f"lpad(CAST(CAST(left({held}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({held}, 13) || '{letter}'"
+
+
+def _repair_sql() -> str:
+    """Least cost, then least letters, of each state of the pattern, row after row; then the letters are applied."""
+    from_u, kept = "least(s0, s1, s3)", "CASE WHEN NOT gone_for AND initial = '{}' THEN {} END"
+    deleted = {q: _on(f"s{q}", "2", "D") for q in range(4)}
+    rerole = lambda source: f"CASE WHEN NOT gone_for THEN {_on(source, '1 + more', 'R')} END"
+    return f"""
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named, dense_rank() OVER (ORDER BY conv_id) AS g
+            FROM conversations
+        ), dealt AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(named) + 1), lambda i: CAST(ascii(named[i]) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS d
+            FROM given
+        ), rows AS (
+            SELECT g, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM dealt WHERE d <> 0
+        ), placed AS (
+            SELECT g, turn, role, text, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed, left(role, 1) AS initial,
+                row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k,
+                row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS again
+            FROM rows
+        ), faults AS (
+            SELECT g, turn, role, text, k, initial, trimmed = '' AS blank, trimmed <> '' AND again > 1 AS dup, trimmed <> '' AND again = 1 AND right(trimmed, 1) NOT IN ('.', '!', '?') AS cut,
+                lag(initial) OVER (PARTITION BY g ORDER BY k) AS before
+            FROM placed
+        ), edits AS (
+            SELECT g, k, initial, blank OR dup AS gone_for, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM faults
+        ), layers(g, k, s0, s1, s2, s3) AS (
+            SELECT g, CAST(0 AS BIGINT), '000000000000', CAST(NULL AS VARCHAR), '000000000005I', '000000000010II' FROM (SELECT DISTINCT g FROM given)
+            UNION ALL
+            SELECT g, k, n0, n1, m2, least(n3, {_on('m2', '5', 'I')}) FROM (
+                SELECT *, least(n2, {_on('least(n0, n1, n3)', '5', 'I')}) AS m2 FROM (
+                    SELECT g, e.k, {deleted[0]} AS n0, least({deleted[1]}, {kept.format('s', _on('s0', 'more', 'K'))}) AS n1,
+                        least({deleted[2]}, {kept.format('u', _on(from_u, 'more', 'K'))}, {rerole(from_u)}) AS n2,
+                        least({deleted[3]}, {kept.format('a', _on('s2', 'more', 'K'))}, {rerole('s2')}) AS n3
+                    FROM layers JOIN edits e USING (g) WHERE e.k = layers.k + 1
+                )
+            )
+        ), found AS (
+            SELECT g, arg_max(least(s0, s3), k) AS held FROM layers GROUP BY g
+        ), letters AS (
+            SELECT g, i, substr(held, 12 + i, 1) AS letter, len(replace(substr(held, 13, i), 'I', '')) AS k FROM (SELECT g, held, unnest(range(1, len(held) - 11)) AS i FROM found)
+        ), living AS (
+            SELECT l.g, l.i, letter, role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, row_number() OVER (PARTITION BY l.g ORDER BY l.i) AS p,
+                first_value(letter = 'K' AND initial = 's') OVER (PARTITION BY l.g ORDER BY l.i) AS system
+            FROM letters l LEFT JOIN faults f ON f.g = l.g AND f.k = l.k AND letter <> 'I' WHERE letter <> 'D'
+        ), repaired AS (
+            SELECT g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (p - CAST(coalesce(system, false) AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS whole
+            FROM living GROUP BY g
+        ), counted AS (
+            SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+                count(*) FILTER (k > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY g
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(left(held, 12) AS BIGINT) AS cost, substr(held, 13) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT g, conv_id FROM given) c JOIN found USING (g) LEFT JOIN repaired USING (g) LEFT JOIN counted USING (g)
+    """
+
 
 ORACLES = {
     "op5_ngram_jaccard": r"""
@@ -118,4 +188,5 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_conversation_repair": _repair_sql(),
 }

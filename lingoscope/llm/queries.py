@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingoscope.llm import byte_bpe, conversation_repair, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, tokens, topk_search, toxicity
+from lingoscope.llm import byte_bpe, conversation_repair, exact_dedup, jaccard_join, language_id, mixing, packing, sharding, suffix_dedup, token_alignment, tokens, topk_search, toxicity
 from lingoscope.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -65,6 +66,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), str(public_tokenizers.path(BYTES)), str(public_tokenizers.path(PIECES)))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
@@ -75,7 +82,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(str(public_tokenizers.path(RANKS))), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding, op12_conversation_repair, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_toxicity, op4_suffix_dedup, op5_ngram_jaccard, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_mixing, op10_sharding, op11_token_alignment, op12_conversation_repair, op13_byte_bpe)}
 
 
 def _on(held: str, cost: str, letter: str) -> str:

@@ -32,6 +32,7 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from lingoscope.llm.common import narrow, sparing, text_lists
 from lingoscope.operators.storage import stored
 
 BLOCK = 4 << 20  # bytes of texts whose postings are written together
-MEMO_BYTES = 24 << 20  # of keys, strings and pairs in the memo
+MEMO_BYTES = 96 << 20  # of keys, strings and pairs in the memo
 BUCKETS = 64  # of B ids
 TOGETHER = 1 << 23  # postings that meet their counts in one group
 SHIFT = 20  # bits of an A id in a pair, and of a document's place in its block
@@ -121,46 +122,57 @@ class Aligner:
         self.held = 0
 
     def learn(self, chunks: list[str]) -> None:
-        """Numbers chunks that are new; what was kept is forgotten first if it is much."""
+        """Numbers chunks that are new."""
         t = self.t
         for start in range(0, len(chunks), 20_000):
             some = chunks[start : start + 20_000]
             ids_a, ids_b = t.encode(some)
-            fits = [t.whole(*x) for x in zip(some, ids_a, ids_b)]
-            good = [k for k, fit in enumerate(fits) if fit]
-            aligned = dict(zip(good, self._aligned([ids_a[k] for k in good], [ids_b[k] for k in good])))
-            for k, chunk in enumerate(some):
-                self.number[chunk] = len(self.groups)
-                groups, sizes, pairs = aligned.get(k, (None, (0, 0, 0, 0), np.zeros(0, np.int64)))
-                self.groups.append(groups)
-                self.sizes.extend(sizes)
-                self.starts.append(len(self.pairs))
-                self.pairs.frombytes(pairs.tobytes())
-                self.held += len(chunk) + len(groups or "") + 8 * len(pairs) + 200
-
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]):
-        """Of each chunk its groups as text, sizes and linked pairs; all chunks lie one after another."""
+            data = "".join(some).encode()
+            if any(b"".join(map(of.__getitem__, chain.from_iterable(ids))) != data for of, ids in ((t.bytes_a, ids_a), (t.bytes_b, ids_b))):
+                for k, fits in enumerate(t.whole(*x) for x in zip(some, ids_a, ids_b)):
+                    if not fits:
+                        self._keep([some[k]], [None], np.zeros((1, 4), np.int64), np.zeros(0, np.int64))
+                fits = [c not in self.number for c in some]
+                some, ids_a, ids_b = ([y for y, fit in zip(x, fits) if fit] for x in (some, ids_a, ids_b))
+            if some:
+                self._keep(some, *self._aligned(ids_a, ids_b))
+
+    def _keep(self, chunks: list[str], groups: list[str | None], sizes: np.ndarray, pairs: np.ndarray) -> None:
+        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks))))
+        self.starts.frombytes((len(self.pairs) + np.cumsum(sizes[:, 3]) - sizes[:, 3]).tobytes())
+        self.groups += groups
+        self.sizes.frombytes(sizes.astype(np.int32).tobytes())
+        self.pairs.frombytes(pairs.tobytes())
+        self.held += sum(map(len, chunks)) + sum(len(g or "") for g in groups) + 8 * len(pairs) + 200 * len(chunks)
+
+    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each chunk its groups as text and its sizes; all linked pairs; the chunks lie one after another."""
         t = self.t
-        a, b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
         ends_a, ends_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
         first = np.searchsorted(ends_b, ends_a - t.length_a[a], "right")  # of the B tokens that an A token meets
-        met = np.searchsorted(ends_b, ends_a, "left") - first + 1
-        before = np.cumsum(met) - met
-        links = np.repeat(first - before, met) + np.arange(met.sum())
-        pairs = b[links] << SHIFT | np.repeat(a, met)
-        common = np.intersect1d(ends_a, ends_b)
-        in_a, in_b = (np.searchsorted(e, common, "right").tolist() for e in (ends_a, ends_b))
+        last = np.searchsorted(ends_b, ends_a, "left")
+        met = last - first + 1
         upto = np.concatenate([[0], np.cumsum(met)])
-        text_a, text_b = ([t.decimal[i] for i in x.tolist()] for x in (a, b))
-        i = j = g = 0
-        for of_a, of_b in zip(ids_a, ids_b):
-            start_a, start_b, start_g = i, j, g
-            groups = []
-            while i < start_a + len(of_a):
-                groups.append(f"{','.join(text_a[i : in_a[g]])}|{','.join(text_b[j : in_b[g]])}")
-                i, j, g = in_a[g], in_b[g], g + 1
-            yield ";".join(groups), (len(of_a), len(of_b), g - start_g, int(upto[i] - upto[start_a])), pairs[upto[start_a] : upto[i]]
-            assert j == start_b + len(of_b)
+        links = np.repeat(first - upto[:-1], met) + np.arange(upto[-1])
+        pairs = b[links] << SHIFT | np.repeat(a, met)
+        closing = np.flatnonzero(ends_b[last] == ends_a)  # A tokens that end where a B token does
+        in_a, in_b = closing + 1, last[closing] + 1
+        of_a = np.cumsum(n_a)
+        in_g = np.searchsorted(in_a, of_a, "right")
+        sizes = np.stack([n_a, n_b, np.diff(in_g, prepend=0), np.diff(upto[of_a], prepend=0)], 1)
+        decimal = t.decimal.__getitem__
+        text_a, text_b = list(map(decimal, a.tolist())), list(map(decimal, b.tolist()))
+        parts, i, j = [], 0, 0
+        for p, q in zip(in_a.tolist(), in_b.tolist()):
+            parts.append(f"{text_a[i]}|{text_b[j]}" if p - i == 1 == q - j else f"{','.join(text_a[i:p])}|{','.join(text_b[j:q])}")
+            i, j = p, q
+        groups, g = [], 0
+        for h in in_g.tolist():
+            groups.append(parts[g] if h - g == 1 else ";".join(parts[g:h]))
+            g = h
+        return groups, sizes, pairs
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Sizes and hashes of texts, and the links: pairs, and the text of each."""
@@ -169,15 +181,16 @@ class Aligner:
         lists = [self.t.chunks(" " + x) if x else [] for x in texts]
         self.learn(list({c for chunks in lists for c in chunks}.difference(self.number)))
         number, groups = self.number, self.groups
-        entries = [[number[c] for c in chunks] for chunks in lists]
-        for k, x in enumerate(texts):
-            if any(groups[e] is None for e in entries[k]):  # only the whole text can tell
+        entries = [list(map(number.__getitem__, chunks)) for chunks in lists]
+        differ = {e for e in set(chain.from_iterable(entries)) if groups[e] is None}
+        for k, x in enumerate(texts if differ else []):
+            if not differ.isdisjoint(entries[k]):  # only the whole text can tell
                 if (whole := " " + x) not in number:
                     self.learn([whole])
                 entries[k] = [number[whole]] if groups[number[whole]] is not None else []
         hashes = [hashlib.sha256(";".join([groups[e] for e in es]).encode()).hexdigest() if es else "" for es in entries]
         many = np.fromiter(map(len, entries), np.int64, len(texts))
-        every = np.fromiter((e for es in entries for e in es), np.int64, many.sum())
+        every = np.fromiter(chain.from_iterable(entries), np.int64, many.sum())
         of = np.repeat(np.arange(len(texts)), many)
         each = np.frombuffer(self.sizes, np.int32).reshape(-1, 4)[every].astype(np.int64)
         sizes = np.zeros((len(texts), 4), np.int64)

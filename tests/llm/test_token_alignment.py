@@ -31,7 +31,13 @@ def plain(both, texts):
                         out.append((at, at := at + len(data[i])))
                     spans.append(out)
                 ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-                groups = [[[i for i, (_, e) in zip(ids, s) if low < e <= high] for ids, s in ((a, spans[0]), (b, spans[1]))] for low, high in zip([0, *ends], ends)]
+                at = {e: k for k, e in enumerate(ends)}
+                groups = [([], []) for _ in ends]
+                for side, ids in enumerate((a, b)):
+                    k = 0
+                    for i, (_, e) in zip(ids, spans[side]):
+                        groups[k][side].append(i)
+                        k += e in at
                 links, first = [], 0
                 for i, (s, e) in zip(a, spans[0]):
                     while spans[1][first][1] <= s:

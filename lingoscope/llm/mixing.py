@@ -14,8 +14,13 @@ in all give a schedule that repeats itself every U slots, until the first source
 ends.  So there is one phase for each source, each with one period of at most
 ``UNITS`` slots; they are worked out on the driver and broadcast, and tasks find a
 block's slot from its phase, the number of whole periods before it, and its place
-in the period.  Up to ``MANY`` sources a period has about 16,384 slots; with more
-sources it is shorter, so that all phases together stay bounded.
+in the period.
+
+With more than ``MANY`` sources there is one schedule without end: its period has
+``SHARE`` slots for each source at least, shared out by largest remainders, so that
+weights are as exact as with few.  Slots of sources that have ended stay empty, so the
+others go on at their ratio; rows are numbered by counts of stretches of slots.
+``mix_position`` has no gaps in either case.
 
 Cases: null is a source of its own; sources without a stated weight get none and
 come last; a stated source without rows is left out; rows of one id are told
@@ -39,6 +44,8 @@ from lingoscope.llm.sharding import buckets_for, ranked_in_source
 BLOCK_ROWS = 64
 UNITS = 1 << 14
 MANY = 32
+SHARE = 16
+STRETCH = 256  # slots whose rows are numbered together
 
 
 class Phase(NamedTuple):
@@ -121,11 +128,58 @@ def pfair(blocks: dict, weights: dict) -> list[tuple]:
 def units_of(weights: dict) -> dict:
     """Weights as whole units, one at least for each."""
     weights = {s: w for s, w in weights.items() if w > 0}
-    most = UNITS if len(weights) <= MANY else UNITS * MANY // len(weights)
-    total = sum(weights.values())
+    most, total = UNITS, sum(weights.values())
+    if len(weights) > MANY:
+        most = max(UNITS, 1 << (SHARE * len(weights) - 1).bit_length())
+        share = {s: w / total * most for s, w in weights.items()}
+        out = {s: max(1, int(x)) for s, x in share.items()}
+        over = sum(out.values()) - most  # at most one unit for each source, either way
+        for s in sorted(share, key=lambda s: out[s] - share[s], reverse=over > 0)[: abs(over)]:
+            out[s] -= 1 if over > 0 and out[s] > 1 else -1 if over < 0 else 0
+        return out
     return {s: max(1, round(w / total * most)) for s, w in weights.items()}
 
 
+def _ties(docs: DataFrame, named: list[str], id_col: str, source_col: str) -> tuple[str, ...]:
+    """Columns that tell rows of one id apart."""
+    return tuple(c for c, f in zip(named, docs.schema.fields) if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, source_col))
+
+
+def _endless(base: DataFrame, docs: DataFrame, named: list[str], rows_of: dict, units: dict, block_rows: int, seed: int, id_col: str, source_col: str) -> DataFrame:
+    """As ``mixed``, by one period of all sources that have a weight."""
+    spark = docs.sparkSession
+    order = sorted(rows_of, key=lambda s: (s is None, str(s)))
+    blocks = {s: -(-n // block_rows) for s, n in rows_of.items()}
+    period = period_of(units, {s: i for i, s in enumerate(order)})
+    at: dict = {s: [] for s in units}
+    for slot, s in enumerate(period):
+        at[s].append(slot)
+    last = {s: (blocks[s] - 1) // u * len(period) + at[s][(blocks[s] - 1) % u] for s, u in units.items()}
+    start, parts = max(last.values()) + 1, []
+    for number, s in enumerate(order):  # those without a weight come one after another
+        parts.append((s, number, units.get(s), None if s in units else start, last.get(s)))
+        start += 0 if s in units else blocks[s]
+    long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    part = spark.createDataFrame(parts, T.StructType([T.StructField("s", docs.schema[source_col].dataType), *long("number", "units", "alone", "ends")]))
+    slots = spark.createDataFrame([(number, k, x) for number, s in enumerate(order) if s in units for k, x in enumerate(at[s])], "number2 long, nth long, at long", verifySchema=False)
+    ranked = ranked_in_source(base, seed, buckets_for(sum(rows_of.values())), _ties(docs, named, id_col, source_col)).withColumn("block", F.expr(f"rank div {block_rows}"))
+    # Spark picks how these meet by their sizes
+    here = ranked.join(part, ranked["source"].eqNullSafe(part["s"]))
+    here = here.join(slots, (F.col("number") == F.col("number2")) & (F.expr("block % units") == F.col("nth")), "left")
+    size = len(period)
+    here = here.withColumn("slot", F.coalesce(F.expr(f"(block div units) * {size} + at"), F.expr("alone + block"))).withColumn("stretch", F.expr(f"slot div {STRETCH}"))
+    counts = here.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy("stretch").orderBy("slot", "rank")) - 1
+    return here.withColumn("inside", inside).join(starts, "stretch").select(
+        *[F.col(n).alias(c) for n, c in zip(named, docs.columns)],
+        F.col("slot").alias("mix_slot"), F.col("block").alias("mix_block"), F.coalesce(F.expr(f"(block * {size}) div units"), "slot").alias("mix_release"),
+        F.coalesce(F.expr(f"((block + 1) * {size} + units - 1) div units"), F.col("slot") + 1).alias("mix_deadline"),
+        (F.col("units").isNotNull() & (F.col("slot") <= min(last.values()))).alias("in_mix"), (F.col("begin") + F.col("inside")).alias("mix_position"),
+    )
+
+
 def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", seed: int = 41) -> DataFrame:
     """All columns of ``docs`` and mix_slot, mix_block, mix_release, mix_deadline, in_mix, mix_position.
 
@@ -138,7 +192,10 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7
     rows_of = {r["source"]: r["n"] for r in base.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each source
     if weights is None:
         weights = {s: n**temperature for s, n in rows_of.items()}
-    plan = phases({s: -(-n // block_rows) for s, n in rows_of.items()}, units_of({s: w for s, w in weights.items() if rows_of.get(s)}))
+    units = units_of({s: w for s, w in weights.items() if rows_of.get(s)})
+    if len(units) > MANY:
+        return _endless(base, docs, named, rows_of, units, block_rows, seed, id_col, source_col)
+    plan = phases({s: -(-n // block_rows) for s, n in rows_of.items()}, units)
     # rows that the last blocks of the sources that ended before a phase lack
     lacking, short = 0, []
     for k in range(len(plan)):
@@ -163,7 +220,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, temperature: float = 0.7
     slot = spark.createDataFrame(slots, "phase2 int, number2 int, nth int, at int", verifySchema=False)
     # sources times buckets is checked; phases and periods are bounded by the number of sources
     buckets = buckets_for(sum(rows_of.values()))
-    ties = tuple(c for c, f in zip(named, docs.schema.fields) if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, source_col))
+    ties = _ties(docs, named, id_col, source_col)
     ranked = ranked_in_source(base, seed, buckets, ties, len(rows_of) * buckets <= 1 << 18).withColumn("block", F.expr(f"rank div {block_rows}"))
     here = ranked.join(F.broadcast(part), ranked["source"].eqNullSafe(part["s"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
     here = here.withColumn("j", F.col("block") - F.col("first"))

@@ -754,3 +754,53 @@ def test_toxicity_of_rows_that_were_not_learnt_from(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").join(labels.where("toxic is not null"), "doc_id")
     n = Counter((r["toxic"], r["predicted"]) for r in scored.collect())
     assert n[1, 1] >= 0.5 * (n[1, 1] + n[1, 0]) > 0 and n[0, 1] <= 0.05 * (n[0, 0] + n[0, 1])
+
+
+def test_mixing_of_many_sources_keeps_their_weights(spark):
+    """One source at one half, 5,000 that share the rest: less than a block of deviation at every prefix."""
+    rows = [(i, "t", None, "big", *[None] * 5) for i in range(20000)] + [(20000 + i, "t", None, f"s{i % 5000}", *[None] * 5) for i in range(20000)]
+    weights = {"big": 0.5} | {f"s{i}": 0.5 / 5000 for i in range(5000)}
+    units = mixing.units_of(weights)
+    assert units["big"] * 2 == sum(units.values())
+    out = mixing.mixed(table(spark, rows), weights=weights, block_rows=1).select("doc_id", "source", "mix_slot", "mix_position", "mix_release", "mix_deadline", "in_mix").collect()
+    out.sort(key=lambda r: r["mix_position"])
+    assert [r["mix_position"] for r in out] == list(range(40000)) and len({r["doc_id"] for r in out}) == 40000
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in out)
+    seen, mixed_rows = Counter(), 0
+    for k, r in enumerate(out):
+        if not r["in_mix"]:
+            break
+        mixed_rows += 1
+        seen[r["source"]] += 1
+        assert abs(seen["big"] - 0.5 * (k + 1)) < 1 and seen[r["source"]] - weights[r["source"]] * (k + 1) < 1
+    assert mixed_rows > 20000
+
+
+def test_mixing_of_many_sources_with_ends_and_without_weights(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "t", None, None if s == 0 else f"s{s}", *[None] * 5) for i, s in enumerate(rng.zipf(1.3, 4000) % 60)]
+    counts = Counter(r[3] for r in rows)
+    weights = {s: n for k, (s, n) in enumerate(counts.items()) if k % 9}
+    out = mixing.mixed(table(spark, rows), weights=weights, block_rows=3).orderBy("mix_position").collect()
+    assert [r["mix_position"] for r in out] == list(range(4000)) and {r["doc_id"] for r in out} == set(range(4000))
+    assert [r["mix_slot"] for r in out] == sorted(r["mix_slot"] for r in out)
+    assert [r["source"] in weights for r in out] == [True] * sum(weights.values()) + [False] * (4000 - sum(weights.values()))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in out)
+    assert Counter((r["source"], r["mix_block"]) for r in out) == {(s, b): min(3, n - 3 * b) for s, n in counts.items() for b in range(-(-n // 3))}
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    base, near = " ".join(words), " ".join([*words[:59], "other"])
+    apart, third = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    more = (None, None, None)
+    rows = [(1, base, *more), (None, near, *more), (None, apart, *more), (7, near, *more), (7, third, *more), (None, third + " z", *more), (9, "", *more), (9, "", *more), (None, None, *more), (4, apart + " q", "b", *more[1:]), (4, apart + " q", "a", *more[1:])]
+    rows = [(*r, "clash", 1, 2, 3) for r in rows]
+    kept = jaccard_join.one_of_each(table(spark, rows), words=5, percent=75).collect()
+    assert sorted((repr(r["doc_id"]), r["text"], r["lang"]) for r in kept) == sorted((repr(i), t, lang) for i, t, lang in [(1, base, None), (4, apart + " q", "a"), (7, third, None), (9, "", None), (9, "", None), (None, None, None)])
+
+
+def test_of_rows_alike_in_id_and_text_the_least_stays(spark):
+    rows = [(1, "Text", lang, None, None, "clash", 1, 2, 3) for lang in ("c", "b", "a", "d")] + [(2, "text", "z", None, None, "clash", 1, 2, 3)]
+    kept = exact_dedup.drop_exact_copies(table(spark, rows), keep="smallest").collect()
+    assert [(r["doc_id"], r["lang"]) for r in kept] == [(1, "a")]

@@ -37,6 +37,16 @@ def bounded_sample(rows: DataFrame, limit: int, id_col: str = "id") -> DataFrame
     return rows.orderBy(h, *rows.columns).limit(limit)
 
 
+def least_of_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """The columns in ``held``, of rows with equal keys those that come first in the columns' order.
+
+    Columns that have no order (maps) decide nothing: with one of these, any row stays.
+    """
+    if any(kind in rows.schema["held"].dataType.simpleString() for kind in ("map<", "variant")):
+        return rows.dropDuplicates(list(keys)).select("held.*")
+    return rows.groupBy(*keys).agg(F.min("held").alias("held")).select("held.*")
+
+
 def utf8_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, one after another, and the rows' bounds.
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import narrow
+from lingoscope.llm.common import least_of_each, narrow
 from lingoscope.operators.storage import stored
 
 LARGE = 1_000  # copies from which a group's rows are salted
@@ -77,7 +77,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row of each group, with all its columns: the one whose id represents it.
 
-    Of rows that have that id and an equal text, an arbitrary one stays.
+    Of rows that have that id and an equal text, the least in the order of its columns stays.
     """
     groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     kept = stored(groups.groupBy("kept_id", "kept_sha").agg((F.count(F.lit(1)) > 1).alias("twins")))
@@ -88,4 +88,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     single = some.where("not twins").select("held.*")
     if kept.where("twins").isEmpty():
         return single
-    return single.unionByName(some.where("twins").dropDuplicates(["id", "sha"]).select("held.*"))
+    return single.unionByName(least_of_each(some.where("twins"), "id", "sha"))

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import byte_sized, narrow, sparing
+from lingoscope.llm.common import least_of_each, byte_sized, narrow, sparing
 from lingoscope.llm.shingles import WORDS, linked, mixed, shingle_sets
 from lingoscope.operators.graph import connected_components
 from lingoscope.operators.storage import bucketed, discard, stored
@@ -313,8 +313,8 @@ def grid_links(members: DataFrame, classes: DataFrame, texts: DataFrame, folding
     return rows.groupBy("low", "row", "column").applyInArrow(cell, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable by links) for every row."""
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, key (of id and text), n (shingles), part (one number for all that links reach) for every row."""
     spark = docs.sparkSession
     first = stored(digests(docs, words, id_col, text_col))
     sets, folding = named(first.where("bucket is null").select("id", "key", "n", "first", "second"))
@@ -374,16 +374,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     if later:
         parts = stored(connected_components(links, "a", "b")).toDF("set_id", "part")
 
-    labelled = sets.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
-    lowest = labelled.where("n > 0").groupBy("part").agg(F.min("id").alias("lowest"))
-    return labelled.join(lowest, "part", "left").select(
+    return sets.join(parts, "set_id", "left").select("id", "key", "n", F.coalesce("part", "set_id").alias("part"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable by links) for every row."""
+    rows = labelled(docs, words, percent, id_col, text_col)
+    lowest = rows.where("n > 0").groupBy("part").agg(F.min("id").alias("lowest"))
+    return rows.join(lowest, "part", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    rows = docs.select(docs[id_col].alias("row_id"), F.struct(*[docs[c] for c in docs.columns]).alias("held"))
-    return rows.join(kept, rows["row_id"].eqNullSafe(kept["kept_id"]), "left_semi").select("held.*")
+    """Of each group that links reach one row of ``docs``, with all its columns.
+
+    It is the row of the smallest id (a null id comes last; of different texts under one
+    id, a fixed one).  Rows alike in id and text are one: the least in the order of its
+    columns stays.  Rows without words are linked with nothing and all stay.
+    """
+    rows = stored(labelled(docs, id_col=id_col, text_col=text_col, **options))
+    lead = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("lead")
+    leads = rows.where("n > 0").groupBy("part").agg(lead).select(F.col("lead.id").alias("kept_id"), F.col("lead.key").alias("kept_key"), F.lit(True).alias("one"))
+    bare = rows.where("n = 0").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct().withColumn("one", F.lit(False))
+    held = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], docs[text_col]).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("held"))
+    kept = leads.union(bare)
+    met = held.join(kept, held["id"].eqNullSafe(kept["kept_id"]) & (held["key"] == kept["kept_key"])).select("id", "key", "held", "one")
+    repeated = rows.where("n > 0").groupBy("id", "key").count().where("count > 1")
+    if repeated.isEmpty():
+        return met.select("held.*")
+    twins = repeated.select(F.col("id").alias("twin_id"), F.col("key").alias("twin_key"))
+    same = met["id"].eqNullSafe(twins["twin_id"]) & (met["key"] == twins["twin_key"]) & met["one"]
+    return met.join(twins, same, "left_anti").select("held.*").unionByName(least_of_each(met.join(twins, same, "left_semi"), "id", "key"))

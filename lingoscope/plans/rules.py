@@ -192,13 +192,18 @@ def _inconsistent(c: Crawl) -> DataFrame:
     taking = healthy.where(F.col("locale").isNotNull() & ((F.size("own") > 0) | F.col("group_key").isNotNull()))
     side = taking.select("run_id", "group_key", "url", "locale", "own")
     languages = F.transform("own", lambda e: primary(e["key"]))
-    other = side.select("run_id", "group_key", F.col("url").alias("sibling"), F.col("locale").alias("sibling_locale"), F.col("own").alias("sibling_own"))
-    pairs = side.withColumn("languages", languages).join(other, ["run_id", "group_key"]).where(
-        (F.col("url") != F.col("sibling")) & (primary(F.col("locale")) != primary(F.col("sibling_locale"))) & ~F.array_contains("languages", primary(F.col("sibling_locale")))
-    )
-    names = F.exists("sibling_own", lambda e: e["value"] == F.col("url"))
-    kind = F.when(names, "not_reciprocated").when(F.size("own") > 0, "incomplete")
-    lacking = pairs.select("run_id", "group_key", F.struct("url", kind.alias("kind"), "sibling", F.col("sibling_locale").alias("siblingLocale"), F.lit(None).cast("string").alias("locale")).alias("defect")).where("defect.kind is not null")
+    family = ["run_id", "group_key"]
+    page = side.withColumns({"languages": languages, "language": primary(F.col("locale"))})
+    other = page.select(*family, F.col("url").alias("sibling"), F.col("locale").alias("sibling_locale"), F.col("language").alias("sibling_language"), F.col("own").alias("sibling_own"))
+    defect = lambda kind: F.struct("url", F.lit(kind).alias("kind"), "sibling", F.col("sibling_locale").alias("siblingLocale"), F.lit(None).cast("string").alias("locale")).alias("defect")
+    # siblings that name a page which doesn't declare their language: by what they declare
+    naming = other.select("*", F.explode(F.array_distinct(F.transform("sibling_own", lambda e: e["value"]))).alias("url")).drop("sibling_own").where("url <> sibling")
+    named = page.join(naming, [*family, "url"]).where((F.col("language") != F.col("sibling_language")) & ~F.array_contains("languages", F.col("sibling_language")))
+    # languages that a family has and a page that declares some lacks: only siblings in these are met
+    spoken = page.groupBy(*family).agg(F.collect_set("language").alias("spoken"))
+    lacks = page.where(F.size("own") > 0).join(spoken, family).withColumn("sibling_language", F.explode(F.array_except("spoken", F.array_append("languages", F.col("language")))))
+    met = lacks.join(other, [*family, "sibling_language"]).where((F.col("url") != F.col("sibling")) & ~F.exists("sibling_own", lambda e: e["value"] == F.col("url")))
+    lacking = named.select(*family, defect("not_reciprocated")).unionByName(met.select(*family, defect("incomplete")))
     silent = side.where((F.size("own") > 0) & ~F.array_contains(languages, primary(F.col("locale"))))
     selfless = silent.select("run_id", "group_key", F.struct("url", F.lit("no_self_reference").alias("kind"), F.lit(None).cast("string").alias("sibling"), F.lit(None).cast("string").alias("siblingLocale"), "locale").alias("defect"))
     return lacking.unionByName(selfless).groupBy("run_id", "group_key").agg(F.array_sort(F.collect_set("defect")).alias("defects"))

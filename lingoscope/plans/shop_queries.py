@@ -45,10 +45,10 @@ _FOUND = (
 )
 _SRC = "src AS (SELECT p, url, CASE WHEN p % 10 = 0 THEN 'https://gone.example/' || p ELSE link_next END AS nxt, url AS own FROM pg)"
 _KEYED = (
-    "looked AS (SELECT ord, o, group_key FROM (SELECT ord, unnest(origin) AS o FROM found) LEFT JOIN fam ON fam.url = o), "
-    "keyed AS (SELECT found.ord, type, list_sort(list_distinct(origin)) AS origin, space, k.unknown, CASE WHEN k.unknown THEN list_sort(list_distinct(origin)) ELSE k.families END AS members FROM found "
+    "looked AS MATERIALIZED (SELECT ord, o, group_key FROM (SELECT ord, unnest(origin) AS o FROM found) LEFT JOIN fam ON fam.url = o), "
+    "keyed AS MATERIALIZED (SELECT found.ord, type, list_sort(list_distinct(origin)) AS origin, space, k.unknown, CASE WHEN k.unknown THEN list_sort(list_distinct(origin)) ELSE k.families END AS members FROM found "
     "JOIN (SELECT ord, bool_or(group_key IS NULL) AS unknown, list_sort(list(DISTINCT group_key) FILTER (group_key IS NOT NULL)) AS families FROM looked GROUP BY ord) k USING (ord)), "
-    "problem AS (SELECT space, unknown, members, CASE WHEN unknown THEN 'same-pages' WHEN len(members) = 1 THEN 'one-family' ELSE 'family-set' END AS shape, count(*) AS n, list_sort(list(ord)) AS ords, list_sort(list(DISTINCT type)) AS types FROM keyed GROUP BY ALL HAVING count(*) >= 2)"
+    "problem AS MATERIALIZED (SELECT space, unknown, members, CASE WHEN unknown THEN 'same-pages' WHEN len(members) = 1 THEN 'one-family' ELSE 'family-set' END AS shape, count(*) AS n, list_sort(list(ord)) AS ords, list_sort(list(DISTINCT type)) AS types FROM keyed GROUP BY ALL HAVING count(*) >= 2)"
 )
 
 

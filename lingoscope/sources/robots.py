@@ -35,12 +35,19 @@ def sitemaps(bodies: DataFrame, run_col: str = "run_id", body_col: str = "body")
     return lines.select("run_id", F.trim(F.regexp_extract("raw", r"(?i)^\s*sitemap\s*:\s*([^#\s]+)", 1)).alias("sitemap")).where("sitemap <> ''").distinct()
 
 
+def _bare(pattern: Column) -> Column:
+    return F.when(F.endswith(pattern, F.lit("$")), F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
+
+
 def matcher(pattern: Column) -> Column:
     """A rule's pattern as a regular expression: ``*`` is anything, a last ``$`` is the end."""
-    anchored = F.endswith(pattern, F.lit("$"))
-    bare = F.when(anchored, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
-    quoted = F.array_join(F.transform(F.split(bare, r"\*"), lambda part: F.when(part == "", part).otherwise(F.concat(F.lit(r"\Q"), part, F.lit(r"\E")))), ".*")
-    return F.concat(F.lit("^"), quoted, F.when(anchored, F.lit("$")).otherwise(F.lit("")))
+    quoted = F.array_join(F.transform(F.split(_bare(pattern), r"\*"), lambda part: F.when(part == "", part).otherwise(F.concat(F.lit(r"\Q"), part, F.lit(r"\E")))), ".*")
+    return F.concat(F.lit("^"), quoted, F.when(F.endswith(pattern, F.lit("$")), F.lit("$")).otherwise(F.lit("")))
+
+
+def head(pattern: Column) -> Column:
+    """What every path that a pattern fits begins with: the letters before its first ``*``."""
+    return F.substring_index(_bare(pattern), "*", 1)
 
 
 def group_for(rules: DataFrame, agent: str) -> DataFrame:
@@ -56,10 +63,16 @@ def group_for(rules: DataFrame, agent: str) -> DataFrame:
 def verdicts(rules: DataFrame, paths: DataFrame) -> DataFrame:
     """For each (run_id, path, ...) the deciding rule: longest pattern, allow before disallow; default allowed.
 
-    A site's rules are few, its paths many: they meet by run.
+    A path and a rule meet by the rule's head, so a path is tried against the rules that
+    share its beginning and not against all of its run: a run's heads have few lengths,
+    and a path is cut to each of them.  Only patterns with more than a head need their
+    expression.
     """
-    usable = rules.where("evaluable").select("run_id", "agent", "kind", "pattern", "line", "line_number", matcher(F.col("pattern")).alias("matcher"), "rule_ix")
-    met = paths.join(usable, "run_id").where("path rlike matcher")
+    usable = rules.where("evaluable").select("run_id", "agent", "kind", "pattern", "line", "line_number", matcher(F.col("pattern")).alias("_matcher"), head(F.col("pattern")).alias("_head"), "rule_ix")
+    lengths = usable.groupBy("run_id").agg(F.collect_set(F.length("_head")).alias("_lengths"))
+    begun = paths.join(lengths, "run_id").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("path")))).drop("_lengths")
+    begun = begun.withColumn("_head", F.substring(F.col("path"), F.lit(1), F.col("_n"))).drop("_n")
+    met = begun.join(usable, ["run_id", "_head"]).where("pattern = _head or path rlike _matcher")
     rank = F.struct(F.length("pattern"), (F.col("kind") == "allow").cast("int"), -F.col("rule_ix"))
     decided = met.groupBy(*paths.columns).agg(F.max_by(F.struct("kind", "pattern", "line", "line_number", "agent"), rank).alias("rule"))
     out = paths.join(decided, paths.columns, "left")

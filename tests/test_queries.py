@@ -1,5 +1,7 @@
 """Queries against their SQL, on the smallest tables."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -9,12 +11,16 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 
 
-@pytest.fixture(scope="module")
+THREADS = os.environ.get("TEST_DUCK_THREADS")
+
+
+@pytest.fixture
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+    """A connection for each test: an error in one query leaves the others alone."""
+    with duckdb.connect(config={"threads": int(THREADS)} if THREADS else {}) as con:
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        yield con
 
 
 def ordered(columns, rows):

@@ -35,19 +35,7 @@ def decode(png: bytes) -> np.ndarray:
         raise ValueError("an unsupported PNG")
     width, height, n = head[0], head[1], _CHANNELS[head[3]]
     raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width * n + 1)
-    out = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.uint8)
-    for y in range(height):
-        kind, line = raw[y, 0], raw[y, 1:]
-        if kind == 0:
-            row = line
-        elif kind == 2:
-            row = line + above
-        elif kind == 1:
-            row = np.cumsum(line.reshape(width, n), axis=0, dtype=np.uint8).ravel()
-        else:
-            row = _slow_filter(kind, line, above, n)
-        out[y] = above = row
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(height, width, n))
     pixels = out.reshape(height, width, n).astype(np.int32)
     colour = np.repeat(pixels[..., :1], 3, 2) if n < 3 else pixels[..., :3]
     if n in (2, 4):
@@ -56,19 +44,60 @@ def decode(png: bytes) -> np.ndarray:
     return colour.astype(np.float32)
 
 
-def _slow_filter(kind: int, line: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
-    row = [0] * len(line)
-    up = above.tolist()
-    for i, x in enumerate(line.tolist()):
-        a, b, c = (row[i - n] if i >= n else 0), up[i], (up[i - n] if i >= n else 0)
-        if kind == 3:
-            guess = (a + b) // 2
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Bytes of rows (height, width, n) as they were before their filters (0 none, 1 left, 2 up, 3 average, 4 Paeth).
+
+    Stretches of rows with the last two, which look both left and up, are done together
+    by diagonals; others a row at a time.
+    """
+    height, width, n = lines.shape
+    if (kinds > 4).any():
+        raise ValueError("an unknown filter")
+    out = np.zeros((height, width, n), np.uint8)
+    above, y = np.zeros((width, n), np.uint8), 0
+    both = kinds >= 3
+    plain = np.flatnonzero(~both)
+    while y < height:
+        if both[y]:
+            at = np.searchsorted(plain, y)  # few plain rows between two such stretches go with them
+            while at < len(plain) and plain[at] - y < DIAGONAL and both[plain[at] : plain[at] + 8].any():
+                at += 1
+            end = min(int(plain[at]) if at < len(plain) else height, y + DIAGONAL)
+            out[y:end] = _by_diagonals(kinds[y:end], lines[y:end], above)
         else:
-            p = a + b - c
-            pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-        row[i] = (x + guess) & 255
-    return np.array(row, np.uint8)
+            end = y + 1
+            out[y] = lines[y] if kinds[y] == 0 else lines[y] + above if kinds[y] == 2 else np.cumsum(lines[y], axis=0, dtype=np.uint8)
+        y, above = end, out[end - 1]
+    return out
+
+
+DIAGONAL = 4096  # rows that are done together
+
+
+def _by_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Pixels on one diagonal (x + y is the same) need only those of the two before it, so they are done at once."""
+    height, width, n = lines.shape
+    done = np.zeros((height + 1, width + 1, n), np.int16)  # with the row above and a column of zeros on the left
+    done[0, 1:] = above
+    flat, given = done.reshape(-1, n), lines.astype(np.int16).reshape(-1, n)
+    masks = [(kinds == k)[:, None] for k in (1, 2, 3, 4)]
+    for d in range(height + width - 1):
+        low, high = max(0, d - width + 1), min(height - 1, d)  # rows that the diagonal crosses
+        many = high - low + 1
+        # from one row to the next a pixel lies one to the left, so neighbours are an even stride apart
+        at = (low + 1) * (width + 1) + d - low + 1
+        place = lambda first: slice(first, first + (many - 1) * width + 1, width)  # noqa: B023, E731
+        a, b, c = flat[place(at - 1)], flat[place(at - width - 1)], flat[place(at - width - 2)]
+        pb, pa = a - c, b - c
+        pc = np.abs(pa + pb)
+        pa, pb = np.abs(pa), np.abs(pb)
+        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        left, up, average, last = (m[low : high + 1] for m in masks)
+        guess = a * left + b * up + ((a + b) >> 1) * average + paeth * last
+        first = low * width + d - low
+        step = max(1, width - 1)
+        flat[place(at)] = (given[first : first + (many - 1) * step + 1 : step] + guess) & 255
+    return done[1:, 1:].astype(np.uint8)
 
 
 def changed(a: np.ndarray, b: np.ndarray, threshold: float = PIXEL_THRESHOLD) -> np.ndarray:

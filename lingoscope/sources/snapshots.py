@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lingoscope.schema import MAX_REGIONS, PIXEL_THRESHOLD, REGION_CELL
+from lingoscope.functions import pixels
+from lingoscope.schema import MAX_REGIONS, REGION_CELL
 
 RESULT = (
     "run_id string, url string, comparable boolean, reason string, changed_pixels long, compared_pixels long, "
@@ -36,12 +37,11 @@ def decode(png: bytes) -> np.ndarray:
     width, height, n = head[0], head[1], _CHANNELS[head[3]]
     raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width * n + 1)
     out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(height, width, n))
-    pixels = out.reshape(height, width, n).astype(np.int32)
-    colour = np.repeat(pixels[..., :1], 3, 2) if n < 3 else pixels[..., :3]
-    if n in (2, 4):
-        alpha = pixels[..., -1:] / 255
+    colour = np.repeat(out[..., :1], 3, 2) if n < 3 else out[..., :3]
+    if n in (2, 4) and (out[..., -1] < 255).any():
+        alpha = out[..., -1:].astype(np.float32) / 255
         colour = colour * alpha + 255 * (1 - alpha)
-    return colour.astype(np.float32)
+    return colour
 
 
 def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -100,16 +100,6 @@ def _by_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np
     return done[1:, 1:].astype(np.uint8)
 
 
-def changed(a: np.ndarray, b: np.ndarray, threshold: float = PIXEL_THRESHOLD) -> np.ndarray:
-    """Which pixels differ visibly, by weighted distance in a luma-chroma space."""
-    d = a - b
-    y = 0.299 * d[..., 0] + 0.587 * d[..., 1] + 0.114 * d[..., 2]
-    i = 0.596 * d[..., 0] - 0.274 * d[..., 1] - 0.322 * d[..., 2]
-    q = 0.211 * d[..., 0] - 0.523 * d[..., 1] + 0.312 * d[..., 2]
-    most = 0.5053 * 255**2 + 0.299 * 152**2 + 0.1957 * 133**2
-    return 0.5053 * y * y + 0.299 * i * i + 0.1957 * q * q > most * threshold**2
-
-
 def regions(mask: np.ndarray, cell: int = REGION_CELL, most: int = MAX_REGIONS) -> tuple[list[dict], bool]:
     """Boxes around connected cells with changed pixels, largest first, and whether some were left out."""
     rows, columns = -(-mask.shape[0] // cell), -(-mask.shape[1] // cell)
@@ -124,12 +114,16 @@ def regions(mask: np.ndarray, cell: int = REGION_CELL, most: int = MAX_REGIONS)
         if (new == label).all():
             break
         label = new
-    boxes = []
-    for n in np.unique(label[label > 0]):
-        y, x = np.nonzero(label == n)
-        left, top = int(x.min()) * cell, int(y.min()) * cell
-        boxes.append({"x": left, "y": top, "width": min(int(x.max() + 1) * cell, mask.shape[1]) - left, "height": min(int(y.max() + 1) * cell, mask.shape[0]) - top})
-    boxes.sort(key=lambda r: (-r["width"] * r["height"], r["y"], r["x"]))
+    y, x = np.nonzero(grid)
+    names, of = np.unique(label[y, x], return_inverse=True)  # in the order of their first cells
+    ends = {}
+    for side, fold, at in (("left", np.minimum, x), ("top", np.minimum, y), ("right", np.maximum, x), ("bottom", np.maximum, y)):
+        ends[side] = np.full(len(names), grid.size if fold is np.minimum else -1)
+        fold.at(ends[side], of, at)
+    left, top = ends["left"] * cell, ends["top"] * cell
+    width, height = np.minimum((ends["right"] + 1) * cell, mask.shape[1]) - left, np.minimum((ends["bottom"] + 1) * cell, mask.shape[0]) - top
+    boxes = [dict(zip(("x", "y", "width", "height"), map(int, box))) for box in zip(left, top, width, height)]
+    boxes.sort(key=lambda r: -r["width"] * r["height"])
     return boxes[:most], len(boxes) > most
 
 
@@ -143,21 +137,53 @@ def _refusal(row) -> str | None:
     return None
 
 
-def _compare(row) -> dict:
-    out = dict.fromkeys(("changed_pixels", "compared_pixels", "height_delta"))
-    out |= {"comparable": False, "regions": [], "regions_capped": False, "reason": _refusal(row)}
-    if out["reason"]:
-        return out
+def _pair(row) -> tuple[str | None, np.ndarray | None, np.ndarray | None]:
+    """A refusal, or the pixels of the picture and of its baseline."""
+    refused = _refusal(row)
+    if refused:
+        return refused, None, None
     try:
         a, b = decode(row["picture"]), decode(row["baseline"])
     except (ValueError, zlib.error, struct.error):
-        return out | {"reason": "unreadable"}
-    if a.shape[1] != b.shape[1]:
-        return out | {"reason": "width_differs"}
+        return "unreadable", None, None
+    return ("width_differs", None, None) if a.shape[1] != b.shape[1] else (None, a, b)
+
+
+def _masks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of what both pictures cover: pixels that changed, and smoothed edges.  The count and the overlay both come from here."""
     height = min(len(a), len(b))
-    mask = changed(a[:height], b[:height])
+    return pixels.compared(b[:height], a[:height])
+
+
+def _compare(row) -> dict:
+    out = dict.fromkeys(("changed_pixels", "compared_pixels", "height_delta"))
+    out["reason"], a, b = _pair(row)
+    out |= {"comparable": out["reason"] is None, "regions": [], "regions_capped": False}
+    if out["reason"]:
+        return out
+    mask, _ = _masks(a, b)
     boxes, capped = regions(mask)
-    return out | {"comparable": True, "changed_pixels": int(mask.sum()), "compared_pixels": mask.size, "regions": boxes, "regions_capped": capped, "height_delta": len(a) - len(b)}
+    return out | {"changed_pixels": int(mask.sum()), "compared_pixels": mask.size, "regions": boxes, "regions_capped": capped, "height_delta": len(a) - len(b)}
+
+
+def _overlay(row) -> bytes | None:
+    refused, a, b = _pair(row)
+    if refused:
+        return None
+    mask, smooth = _masks(a, b)
+    return pixels.encode(pixels.painted(b[: len(mask)], mask, smooth))
+
+
+def _each(pairs: DataFrame, answer, schema: str, kinds: dict) -> DataFrame:
+    """A row for each pair, compared one at a time."""
+    columns = [f.name for f in pairs.sparkSession.createDataFrame([], schema).schema]
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield pd.DataFrame([{"run_id": row["run_id"], "url": row["url"], **answer(row)}], columns=columns).astype(kinds)
+
+    return pairs.mapInPandas(run, schema)
 
 
 def compare(pairs: DataFrame) -> DataFrame:
@@ -166,10 +192,9 @@ def compare(pairs: DataFrame) -> DataFrame:
     Pairs: (run_id, url, picture, viewport, masks, baseline, baseline_viewport,
     baseline_masks); only the overlap of two heights is compared.
     """
+    return _each(pairs, _compare, RESULT, {"changed_pixels": "Int64", "compared_pixels": "Int64", "height_delta": "Int32"})
 
-    def run(batches):
-        for batch in batches:
-            rows = [{"run_id": r["run_id"], "url": r["url"], **_compare(r)} for r in batch.to_dict("records")]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in "run_id,url,comparable,reason,changed_pixels,compared_pixels,regions,regions_capped,height_delta".split(",")]).astype({"changed_pixels": "Int64", "compared_pixels": "Int64", "height_delta": "Int32"})
 
-    return pairs.mapInPandas(run, RESULT)
+def overlays(pairs: DataFrame) -> DataFrame:
+    """(run_id, url, overlay): a PNG of what ``compare`` counted, over the baseline; NULL where it refuses."""
+    return _each(pairs, lambda row: {"overlay": _overlay(row)}, "run_id string, url string, overlay binary", {})

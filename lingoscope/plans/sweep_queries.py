@@ -1,4 +1,4 @@
-"""Sweeps over outside addresses and pictures whose attempts are the rows of ``events``.
+"""Sweeps over outside addresses and pictures whose attempts are the rows of ``events``, and sitemaps in the order of orders.
 
 A user's events are a run, in the order of their ids; an event is an address that was
 asked, and its value decides what each request to it gave.
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingoscope.plans.catalogue import query, table
-from lingoscope.sources import sweeps
+from lingoscope.sources import sitemap, sweeps
 
 #: An event as an address, in SQL that both engines read: ``v`` is what it meets, ``r`` its run's number.
 _ASKED = """SELECT CAST(user_id AS VARCHAR(20)) AS run_id, event_id AS place, user_id AS r, CAST(floor(value * 100) AS BIGINT) % (CASE WHEN user_id % 7 = 0 THEN 45 ELSE 160 END) AS v,
@@ -60,3 +60,20 @@ def sweep_images(spark, sf_dir):
     attempts = _attempts(spark, sf_dir)
     found, complete = sweeps.image_sweep(attempts, _limits(attempts))
     return found.join(complete, "run_id")
+
+
+@query("""WITH one AS (SELECT o_custkey AS r, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders),
+    entry AS (SELECT r, o, nth, l_linenumber AS l FROM one JOIN lineitem ON l_orderkey = o WHERE nth < 50)
+    SELECT r AS customer, 'https://shop.example/o' || o AS source, 'https://shop.example/i/' || o || '/' || l AS url, row_number() OVER (PARTITION BY r ORDER BY nth, l DESC) AS place FROM entry""")
+def sitemap_in_order(spark, sf_dir):
+    """Entries of a run's sitemaps in the order of reading: a customer's orders, dearest first, and each order's items from the last."""
+    site = "https://shop.example"
+    loc = lambda *path: F.concat(F.lit("<loc> /"), *path, F.lit(" </loc>"))
+    inner = lambda root, parts: F.concat(F.lit(f"<{root}>"), F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda p: p["loc"]), "<loc></loc>"), F.lit(f"</{root}>"))
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey").cast("string")
+    index = orders.groupBy(F.col("o_custkey").alias("run_id")).agg(inner("sitemapindex", F.struct(-F.col("o_totalprice"), "o_orderkey", loc(F.lit("o"), key).alias("loc"))).alias("text"))
+    bodies = index.select("run_id", F.lit(f"{site}/all").alias("sitemap"), "text")
+    lines = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(inner("urlset", F.struct(-F.col("l_linenumber"), loc(F.lit("i/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string")).alias("loc"))).alias("text"))
+    bodies = bodies.unionByName(orders.join(lines, "o_orderkey").select(F.col("o_custkey").alias("run_id"), F.concat(F.lit(f"{site}/o"), key).alias("sitemap"), "text"))
+    return sitemap.read_tree(bodies.where(f"sitemap = '{site}/all'").select("run_id", "sitemap"), bodies).withColumnRenamed("run_id", "customer").select("customer", "source", "url", "place")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingoscope.functions.urls import in_scope, origin_of, page_url, path_of
+from lingoscope.functions.urls import in_scope, origin_of, page_url, path_of, resolved
 from lingoscope.operators.storage import stored
 from lingoscope.schema import MAX_SITEMAPS
 
@@ -47,13 +47,20 @@ def _locs(raw: pd.Series) -> pd.Series:
     return raw.map(lambda xs: None if xs is None else [_loc(x) for x in xs])
 
 
-def parse(texts: DataFrame, run_col: str = "run_id", text_col: str = "text") -> DataFrame:
-    """(run_id, is_index, raw, url): the addresses of sitemaps, or of the sitemaps that an index names."""
+def parse(texts: DataFrame, run_col: str = "run_id", text_col: str = "text", base_col: str | None = None) -> DataFrame:
+    """(run_id, is_index, place, raw, url): the addresses of sitemaps, or of the sitemaps that an index names.
+
+    ``place`` counts a document's addresses from 1, without empty ones.  Relative
+    addresses stand for those beside ``base_col``, and for none without it.
+    """
     found = F.regexp_extract_all(text_col, F.lit(r"(?is)<loc\b[^>]*>(.*?)</loc\s*>"), 1)
-    rows = texts.where(F.col(text_col).isNotNull()).select(
-        F.col(run_col).alias("run_id"), F.col(text_col).rlike(r"(?i)<sitemapindex\b").alias("is_index"), F.explode(F.slice(_locs(found), 1, MAX_URLS)).alias("raw")
-    )
-    return rows.withColumn("url", page_url(F.col("raw")))
+    told = texts.where(F.col(text_col).isNotNull()).select(
+        F.col(run_col).alias("run_id"), F.col(text_col).rlike(r"(?i)<sitemapindex\b").alias("is_index"), F.slice(F.filter(_locs(found), lambda x: x != ""), 1, MAX_URLS).alias("raws"),
+        *([F.col(base_col).alias("base")] if base_col else []),
+    )
+    meant = resolved(F.col("raws"), F.col("base")) if base_col else F.transform("raws", page_url)
+    pairs = told.select("run_id", "is_index", F.posexplode(F.arrays_zip("raws", meant.alias("urls"))).alias("at", "pair"))
+    return pairs.select("run_id", "is_index", (F.col("at") + 1).alias("place"), F.col("pair.raws").alias("raw"), F.col("pair.urls").alias("url"))
 
 
 def reconciled(entries: DataFrame, runs: DataFrame) -> DataFrame:
@@ -69,26 +76,41 @@ def reconciled(entries: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def read_tree(roots: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(run_id, raw, url, source): entries of the sitemaps that ``roots`` (run_id, sitemap) name, through their indexes.
+    """(run_id, raw, url, source, place): entries of the sitemaps that ``roots`` (run_id, sitemap) name, through their indexes.
 
-    ``bodies`` (run_id, sitemap, text) are what was fetched.  Sitemaps are read
-    level by level, each once, at most ``MAX_SITEMAPS`` of a run and ``MAX_URLS``
-    entries; what an index names is read after what it stands beside.
+    ``bodies`` (run_id, sitemap, text) are what was fetched, an address of a run once; a
+    text that is NULL isn't a sitemap.  Sitemaps are read level by level, each once, in the order in which they
+    are named (roots by their ``place`` if they have one, then by address), at most
+    ``MAX_SITEMAPS`` of a run.  Its entries are the first ``MAX_URLS``, numbered by
+    ``place`` in the order of reading.
     """
-    told = parse(bodies.withColumn("source", F.struct("run_id", "sitemap")).select("source", "text"), "source")
-    told = stored(told.select("run_id.*", "is_index", "raw", "url").withColumnRenamed("sitemap", "source"))
-    known = bodies.where("text is not null").select("run_id", "sitemap").distinct()
-    level = stored(roots.select("run_id", page_url(F.col("sitemap")).alias("sitemap")).distinct().join(known, ["run_id", "sitemap"]).withColumn("level", F.lit(0)))
-    seen = level
-    for depth in range(1, MAX_SITEMAPS + 1):
-        children = told.where("is_index").join(level.select("run_id", F.col("sitemap").alias("source")), ["run_id", "source"])
-        children = children.select("run_id", F.col("url").alias("sitemap")).distinct().join(known, ["run_id", "sitemap"])
-        level = stored(children.join(seen, ["run_id", "sitemap"], "left_anti").withColumn("level", F.lit(depth)))
+    base = bodies.withColumn("sitemap", page_url(F.col("sitemap")))
+    told = parse(base.select(F.struct("run_id", "sitemap").alias("source"), "sitemap", "text"), "source", base_col="sitemap")
+    told = stored(told.select("run_id.*", "is_index", "place", "raw", "url").withColumnRenamed("sitemap", "source"))
+    known = stored(base.where("text is not null").select("run_id", "sitemap").distinct())
+
+    def in_turn(named: DataFrame, read: DataFrame | None) -> DataFrame:
+        """The sitemaps of a level that are still read, with their number in the run."""
+        first = named.groupBy("run_id", "sitemap").agg(F.min("turn").alias("turn")).join(known, ["run_id", "sitemap"])
+        before = F.lit(0)
+        if read is not None:
+            first = first.join(read, ["run_id", "sitemap"], "left_anti").join(read.groupBy("run_id").agg(F.max("nth").alias("before")), "run_id")
+            before = F.col("before")
+        nth = before + F.row_number().over(Window.partitionBy("run_id").orderBy("turn", "sitemap"))
+        return stored(first.withColumn("nth", nth).where(F.col("nth") <= MAX_SITEMAPS).select("run_id", "sitemap", "nth"))
+
+    place = F.col("place") if "place" in roots.columns else F.lit(0)
+    level = read = in_turn(roots.select("run_id", page_url(F.col("sitemap")).alias("sitemap"), F.struct(F.lit(0), place.cast("long")).alias("turn")), None)
+    for _ in range(1, MAX_SITEMAPS):
+        above = level.select("run_id", F.col("sitemap").alias("source"), "nth")
+        named = told.where("is_index and url is not null").join(above, ["run_id", "source"]).select("run_id", F.col("url").alias("sitemap"), F.struct("nth", "place").alias("turn"))
+        level = in_turn(named, read)
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("level", "sitemap"))
-    read = seen.withColumn("nth", nth).where(F.col("nth") <= MAX_SITEMAPS)
-    entries = told.where("not is_index").join(read.select("run_id", F.col("sitemap").alias("source"), "nth"), ["run_id", "source"])
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("nth", "raw"))
-    return entries.withColumn("place", place).where(F.col("place") <= MAX_URLS).select("run_id", "raw", "url", "source")
+        read = read.unionByName(level)
+    # an entry's number is what the sitemaps before hold, of which there are few, and its own place
+    entries = told.where("not is_index").join(read.withColumnRenamed("sitemap", "source"), ["run_id", "source"])
+    held = entries.groupBy("run_id", "source", "nth").agg(F.count(F.lit(1)).alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("run_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    entries = entries.join(held.select("run_id", "source", start.alias("start")), ["run_id", "source"]).withColumn("place", F.col("start") + F.col("place"))
+    return entries.where(F.col("place") <= MAX_URLS).select("run_id", "raw", "url", "source", "place")

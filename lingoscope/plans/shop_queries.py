@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lingoscope.functions import bands, headers, html, urls
 from lingoscope.plans import findings, reports, runs, variants
 from lingoscope.plans.catalogue import joined, query, table
-from lingoscope.plans.rule_queries import _BASE, ENTRY, LINK, PG, ROBOTS_TXT, SHOP, _entries, _facts, _robots_rules, _sql, _url, shop
+from lingoscope.plans.rule_queries import _BASE, ENTRY, LINK, PG, ROBOTS_TXT, SHOP, _entries, _facts, _sql, _url, shop
 from lingoscope.sources import pages as fetched
 from lingoscope.sources import robots, sitemap
 
@@ -138,14 +138,23 @@ def shop_sitemap_parts(spark, sf_dir):
     return sitemap.reconciled(c.sitemap, narrowed).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("first"))
 
 
-@query(f"""WITH line AS (SELECT unnest(string_split('{ROBOTS_TXT.replace(chr(10), "~")}', '~')) AS raw, generate_subscripts(string_split('{ROBOTS_TXT.replace(chr(10), "~")}', '~'), 1) AS nth),
-    part AS (SELECT nth, trim(raw) AS line, lower(trim(split_part(regexp_replace(raw, '#.*$', ''), ':', 1))) AS field, trim(substr(regexp_replace(raw, '#.*$', ''), strpos(raw, ':') + 1)) AS value FROM line WHERE strpos(regexp_replace(raw, '#.*$', ''), ':') > 0),
-    kept AS (SELECT *, lag(field, 1, '') OVER (ORDER BY nth) AS before FROM part WHERE field IN ('user-agent', 'allow', 'disallow') AND value <> ''),
-    grouped AS (SELECT *, sum(CASE WHEN field = 'user-agent' AND before <> 'user-agent' THEN 1 ELSE 0 END) OVER (ORDER BY nth) AS ix FROM kept)
-    SELECT CAST(r.ix AS INTEGER) AS group_ix, r.field AS kind, r.value AS pattern, r.line, CAST(r.nth AS INTEGER) AS line_number, strpos(r.value, '?') = 0 AS evaluable, a.agents FROM grouped r
-    JOIN (SELECT ix, string_agg(lower(value), '|' ORDER BY nth) AS agents FROM grouped WHERE field = 'user-agent' GROUP BY ix) a USING (ix) WHERE r.field <> 'user-agent'""")
+_ROBOTS_LINES = ROBOTS_TXT.replace("\n", "~")
+
+
+@query(f"""WITH body AS (SELECT p_partkey AS p, CASE WHEN p_partkey % 3 = 0 THEN 'Disallow: /early~' ELSE '' END || replace('{_ROBOTS_LINES}', 'p1', 'p' || p_partkey) AS text FROM part),
+    line AS (SELECT p, unnest(string_split(text, '~')) AS raw, generate_subscripts(string_split(text, '~'), 1) AS nth FROM body),
+    part_ AS (SELECT p, nth, trim(raw) AS line, lower(trim(split_part(regexp_replace(raw, '#.*$', ''), ':', 1))) AS field, trim(substr(regexp_replace(raw, '#.*$', ''), strpos(raw, ':') + 1)) AS value FROM line WHERE strpos(regexp_replace(raw, '#.*$', ''), ':') > 0),
+    kept AS (SELECT *, lag(field, 1, '') OVER (PARTITION BY p ORDER BY nth) AS before FROM part_ WHERE field IN ('user-agent', 'allow', 'disallow') AND value <> ''),
+    grouped AS (SELECT *, sum(CASE WHEN field = 'user-agent' AND before <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY p ORDER BY nth) AS ix FROM kept)
+    SELECT r.p, CAST(r.ix AS INTEGER) AS group_ix, r.field AS kind, r.value AS pattern, r.line, CAST(r.nth AS INTEGER) AS line_number, strpos(r.value, '?') = 0 AS evaluable, a.agents FROM grouped r
+    JOIN (SELECT p, ix, string_agg(lower(value), '|' ORDER BY nth) AS agents FROM grouped WHERE field = 'user-agent' GROUP BY p, ix) a USING (p, ix) WHERE r.field <> 'user-agent'""")
 def shop_robots_rules(spark, sf_dir):
-    return _robots_rules(spark).select(F.col("group_ix").cast("int"), "kind", "pattern", "line", "line_number", "evaluable", joined(F.col("user_agents")).alias("agents"))
+    """Rules of a robots.txt for each part, some with a rule before any agent, some with other line ends."""
+    p = F.col("p_partkey").cast("string")
+    text = F.concat(F.when(F.col("p_partkey") % 3 == 0, "Disallow: /early\n").otherwise(""), F.replace(F.lit(ROBOTS_TXT), F.lit("p1"), F.concat(F.lit("p"), p)))
+    body = F.when(F.col("p_partkey") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    rules = robots.parse(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), body.alias("body")))
+    return rules.select(F.col("run_id").alias("p"), F.col("group_ix").cast("int"), "kind", "pattern", "line", "line_number", "evaluable", joined(F.col("user_agents")).alias("agents"))
 
 
 @query("""WITH f AS (SELECT p_partkey AS p, CAST(p_partkey % 3 AS INTEGER) AS picture, p_partkey % 4 = 0 AS sized, p_partkey % 5 = 0 AS again FROM part)

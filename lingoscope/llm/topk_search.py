@@ -4,9 +4,11 @@
    cell they are cut into buckets again.
 2. A bounded head of the longest vectors gives every query a first lower bound
    on its k-th score, the query's threshold.
-3. Blocks of queries with similar needs meet cells through an equi-join key, but
-   only cells whose longest vector can still reach what the block's least
-   demanding query needs: neither side is sent where length alone rules it out.
+3. A query is sent to the cells whose longest vector can still reach what it
+   needs, and to no others.  A cell's candidates come first in its sorted stream and
+   are held; its queries pass by them in batches, so candidates move once.  Where
+   there are more than ``QUERY_BLOCK`` queries, blocks of similar needs do so in
+   several tasks, and a cell is sent to those that it can serve.
 4. For a query q and a bucket whose longest vector has length b, only vectors
    with ``cos(q, v) >= threshold / (|q| b)`` can enter the result: the bucket's
    local cosine threshold.  If it is above 1, the bucket is skipped.  If it is
@@ -34,6 +36,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +48,7 @@ from lingoscope.operators.storage import stored
 
 SCALE = 1024
 HEAD = 2048  # longest candidates that set the first thresholds; broadcast, so a fixed bound
-QUERY_BLOCK = 16384
+QUERY_BLOCK = 1 << 20  # queries that pass by a cell's candidates in one task
 CANDIDATE_BLOCK = 65536
 MOST_CUTS = 4096  # lengths at which cells are cut; a cell of more rows is dealt to several
 PRODUCTS = 4096  # queries that are multiplied at once with a bucket
@@ -87,12 +91,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of a block for each query (columns id, v, norm, bound)."""
+def prepared(block: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Ids, lengths, vectors and unit vectors of a block (columns id, v, norm), longest first."""
     block = block.sort_values(["norm", "id"], ascending=[False, True], kind="stable")
     cid, cn, cv = block["id"].to_numpy(np.int64), block["norm"].to_numpy(), _matrix(block["v"])
+    return cid, cn, cv, cv / np.maximum(cn, 1e-300)[:, None]
+
+
+def search_block(queries: pd.DataFrame, block: tuple[np.ndarray, ...], k: int) -> pd.DataFrame:
+    """The k best candidates of a prepared block for each query (columns id, v, norm, bound)."""
+    cid, cn, cv, unit = block
     qid, qn, qv = queries["id"].to_numpy(np.int64), queries["norm"].to_numpy(), _matrix(queries["v"])
-    unit = cv / np.maximum(cn, 1e-300)[:, None]
     found_id = [np.zeros(0, np.int64)] * len(qid)
     found = [np.zeros(0, np.int64)] * len(qid)
     bound = queries["bound"].to_numpy(np.float64).copy()
@@ -164,6 +173,28 @@ def meetings(needs: list[float], longest: list[float]) -> tuple[list[tuple], lis
     return blocks, [(c, 0, int(np.searchsorted(needs, x, "right"))) for c, x in enumerate(longest)]
 
 
+def passing(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best candidates of its cell for each query that passes by.
+
+    Rows (cell, block, query, id, v, norm, bound) in the order of their first three: a
+    cell's candidates are held, then its queries come in batches.
+    """
+    at, held, block = None, [], None
+    for batch in batches:
+        keys = batch[["cell", "block", "query"]].to_numpy(np.int64)
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)] if len(keys) else []
+        for start, end in zip([0, *ends], ends):
+            cell, some = tuple(keys[start, :2]), batch.iloc[start:end]
+            if cell != at:
+                at, held, block = cell, [], None
+            if not keys[start, 2]:
+                held.append(some[["id", "v", "norm"]])
+            elif held or block is not None:
+                if block is None:
+                    block, held = prepared(pd.concat(held, ignore_index=True)), []
+                yield search_block(some, block, k)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other rows."""
     spark = vectors.sparkSession
@@ -174,10 +205,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     dims = spark.sparkContext.broadcast(pd.DataFrame(head, columns=["id", "v", "norm"]))
 
     def first_bounds(batches):
-        top = dims.value
+        top = prepared(dims.value)
         for batch in batches:
             batch["bound"] = -np.inf
-            out = search_block(batch, top, k) if len(batch) and len(top) else None
+            out = search_block(batch, top, k) if len(batch) and len(top[0]) else None
             if out is not None:
                 kth = out.groupby("query_id")["score"].agg(lambda s: float(s.min()) * (1 - np.sign(s.min()) * 1e-9) if len(s) >= k else -np.inf)
                 batch["bound"] = batch["id"].map(kth).fillna(-np.inf).astype(float)
@@ -211,19 +242,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     right, longest = dealt(rows, "norm", cut(rows, "norm", n_rows, CANDIDATE_BLOCK, min(8, n_rows // 4096)), CANDIDATE_BLOCK, F.max)
     blocks, cells = meetings(needs, longest)
 
-    def sent(df: DataFrame, ranges: list[tuple], own: str, other: str) -> DataFrame:
-        table = spark.createDataFrame(ranges, "part int, low int, high int").where("low < high")
-        there = df.join(F.broadcast(table), "part").withColumn(other, F.explode(F.expr("sequence(low, high - 1)")))
-        return there.withColumnRenamed("part", own).drop("low", "high")
-
-    left = sent(left, blocks, "block", "cell").drop("need")
-    right = sent(right, cells, "cell", "block")
-
-    def cell(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(cs):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        return search_block(qs, cs, k)
-
-    found = left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInPandas(cell, "query_id long, vec_id long, score long")
+    reach = F.lit(longest).cast("array<double>") if longest else F.array().cast("array<double>")
+    names = lambda ranges: spark.createDataFrame(ranges, "part int, low int, high int").where("low < high")
+    candidates = right.join(F.broadcast(names(cells)), "part").select(
+        F.col("part").alias("cell"), F.explode(F.expr("sequence(low, high - 1)")).alias("block"), F.lit(0).alias("query"), "id", "v", "norm", F.lit(None).cast("double").alias("bound")
+    )
+    # of its block's cells a query meets those from the first that holds a vector as long as it needs
+    own = F.greatest("low", F.size(F.filter(reach, lambda x: x < F.col("need"))))
+    asked = left.join(F.broadcast(names(blocks)), "part").withColumn("own", own).where("own < high").select(
+        F.explode(F.expr("sequence(own, high - 1)")).alias("cell"), F.col("part").alias("block"), F.lit(1).alias("query"), "id", "v", "norm", "bound"
+    )
+    streams = candidates.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "query")
+    found = streams.mapInPandas(lambda batches: passing(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingoscope.functions import bands
+from lingoscope.functions.collation import collated
 from lingoscope.functions.locale import answers
 from lingoscope.plans.findings import pages_involved, roles
 from lingoscope.schema import GRID_ROWS
@@ -44,8 +45,8 @@ def problems(correlated: DataFrame) -> DataFrame:
     return rows.withColumn("place", place)
 
 
-def parity(pages: DataFrame, runs: DataFrame, max_rows: int = GRID_ROWS) -> DataFrame:
-    """(run_id, place, group_key, cells, clean, hidden): a row for each family, a cell for each locale.
+def parity_cells(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, group_key, cells, clean, gaps): a row for each family of two pages or more, a cell for each locale.
 
     Columns are the expected locales in their order, then what else was found.
     A cell speaks of the family's first page (by address) that answers the
@@ -65,13 +66,34 @@ def parity(pages: DataFrame, runs: DataFrame, max_rows: int = GRID_ROWS) -> Data
     )
     clean = F.forall("cells", lambda x: x.isin("present", "not-expected"))
     gaps = F.size(F.filter("cells", lambda x: x.isin("missing", "broken")))
-    cells = cells.withColumns({"clean": clean, "gaps": gaps})
+    return cells.withColumns({"clean": clean, "gaps": gaps})
+
+
+def parity(pages: DataFrame, runs: DataFrame, max_rows: int = GRID_ROWS) -> DataFrame:
+    """(run_id, place, group_key, cells, clean, gaps, hidden): the families with gaps (see parity_cells), those with most first."""
+    cells = parity_cells(pages, runs)
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("clean", F.desc("gaps"), "group_key"))
     shown = cells.where("not clean")
     total = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
     return shown.withColumns({"place": place, "hidden": F.greatest(total - max_rows, F.lit(0))}).where(F.col("place") <= max_rows)
 
 
+def parity_listed(pages: DataFrame, runs: DataFrame, max_rows: int = GRID_ROWS) -> DataFrame:
+    """(run_id, place, group_key, cells, hidden, clean, singles): all families, those with a problem first, then by name.
+
+    ``hidden`` is how many a run has beyond those shown, ``clean`` how many have no
+    problem, ``singles`` how many pages have no other version.  Totals are sums, so
+    that only the first rows of each task take part in a run's order.
+    """
+    cells = parity_cells(pages, runs)
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("clean", *collated("group_key")))
+    shown = cells.withColumn("place", place).where(F.col("place") <= max(1, max_rows)).select("run_id", "place", "group_key", "cells")
+    totals = cells.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("clean").alias("clean"))
+    singles = pages.groupBy("run_id", "group_key").agg(F.count(F.lit(1)).alias("members")).groupBy("run_id").agg(F.count_if(F.col("members") == 1).alias("singles"))
+    hidden = F.greatest(F.col("n") - max(1, max_rows), F.lit(0)).alias("hidden")
+    return shown.join(totals, "run_id").join(singles, "run_id").select("run_id", "place", "group_key", "cells", hidden, "clean", "singles")
+
+
 def with_hidden(df: DataFrame, by: list[str], order: list, shown: int) -> DataFrame:
     """The first rows of each group in an order, with how many are hidden."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -93,18 +115,18 @@ def by_type(findings: DataFrame) -> DataFrame:
 
 def observations_order() -> list[Column]:
     """Failed ones first, then most errors, then slowest; not measured counts as fastest."""
-    return [F.col("render_error").isNull(), F.desc("first_party_errors"), F.desc(F.coalesce("lcp_ms", F.lit(-1))), F.col("url")]
+    return [F.col("render_error").isNull(), F.desc("first_party_errors"), F.desc(F.coalesce("lcp_ms", F.lit(-1))), *collated("url")]
 
 
 def observations_in_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*observations_order())
 
 
-def snapshots_order() -> list[Column]:
-    """Pictures that couldn't be compared first, then most changed; what is below the floor hasn't changed."""
+def snapshots_order(last: list[Column] | None = None) -> list[Column]:
+    """Pictures that couldn't be compared first, then most changed, then by address (or ``last``); what is below the floor hasn't changed."""
     compared = F.col("comparable"), F.col("changed_pixels"), F.col("compared_pixels")
     refused = bands.uncompared_reason(F.col("capture_error"), F.col("expired_at"), F.col("comparable"), F.col("reason")).isNotNull()
-    return [F.desc(refused), F.desc(F.when(bands.differs(*compared), bands.change_share(*compared)).otherwise(F.lit(-1.0))), F.col("url")]
+    return [F.desc(refused), F.desc(F.when(bands.differs(*compared), bands.change_share(*compared)).otherwise(F.lit(-1.0))), *(last or collated("url"))]
 
 
 def spread(correlated: DataFrame, statuses: DataFrame) -> DataFrame:

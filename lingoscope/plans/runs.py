@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingoscope.functions.collation import collated
 from lingoscope.plans.findings import identity
 from lingoscope.schema import GRID_ROWS, SNAPSHOTS_KEPT, TREND_RUNS
 
@@ -90,7 +91,7 @@ def trend(runs: DataFrame, findings: DataFrame, max_rows: int = GRID_ROWS) -> Da
     """(project_id, place, type, cells, moved, found, hidden): a row for each rule, a cell for each run.
 
     A cell is a count only if the run's rules had the type; zero then means none
-    were found.  Rows that moved come first, then those with most findings.
+    were found.  Rows that moved come first, then those that found anything, then by name.
     """
     fit = trend_runs(runs).select("project_id", "run_id", "column", "rule_set")
     counts = findings.groupBy("run_id", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -101,7 +102,7 @@ def trend(runs: DataFrame, findings: DataFrame, max_rows: int = GRID_ROWS) -> Da
         F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda x: x["cell"]).alias("cells"), F.sum("cell").alias("found"), (F.min("cell") != F.max("cell")).alias("moved")
     )
     rows = rows.withColumns({"found": F.coalesce("found", F.lit(0)), "moved": F.coalesce("moved", F.lit(False))})
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("moved"), F.desc("found"), "type"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("moved"), F.desc(F.col("found") > 0), *collated("type")))
     total = F.count(F.lit(1)).over(Window.partitionBy("project_id"))
     return rows.withColumns({"place": place, "hidden": F.greatest(total - max_rows, F.lit(0))}).where(F.col("place") <= max_rows)
 
@@ -141,6 +142,23 @@ def recorded_observations(observations: DataFrame, pages: DataFrame) -> DataFram
     return rows.withColumns({c: F.round(c).cast("int") for c in ("ttfb_ms", "lcp_ms")}).withColumn("cls", F.col("cls").cast("string"))
 
 
+def recorded_snapshots(snapshots: DataFrame, pages: DataFrame, runs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Snapshots with their page's ``url``, what their run compared with and what their project's baseline is today.
+
+    Pictures themselves are left out, and so are snapshots whose page the run hasn't
+    recorded.  Runs: (run_id, project_id, visual_summary, pages_crawled), projects:
+    (project_id, baseline_run_id, mask_selectors); without masks the list is empty.
+    """
+    told = projects.select("project_id", F.col("baseline_run_id").alias("project_baseline"), F.coalesce("mask_selectors", F.array().cast("array<string>")).alias("mask_selectors"))
+    about = runs.select("run_id", "project_id", "visual_summary", "pages_crawled").join(told, "project_id", "left").drop("project_id")
+    return snapshots.drop("picture").join(pages.select("run_id", "page_id", "url"), ["run_id", "page_id"]).join(about, "run_id")
+
+
+def recorded_pages(pages: DataFrame, run: Column) -> DataFrame:
+    """The pages of one run in the order of their addresses."""
+    return pages.where(F.col("run_id") == run).orderBy(*collated("url"))
+
+
 def added(held: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     """``held`` and those rows of ``more`` whose keys it lacks; one row for a key."""
     return held.unionByName(more.join(held, keys, "left_anti").dropDuplicates(keys))

@@ -246,7 +246,7 @@ def shop_snapshots_in_order(spark, sf_dir):
     )
     compared = F.col("comparable"), F.col("changed_pixels"), F.col("compared_pixels")
     reason = bands.uncompared_reason(F.col("capture_error"), F.col("expired_at"), F.col("comparable"), F.col("reason"))
-    place = F.row_number().over(Window.orderBy(*reports.snapshots_order())).cast("long")
+    place = F.row_number().over(Window.orderBy(*reports.snapshots_order([F.col("url")]))).cast("long")
     return rows.select("k", reason.alias("reason"), bands.change_share(*compared).alias("share"), bands.differs(*compared).alias("differs"), place.alias("place"))
 
 

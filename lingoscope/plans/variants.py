@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingoscope.functions.collation import collated
 from lingoscope.functions.locale import is_language_tag, locale_from_path
 from lingoscope.functions.urls import path_of
 from lingoscope.operators.graph import connected_components
@@ -59,10 +60,10 @@ def render_sample(pages: DataFrame, runs: DataFrame, cap: int) -> DataFrame:
     rows = usable.join(inbound_links(pages), ["run_id", "url"]).join(families(pages).select("run_id", "url", "locale"), ["run_id", "url"])
     rows = rows.join(runs.select("run_id", "entry_url", "expected_locales"), "run_id")
     turns = rows.select("run_id", "url", "inbound", "locale", F.posexplode("expected_locales").alias("locale_ix", "expected")).where(answers(F.col("locale"), F.col("expected")))
-    depth = F.row_number().over(Window.partitionBy("run_id", "locale_ix").orderBy(F.desc("inbound"), "url"))
+    depth = F.row_number().over(Window.partitionBy("run_id", "locale_ix").orderBy(F.desc("inbound"), *collated("url")))
     turns = turns.select("run_id", "url", F.lit(1).alias("phase"), depth.alias("depth"), "locale_ix")
     entry = rows.where("url = entry_url").select("run_id", "url", F.lit(0).alias("phase"), F.lit(0).alias("depth"), F.lit(0).alias("locale_ix"))
-    fill_depth = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("inbound"), "url"))
+    fill_depth = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("inbound"), *collated("url")))
     fill = rows.select("run_id", "url", F.lit(2).alias("phase"), fill_depth.alias("depth"), F.lit(0).alias("locale_ix"))
     first = entry.unionByName(turns).unionByName(fill).groupBy("run_id", "url").agg(F.min(F.struct("phase", "depth", "locale_ix")).alias("turn"))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("turn", "url"))

@@ -55,6 +55,8 @@ SNAPSHOTS_KEPT = 3
 MAX_REDIRECT_HOPS = 10
 TREND_RUNS = 12
 GRID_ROWS = 14
+MAX_UNBROKEN_PAGES = 20
+MAX_LISTED_PAGES = 250
 FAILURE_BURST = 5
 FAILURE_RATE = 0.3
 FAILURE_SAMPLE = 20

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lingoscope.plans import catalogue, picture_queries, rule_queries, sentence_queries, shop_queries, sweep_queries  # noqa: F401
+from lingoscope.plans import catalogue, picture_queries, report_queries, rule_queries, sentence_queries, shop_queries, sweep_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()

@@ -44,6 +44,15 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def present(*tables: DataFrame) -> bool:
+    """Whether the files of all these ``stored`` tables are still there."""
+    for table in tables:
+        at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        if not at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            return False
+    return True
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes tables that ``stored`` or ``bucketed`` gave and that nothing will read again."""
     for table in tables:

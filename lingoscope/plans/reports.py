@@ -51,17 +51,22 @@ def parity_cells(pages: DataFrame, runs: DataFrame) -> DataFrame:
     Columns are the expected locales in their order, then what else was found.
     A cell speaks of the family's first page (by address) that answers the
     locale: present, broken, missing if expected, else not-expected.  Pages:
-    (run_id, url, locale, group_key, http_status, fetch_error).
+    (run_id, url, locale, group_key, http_status, fetch_error).  The first page of
+    each locale is found before families meet the columns, so a family of any size
+    is a few rows by then.
     """
     rows = pages.withColumn("broken", F.col("fetch_error").isNotNull() | F.col("http_status").isNull() | (F.col("http_status") >= 400))
     found = rows.where("locale is not null").groupBy("run_id").agg(F.array_sort(F.collect_set("locale")).alias("found"))
     columns = runs.select("run_id", "expected_locales").join(found, "run_id", "left")
     extra = F.filter(F.coalesce("found", F.array().cast("array<string>")), lambda f: ~F.exists("expected_locales", lambda e: answers(f, e)))
     columns = columns.select("run_id", F.posexplode(F.concat("expected_locales", extra)).alias("column", "locale"), F.size("expected_locales").alias("expected"))
-    fams = rows.groupBy("run_id", "group_key").agg(F.array_sort(F.collect_list(F.struct("url", "locale", "broken"))).alias("members")).where("size(members) >= 2")
-    fit = F.filter("members", lambda m: F.coalesce(answers(m["locale"], F.col("locale")), F.lit(False)))
-    cell = F.when(F.size(fit) > 0, F.when(fit[0]["broken"], "broken").otherwise("present")).when(F.col("column") < F.col("expected"), "missing").otherwise("not-expected")
-    cells = fams.join(columns, "run_id").withColumn("cell", cell).groupBy("run_id", "group_key").agg(
+    family = ["run_id", "group_key"]
+    fams = rows.groupBy(*family).agg(F.count(F.lit(1)).alias("members")).where("members >= 2").drop("members")
+    firsts = rows.where("locale is not null").groupBy(*family, F.col("locale").alias("own")).agg(F.min(F.struct("url", "locale", "broken")).alias("first"))
+    fit = firsts.join(columns.select("run_id", "column", "locale"), "run_id").where(answers(F.col("own"), F.col("locale")))
+    first = fit.groupBy(*family, "column").agg(F.min("first").alias("first"))
+    cell = F.when(F.col("first").isNotNull(), F.when(F.col("first.broken"), "broken").otherwise("present")).when(F.col("column") < F.col("expected"), "missing").otherwise("not-expected")
+    cells = fams.join(columns, "run_id").join(first, [*family, "column"], "left").withColumn("cell", cell).groupBy(*family).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda x: x["cell"]).alias("cells")
     )
     clean = F.forall("cells", lambda x: x.isin("present", "not-expected"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingoscope import schema as S
-from lingoscope.operators.storage import stored
+from lingoscope.operators.storage import present, stored
 from lingoscope.plans import findings, reports, rules, runs, variants
 from lingoscope.plans.catalogue import joined, query, table
 from lingoscope.sources import pages as fetched
@@ -297,8 +297,9 @@ def _tables(spark: SparkSession, sf_dir: str) -> rules.Crawl:
     )
     again = named(facts.where("seen_again"), "url", F.col("again_status").alias("http_status"), F.col("again_err").alias("fetch_error"), "confirmed")
     weights = named(spark.range(30), F.concat(F.lit(f"{SHOP}/img/"), "id", F.lit(".jpg")).alias("url"), (F.col("id") * 30_000).alias("bytes"))
+    entries = stored(_entries(facts))
     return rules.Crawl(
-        spark, _pages(facts), run, reverified=again, external=external, image_weights=weights, sitemap=stored(_entries(facts)), robots=_robots_rules(spark), certificates=certificates,
+        spark, _pages(facts), run, kept={"shop_facts": facts}, reverified=again, external=external, image_weights=weights, sitemap=entries, robots=_robots_rules(spark), certificates=certificates,
         observations=observations, visual=visual,
     )
 
@@ -307,9 +308,9 @@ _CRAWLS: dict = {}
 
 
 def shop(spark: SparkSession, sf_dir: str) -> rules.Crawl:
-    """The shop's crawl; its shared tables serve all queries of a session."""
+    """The shop's crawl; its shared tables serve all queries of a session, and are written again where one is gone."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _CRAWLS:
+    if key not in _CRAWLS or not present(*_CRAWLS[key].written()):
         _CRAWLS.clear()
         _CRAWLS[key] = _tables(spark, sf_dir)
     return _CRAWLS[key]

@@ -77,6 +77,10 @@ class Crawl:
             if getattr(self, name) is None:
                 setattr(self, name, self.spark.createDataFrame([], kind))
 
+    def written(self) -> list[DataFrame]:
+        """The tables that this crawl has in the shared folder by now."""
+        return [t for t in (*vars(self).values(), *self.kept.values()) if isinstance(t, DataFrame) and hasattr(t, "_stored_at")]
+
     @cached_property
     def recorded(self) -> DataFrame:
         """The pages, read from their HTML once at most."""

@@ -5,7 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lingoscope.operators.ordering import numbered
-from lingoscope.plans import shop_queries
+from lingoscope import schema as S
+from lingoscope.plans import rule_queries, rules, shop_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,14 @@ def test_places_are_those_of_one_window(spark):
 
 def test_an_order_of_all_rows_is_no_single_task(spark, small_parts):
     assert tasks(shop_queries.shop_snapshots_in_order(spark, "/root/testdata/sf0.01")) > 1
+
+
+def test_parts_and_a_crawls_tables_are_spread(spark, tmp_path, monkeypatch):
+    """One file of many parts, each a page: made into pages, and read again, by several tasks."""
+    spark.range(25_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert rule_queries.parts(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(rules, "FILE_ROWS", 1000)
+    pages = spark.range(3500).coalesce(1).select(F.lit("r").alias("run_id"), F.col("id").cast("string").alias("url"), F.array(F.lit("a"), F.lit("b")).alias("links"))
+    crawl = rules.Crawl(spark, pages, spark.createDataFrame([], S.RUNS))
+    assert len(crawl.recorded.inputFiles()) == 4
+    assert crawl.links.count() == 7000

@@ -1,6 +1,9 @@
 """What must stay spread over tasks, however large the tables are."""
 
+import json
+
 import pytest
+from crawls import BASE, crawl, page
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -48,3 +51,15 @@ def test_parts_and_a_crawls_tables_are_spread(spark, tmp_path, monkeypatch):
     crawl = rules.Crawl(spark, pages, spark.createDataFrame([], S.RUNS))
     assert len(crawl.recorded.inputFiles()) == 4
     assert crawl.links.count() == 7000
+
+
+def test_blocks_of_a_family_from_one_grouping(spark):
+    """A kind that is unknown on a page is neither there nor lacking; a page that is told twice is one member."""
+    one = lambda path, *blocks: page(path, isolated=True, hreflang={"en": "/en/a", "de": "/de/a", "fr": "/fr/a"}, blocks=blocks)
+    c = crawl(spark, [one("/en/a", "form", "table"), one("/de/a", "table"), one("/fr/a", "form", "table", "list")])
+    differ = rules.RULES["content_structure_differs"](c)
+    (row,) = [json.loads(r["detail"]) for r in differ.collect()]
+    url = lambda *names: [f"{BASE}/{n}/a" for n in names]
+    assert row["memberUrls"] == url("de", "en", "fr")
+    assert row["differences"] == [{"block": "form", "present": url("en", "fr"), "absent": url("de")}, {"block": "list", "present": url("fr"), "absent": url("de", "en")}]
+    assert "Generate" not in differ._jdf.queryExecution().optimizedPlan().toString()

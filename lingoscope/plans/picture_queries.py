@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingoscope.functions import bands, pixels
+from lingoscope.operators.storage import spread
 from lingoscope.plans.catalogue import joined, query, table
 from lingoscope.sources import snapshots
 
 WIDE = 96
+PICTURES = 250  # that a task draws and compares: they are far larger than the pages' file, and a few files hold all pages
 
 
 @F.pandas_udf(T.BinaryType())
@@ -32,7 +34,7 @@ def drawn(text: pd.Series) -> pd.Series:
 
 def page_pictures(spark, sf_dir) -> DataFrame:
     """Each page beside itself with other paragraphs and, for every third, a line more; some were taken otherwise."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", PICTURES)
     new = F.regexp_replace("html", "(?i)<p", "<q")
     longer = F.when(F.col("page_id") % 3 == 0, F.concat(new, F.lit("-" * WIDE))).otherwise(new)
     viewport = F.when(F.col("page_id") % 11 == 5, F.lit("390x844")).otherwise(F.lit("1280x800"))

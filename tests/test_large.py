@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lingoscope.operators.ordering import numbered
 from lingoscope import schema as S
-from lingoscope.plans import rule_queries, rules, shop_queries
+from lingoscope.plans import reports, rule_queries, rules, shop_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +53,14 @@ def test_parts_and_a_crawls_tables_are_spread(spark, tmp_path, monkeypatch):
     assert crawl.links.count() == 7000
 
 
+def test_findings_without_a_cause_are_no_group(spark, small_parts):
+    """Their sizes were once counted in one window over all of them."""
+    some = spark.range(4000).select(F.lit("r").alias("run_id"), F.col("id").alias("ord"), F.lit("page_orphaned").alias("type"), F.lit(None).cast("string").alias("url"), F.lit('{"urls":["a"]}').alias("detail"))
+    out = reports.correlate(some, spark.createDataFrame([], "run_id string, url string, group_key string"))
+    assert out.where("size is null and problem is null").count() == 4000
+    assert tasks(out) > 1
+
+
 def test_blocks_of_a_family_from_one_grouping(spark):
     """A kind that is unknown on a page is neither there nor lacking; a page that is told twice is one member."""
     one = lambda path, *blocks: page(path, isolated=True, hreflang={"en": "/en/a", "de": "/de/a", "fr": "/fr/a"}, blocks=blocks)

@@ -71,3 +71,16 @@ def test_blocks_of_a_family_from_one_grouping(spark):
     assert row["memberUrls"] == url("de", "en", "fr")
     assert row["differences"] == [{"block": "form", "present": url("en", "fr"), "absent": url("de")}, {"block": "list", "present": url("fr"), "absent": url("de", "en")}]
     assert "Generate" not in differ._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "module", "step"), [("shop_crawled", "fetched", "crawled"), ("shop_images", "html", "images")])
+def test_markup_is_made_and_read_by_several_tasks(spark, tmp_path, monkeypatch, name, module, step):
+    """All parts were one file, and so one task's pages."""
+    spark.range(25_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+
+    def met(rows, *_):
+        raise StopIteration(rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(getattr(shop_queries, module), step, met)
+    with pytest.raises(StopIteration, match="3"):
+        getattr(shop_queries, name)(spark, str(tmp_path))

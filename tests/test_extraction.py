@@ -3,7 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lingoscope.functions import bands, headers, html
+from lingoscope.functions import bands, headers, html, urls
 from lingoscope.functions.locale import answers, locale_from_path
 from lingoscope.functions.urls import ancestors, in_scope, page_url, path_of, resolve
 from lingoscope.sources import robots, sitemap
@@ -125,3 +125,22 @@ def test_bands(spark):
     assert one(spark, bands.cls(F.col("v")), v="0.1abc") is None
     assert [one(spark, bands.crawl_coverage(F.col("c").try_cast("boolean"), F.col("p").try_cast("boolean")), c=c, p=p) for c, p in (("false", "true"), ("false", "x"), ("true", "x"), ("x", "false"))] == ["page_limit", "stopped_early", "whole_crawl", "not_recorded"]
     assert [one(spark, bands.differs(F.lit(True), F.col("a"), F.col("b")), a=a, b=b) for a, b in ((5, 10_000), (4, 10_000), (1, 0))] == [True, False, False]
+
+
+def test_plain_addresses_are_not_taken_apart(monkeypatch):
+    """What ``resolver`` reads by itself is what taking the address apart gives, and plain addresses aren't taken apart."""
+    bases = ["https://a.example/", "https://a.example", "http://a.example/b/c", "https://a.example/b/", "https://a.example:8443/b", "https://A.example/B?c", "https://a.example/b/../c", "https://a.example/b//c", "ftp://a/b", "http://[x/y", ""]
+    steps = ["a", "/a", "/a/", "/a/b.c", "a/b", "a.", "%7e", "~x+y-z_", "/..", "..", "./a", "/.a", "//b.example/c", "/a//b", "", "/", "?q", "#f", "/a?b=c&d#e", "/a#b?c", " /a ", "/a\t/b", "\\a", "a:b", "mailto:x", "é", "/é", "/a b", "/a;b", "a?[", "/%", "c:/d"]
+    hosts = ["http://b.example", "https://b.example", "https://B.example", "https://b.example:443", "http://b.example:443", "https://u@b.example", "https://-b", "https://b..c.", "https:", "ftp://b", "https://", "https://[b", "https://b.example:99999"]
+    raws = steps + [h + s for h in hosts for s in steps]
+    for base in bases:
+        one = urls.resolver(base)
+        for raw in raws:
+            assert one(raw) == urls.resolve(raw, base), (raw, base)
+
+    def met(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(urls, "resolve", met)
+    urls._resolve_once.cache_clear()
+    assert [urls.resolver("https://a.example/b/c")(x) for x in ("/o1", "d.png?w=1", "https://b.example")] == ["https://a.example/o1", "https://a.example/b/d.png", "https://b.example/"]

@@ -35,11 +35,16 @@ def _without(html: Column, *tags: str) -> Column:
 
 def _entities(text: Column, others: str) -> Column:
     """Reads known entities; ``others`` replaces the rest."""
-    for name, value in ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i){name}", value)
-    text = F.regexp_replace(text, "(?i)&amp;", _KEPT)  # a read ampersand must not open another entity
-    text = F.regexp_replace(text, r"(?i)&[a-z]+;|&#[0-9]+;", others)
-    return F.regexp_replace(text, _KEPT, "&")
+
+    def read(text: Column) -> Column:
+        out = text
+        for name, value in ENTITIES.items():
+            out = F.regexp_replace(out, f"(?i){name}", value)
+        out = F.regexp_replace(out, "(?i)&amp;", _KEPT)  # a read ampersand must not open another entity
+        out = F.regexp_replace(out, r"(?i)&[a-z]+;|&#[0-9]+;", others)
+        return F.when(F.contains(text, F.lit("&")) | F.contains(text, F.lit(_KEPT)), F.regexp_replace(out, _KEPT, "&")).otherwise(text)
+
+    return once(text, read)
 
 
 #: The entities with a name that a title or description may use.
@@ -53,13 +58,19 @@ def decoded_entities(text: Column) -> Column:
         hexadecimal = F.regexp_extract(part, r"^(?i)&#x0*([0-9a-f]{1,6});$", 1)
         decimal = F.regexp_extract(part, r"^&#0*([0-9]{1,7});$", 1)
         code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).try_cast("int")
-        known = code.between(0x20, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        read = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+        def read(code: Column) -> Column:
+            known = code.between(0x20, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+            return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
         named = F.element_at(F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair)), F.lower(part))
-        return F.coalesce(named, F.when(known, read), part)
+        return F.when(F.startswith(part, F.lit("&")), F.coalesce(named, once(code, read), part)).otherwise(part)
+
+    def whole(text: Column) -> Column:
+        parts = F.regexp_extract_all(text, F.lit(r"(?i)(&#x[0-9a-f]+;|&#[0-9]+;|&[a-z]+;|[^&]+|&)"), 1)
+        return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
-    parts = F.regexp_extract_all(text, F.lit(r"(?i)(&#x[0-9a-f]+;|&#[0-9]+;|&[a-z]+;|[^&]+|&)"), 1)
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    return once(text, whole)
 
 
 def _collapsed(text: Column) -> Column:
@@ -72,11 +83,11 @@ def visible_text(markup: Column) -> Column:
     return F.lower(_collapsed(_entities(text, " ")))
 
 
-def content_region(html: Column) -> tuple[Column, Column]:
+def content_region(html: Column) -> Column:
     """(region, isolated): main, else a lone article, else the body, else everything."""
     lone = F.size(F.regexp_extract_all(html, F.lit(r"(?i)(<article\b[^>]*>)"), 1)) == 1
     marked = F.coalesce(element(html, "main"), F.when(lone, element(html, "article")))
-    return F.coalesce(marked, element(html, "body"), html), marked.isNotNull()
+    return once(marked, lambda m: F.struct(F.coalesce(m, element(html, "body"), html).alias("region"), m.isNotNull().alias("isolated")))
 
 
 def text_digest(text: Column) -> Column:
@@ -96,7 +107,7 @@ def markers(html: Column) -> Column:
 
 def text_facts(html: Column) -> Column:
     """(text_length, text_digest) of what a page's content region shows."""
-    return once(visible_text(content_region(html)[0]), lambda t: F.struct(F.length(t).cast("int").alias("text_length"), text_digest(t).alias("text_digest")))
+    return once(visible_text(content_region(html)["region"]), lambda t: F.struct(F.length(t).cast("int").alias("text_length"), text_digest(t).alias("text_digest")))
 
 
 def content(html: Column, is_html: Column) -> Column:
@@ -109,13 +120,12 @@ def content(html: Column, is_html: Column) -> Column:
 
         return once(visible_text(part["region"]), described)
 
-    region, isolated = content_region(html)
     no = F.struct(*(F.lit(False).alias(name) for name in BLOCK_TAGS))
     empty = F.struct(
         is_html.alias("is_html"), F.lit(False).alias("isolated"), F.lit(None).cast("string").alias("text_digest"), F.lit(0).alias("text_length"),
         F.array().cast("array<string>").alias("markers"), no.alias("blocks"),
     )
-    return F.when(is_html & (F.trim(html) != ""), once(F.struct(region.alias("region"), isolated.alias("isolated")), full)).otherwise(empty)
+    return F.when(is_html & (F.trim(html) != ""), once(content_region(html), full)).otherwise(empty)
 
 
 def head_region(html: Column) -> Column:
@@ -126,7 +136,7 @@ def head_region(html: Column) -> Column:
 def plain_text(markup: Column) -> Column:
     """A title or description: tags out, entities read, unknown ones kept; NULL if nothing is left."""
     text = _collapsed(decoded_entities(F.regexp_replace(markup, "<[^>]*>", " ")))
-    return F.when(text != "", F.substring(text, 1, MAX_METADATA_CHARS))
+    return once(text, lambda t: F.when(t != "", F.substring(t, 1, MAX_METADATA_CHARS)))
 
 
 def tags(html: Column, name: str) -> Column:

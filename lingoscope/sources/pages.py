@@ -20,19 +20,20 @@ def crawled(pages: DataFrame) -> DataFrame:
     """
     h = F.coalesce(F.col("html"), F.lit(""))
     is_html = F.coalesce(F.lower("content_type").rlike("html"), F.lit(False)) & F.col("html").isNotNull()
-    declared = html.raw_hreflang(h)
-    targets = resolved(F.transform(declared, lambda d: d["href"]), F.col("url"))
     chain = F.array().cast(f"array<{HOP}>")
     if "redirect_chain" in pages.columns:
         chain = F.coalesce(F.col("redirect_chain").cast(f"array<{HOP}>"), chain)
     rows = pages.withColumn("url", page_url(F.col("url"))).withColumn("redirect_chain", chain).select(
         "run_id", "url", "http_status", "fetch_error", "html", "redirect_chain", is_html.alias("is_html"),
-        F.transform(declared, lambda d: d["locale"]).alias("locales"), targets.alias("targets"),
-        resolved(html.raw_links(h), F.col("url")).alias("links"), resolved(html.raw_canonicals(h), F.col("url")).alias("canonicals"),
         F.element_at("headers", "x-robots-tag").alias("x_robots_tag"), headers.security_headers(F.col("headers")).alias("security_headers"),
     )
     # one generated row for each page: what follows reads these facts without working them out again
-    read = rows.select("*", F.inline_outer(F.array(F.struct(html.content(h, F.col("is_html")).alias("content"), once(html.head_region(h), html.head_facts).alias("head")))))
+    read = rows.select("*", F.inline_outer(F.array(F.struct(
+        html.content(h, F.col("is_html")).alias("content"), once(html.head_region(h), html.head_facts).alias("head"), html.raw_hreflang(h).alias("declared"), html.raw_links(h).alias("anchors"), html.raw_canonicals(h).alias("named"),
+    ))))
+    read = read.select(
+        "*", F.col("declared.locale").alias("locales"), resolved(F.col("declared.href"), F.col("url")).alias("targets"), resolved(F.col("anchors"), F.col("url")).alias("links"), resolved(F.col("named"), F.col("url")).alias("canonicals"),
+    )
     pairs = F.filter(F.arrays_zip("locales", "targets"), lambda p: p["targets"].isNotNull())
     # the last declaration of a locale holds
     last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["locales"]), F.create_map(p["locales"], p["targets"])))

@@ -144,3 +144,18 @@ def test_plain_addresses_are_not_taken_apart(monkeypatch):
     monkeypatch.setattr(urls, "resolve", met)
     urls._resolve_once.cache_clear()
     assert [urls.resolver("https://a.example/b/c")(x) for x in ("/o1", "d.png?w=1", "https://b.example")] == ["https://a.example/o1", "https://a.example/b/d.png", "https://b.example/"]
+
+
+def test_markup_is_read_once(spark):
+    """Every use of a value once worked it out again."""
+    h = F.col("html")
+    times = lambda c, part: spark.createDataFrame([("",)], "html string").select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count(part)
+    assert times(html.description(h), "<meta") == 1
+    assert times(html.plain_text(h), "&#x0*") == 2  # whether it is there, and what it is
+    assert times(html.content(h, F.lit(True)), "<main") == 2
+
+
+def test_entities_and_regions_stay_as_they_were(spark):
+    rows = [("a \u0001 b",), ("&amp;lt; \u0001 &x; &#1;",), ("&#x41;&#66;&#xD800;&#31;&amp;&AMP;&#x110000; & &;",), ("",), (None,)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "html string").select(html.visible_text(F.col("html")), html.plain_text(F.col("html"))).collect()]
+    assert got == [("a & b", "a \u0001 b"), ("&lt; &", "&lt; \u0001 &x; &#1;"), ("&#x41; &#xd800; &&&#x110000; & &;", "AB&#xD800;&#31;&&&#x110000; & &;"), ("", None), (None, None)]

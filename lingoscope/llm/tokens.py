@@ -195,9 +195,16 @@ class Bpe:
 
     def _resolve(self, chunks) -> dict[str, bytes]:
         """Packed ids of chunks, none of them in the memo."""
-        whole, out, parts, odd, rest = self.whole, {}, [], [], set()
+        whole, out, parts, odd, rest, single = self.whole, {}, [], [], set(), {}
         is_plain, split = PLAIN.match, SPLIT.findall
         for c in chunks:
+            if c.isascii() and c.isalpha():  # the most of them: one word, whatever its rules
+                word = c.lower()
+                if word in whole:
+                    out[c] = whole[word]
+                else:
+                    single[c] = word
+                continue
             if not is_plain(c):
                 odd.append(c)
                 continue
@@ -207,10 +214,12 @@ class Bpe:
             else:
                 parts.append((c, words))
                 rest.update([w for w in words if w not in whole])
+        rest.update(single.values())
         long = [w for w in rest if 4 * len(w) > LONG_RUN and len(w.encode()) > LONG_RUN]
         rest = list(rest.difference(long))
         merged = dict(zip(rest, self.merge(rest)))
         merged.update((w, self._pack(e.ids)) for w, e in zip(long, self.library.encode_batch(long, add_special_tokens=False)))
+        out.update((c, merged[w]) for c, w in single.items())
         for c, words in parts:
             out[c] = merged[words[0]] if len(words) == 1 else b"".join([whole[w] if w in whole else merged[w] for w in words])
         out.update((c, self._pack(e.ids)) for c, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False)))
@@ -222,7 +231,9 @@ class Bpe:
         seen = set(chain.from_iterable(lists))
         new = seen - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, seen
+            # what these texts need of it stays, if they leave it room
+            self.memo = {c: self.memo[c] for c in seen - new} if len(seen) <= MEMO else {}
+            new = seen - self.memo.keys()
         fresh = self._resolve(new)
         if len(fresh) <= MEMO and (not fresh or max(map(len, fresh)) <= LONG):
             self.memo.update(fresh)

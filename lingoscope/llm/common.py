@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -83,6 +84,15 @@ def text_lists(column: pa.Array, most: int = 1 << 20):
         yield start, [t or "" for t in column.slice(start, n).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns memory that isn't used to the system, that of Arrow and (with glibc) of the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sparing(function):
     """For a function over a task's batches: no search for reference cycles while it runs.
 
@@ -97,7 +107,6 @@ def sparing(function):
             yield from function(batches)
         finally:
             gc.enable()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run

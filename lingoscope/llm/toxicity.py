@@ -400,6 +400,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, n_hits long").withColumnRenamed("id", id_col)
 
 
+def clean_parts(batch: pa.RecordBatch, at: int, reader: Reader):
+    """The rows of ``batch`` whose texts (column ``at``) aren't predicted toxic, in parts of about GROUP bytes of text.
+
+    Small parts keep small what the worker and the JVM that reads them hold at once.
+    """
+    for start, some in text_lists(batch.column(at), GROUP):
+        clean = [not reader.model.weights or x < 0 for x, _ in reader.logits(some)]
+        yield batch.slice(start, len(some)).filter(pa.array(clean, pa.bool_()))
+
+
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -409,8 +419,6 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     def run(batches):
         reader = Reader(held.value)
         for batch in batches:
-            z = [x for _, some in text_lists(batch.column(at), GROUP) for x, _ in reader.logits(some)]
-            clean = [not held.value.weights or x < 0 for x in z]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield from clean_parts(batch, at, reader)
 
     return docs.mapInArrow(run, docs.schema)

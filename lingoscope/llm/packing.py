@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingoscope.llm.common import narrow, sparing, text_lists
+from lingoscope.llm.common import byte_sized, narrow, sparing
 from lingoscope.llm.sharding import buckets_for, ranked_in_source
 from lingoscope.llm.tokens import TOGETHER, bpe
 from lingoscope.operators.storage import stored
@@ -156,8 +156,8 @@ def pieces_of(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "d
         for batch in batches:
             rows = ([], [], [], [], [])
             at = 0
-            for _, some in text_lists(batch.column("text"), TOGETHER):
-                for ids in tokenizer.ids(some):
+            for first, n in byte_sized(batch.column("text"), TOGETHER):
+                for ids in tokenizer.ids(batch.column("text").slice(first, n)):
                     full = np.empty(len(ids) + 1, "<u4")
                     full[:-1] = ids
                     full[-1] = END_ID

@@ -16,8 +16,10 @@ Weights are learnt from at most ``SAMPLE_DOCS`` labelled documents of the folds
 that may be learnt from, picked by a hash of the id; copies of one text count
 once.  At most ``FEATURES`` features are kept.  Those are the bounds of the fit.
 
-Chunks between blanks are read independently of each other, so their hits are
-memoised; only a chunk with something to restore is decoded.
+Chunks between blanks are read independently of each other.  A look at the bytes of
+all texts leaves out those that have nothing to restore and no word that begins as a
+feature does; the others' hits are memoised.  Only a chunk with something to restore
+is decoded.
 
 Cases: null text counts as empty; an empty text is scored like a text without
 hits; null labels and ids are never learnt from; without labels of both kinds
@@ -66,6 +68,12 @@ ONE_LETTER = re.compile(r"[\W_]*[^\W_][\W_]*")
 EDGE = "`"  # the letter before a: symbol 0 of the model, a word's edge
 NEEDS = re.compile(r"[a-z][^a-z\s]+[a-z]|[0-9@$!|+(€][a-z]|[a-z][0-9@$!|+(€]|([a-z])\1\1")
 
+#: What str.split takes for blanks, beyond ASCII.
+WIDE_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+DIGIT = np.isin(np.arange(256), np.arange(48, 58))
+SIGN = DIGIT | np.isin(np.arange(256), list(b"@$!|+("))
+
 Model = namedtuple("Model", "log4 weights bias")
 
 
@@ -90,6 +98,9 @@ def _after_c3() -> np.ndarray:
 
 
 SYMBOL, AFTER_C3 = _symbols(), _after_c3()
+#: The same without letters that are written as two.
+ONE_AFTER_C3 = AFTER_C3.copy()
+ONE_AFTER_C3[[ord(c) - 0xC0 + 0x80 for c in "ßÆæ"]] = 0
 
 
 def gram_counts(data: np.ndarray) -> np.ndarray:
@@ -207,7 +218,9 @@ def decode(span: str, log4: np.ndarray) -> str:
 
 def words_of(chunk: str, log4: np.ndarray) -> set[str]:
     """Words of a chunk (or of letters set apart by blanks), as written and as restored."""
-    plain = chunk.lower().translate(ACCENTED)
+    plain = chunk.lower()
+    if not plain.isascii():
+        plain = plain.translate(ACCENTED)
     words = set(WORD.findall(plain))
     spaced = " " in plain
     if spaced:
@@ -241,6 +254,75 @@ def spaced_out(chunks: list[str]) -> list[str]:
     return [" ".join(r) for r in runs if len(set(r)) > 2 and (len(r) >= 4 or sum(any(x.isalpha() for x in c) for c in r) >= 2)]
 
 
+# ---------------------------------------------------------------- a first look
+
+
+def beginnings(features) -> np.ndarray:
+    """For every 4-gram (base 27) whether a word that shows one of the features may begin with it; words of three letters end in 0."""
+    out = np.zeros(27**4, bool)
+    for f in features:
+        code = 0
+        for c in f.rstrip("*").ljust(4, EDGE)[:4]:
+            code = code * 27 + ord(c) - 96
+        out[code] = True
+    return out
+
+
+class Chunks:
+    """The chunks of texts, as bytes, and which of them have to be read.
+
+    ``telling`` is true for each that may have something to restore or show a
+    feature: those with other letters than plain ones and ones with a mark, with
+    several words, a run of three letters, a letter beside a sign, or a word with
+    such a beginning.  ``spaced`` has the texts with three chunks in a row that
+    may be single characters.
+    """
+
+    def __init__(self, texts: list[str], begins: np.ndarray):
+        coded = [t.encode() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in coded], dtype=np.int64)
+        data = np.frombuffer(bytearray(b" ".join([*coded, b""])), np.uint8)
+        for m in WIDE_BLANK.finditer(data):
+            data[m.start() : m.end()] = 32
+        self.data = data
+        inside = np.concatenate([[False], ~BLANK[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.stops = edges[::2], edges[1::2]
+        self.texts = np.searchsorted(ends, self.starts, "right")
+        if not len(self.starts):
+            self.telling, self.spaced = np.zeros(0, bool), set()
+            return
+        symbols = SYMBOL[data]
+        starts = self.starts
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        after = after[ONE_AFTER_C3[data[after]] > 0]
+        if len(after):  # such a letter is its second byte
+            symbols[after] = ONE_AFTER_C3[data[after]]
+            starts = starts - np.searchsorted(after, starts, "left")
+            data, symbols = np.delete(data, after - 1), np.delete(symbols, after - 1)
+        letter, sign = symbols > 0, SIGN[data]
+        flags = (data >= 128) & ~letter
+        flags[:-1] |= (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        flags[:-2] |= letter[:-2] & (symbols[:-2] == symbols[1:-1]) & (symbols[:-2] == symbols[2:])
+        first = letter.copy()
+        first[1:] &= ~letter[:-1]
+        at = np.flatnonzero(first)
+        s = np.concatenate([symbols, np.zeros(3, np.uint8)]).astype(np.int32)
+        flags[at[begins[((s[at] * 27 + s[at + 1]) * 27 + s[at + 2]) * 27 + s[at + 3]]]] = True
+        self.telling = np.logical_or.reduceat(flags, starts) | (np.add.reduceat(first, starts, dtype=np.int32) > 1)
+        lone = np.add.reduceat(letter | DIGIT[data], starts, dtype=np.int32) <= 1
+        three = lone[:-2] & lone[1:-1] & lone[2:] & (self.texts[:-2] == self.texts[2:])
+        self.spaced = set(self.texts[:-2][three].tolist())
+
+    def told(self, n: int) -> list[set[str]]:
+        """The telling chunks of each of ``n`` texts."""
+        out = [set() for _ in range(n)]
+        raw, some = self.data.tobytes(), self.telling
+        for t, a, b in zip(self.texts[some].tolist(), self.starts[some].tolist(), self.stops[some].tolist()):
+            out[t].add(raw[a:b].decode())
+        return out
+
+
 # ---------------------------------------------------------------- learning
 
 
@@ -261,17 +343,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     @sparing
     def count(batches):
-        positive, negative, n = Counter(), Counter(), [0, 0]
+        positive, negative = Counter(), Counter()
         for batch in batches:
             texts = (t for _, some in text_lists(batch.column("text"), GROUP) for t in some)
             for text, toxic in zip(texts, batch.column("toxic").to_pylist()):
                 chunks = text.split()
                 words = set().union(*(words_of(c, held.value) for c in [*set(chunks), *spaced_out(chunks)])) if chunks else set()
                 (positive if toxic else negative).update(features_of(words))
-                n[bool(toxic)] += 1
         names = [f for f, c in positive.items()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*names, ""]), pa.array([*(positive[f] for f in names), n[1]], pa.int64()), pa.array([*(negative[f] for f in names), n[0]], pa.int64())],
+            [pa.array(names, pa.string()), pa.array([positive[f] for f in names], pa.int64()), pa.array([negative[f] for f in names], pa.int64())],
             names=["feature", "positive", "negative"],
         )
         # what only the negative documents of this task have
@@ -282,14 +363,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
 
     counted = sample.select("text", "toxic").mapInArrow(count, "feature string, positive long, negative long")
     sums = counted.groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("negative").alias("n"))
-    totals = sums.where("feature = ''").collect()
-    tp, tn = (totals[0]["p"], totals[0]["n"]) if totals else (0, 0)
+    # counted without the features, which would be worked out once more for two numbers
+    positives = F.count_if(F.col("toxic").cast("boolean"))
+    tp, tn = sample.agg(positives, F.count(F.lit(1)) - positives).first()
     if not tp or not tn:
         return Model(log4, {}, -10.0)
     share = tp / (tp + tn)
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     g2 = 2 * (p * F.log(p / ((p + n) * share)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - share)))).otherwise(0.0))
-    best = sums.where(f"feature <> '' and p >= 3 and p * {tn} > 3 * n * {tp}").withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
+    best = sums.where(f"p >= 3 and p * {tn} > 3 * n * {tp}").withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
     chosen = best.orderBy(F.desc("g2"), "feature").limit(FEATURES).collect()
     names = [r["feature"] for r in chosen]
     shared = spark.sparkContext.broadcast(Model(log4, dict.fromkeys(names, 0.0), 0.0))
@@ -333,6 +415,7 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
+        self.begins = beginnings(model.weights)
         self.memo: dict[str, tuple[str, ...]] = {}  # chunk -> its words that show a feature
         self.shown: dict[str, list[str]] = {}  # such a word -> the features
 
@@ -350,7 +433,8 @@ class Reader:
 
     def hits(self, texts: list[str]) -> list[Counter]:
         """For each text, its features and how many different words show them."""
-        lists = [t.split() for t in texts]
+        chunks = Chunks(texts, self.begins)
+        lists = chunks.told(len(texts))
         seen = set(chain.from_iterable(lists))
         if len(self.memo) > MEMO:
             self.memo, self.shown = {}, {}
@@ -363,9 +447,9 @@ class Reader:
             self.memo.update(list((c, f) for c, f in fresh.items() if len(c) <= 64)[:MEMO])
             get = known.__getitem__
         out = []
-        for chunks in lists:
-            words = set(chain.from_iterable(set(map(get, chunks))))
-            for run in spaced_out(chunks):
+        for i, some in enumerate(lists):
+            words = set(chain.from_iterable(set(map(get, some))))
+            for run in spaced_out(texts[i].split()) if i in chunks.spaced else ():
                 words.update(self._read(run))
             out.append(Counter(f for w in words for f in self.shown[w]))
         return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lingoscope.functions import sentences
+from lingoscope.operators.storage import parts_for
 from lingoscope.plans import client_report, reports, runs
 from lingoscope.plans.catalogue import joined, query, table
 from lingoscope.schema import RULES
@@ -101,13 +102,16 @@ def client_reports(spark, sf_dir):
     none = F.array().cast("array<string>")
     base = key % 5
     summary = F.struct(F.lit(True).alias("complete"), F.when(base != 0, "b1").alias("baseline_run_id"), F.lit(6).alias("watched"), F.lit(4).alias("compared"))
-    ran = table(spark, sf_dir, "orders").select(
+    orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    parts = parts_for(orders, lineitem)
+    ran = orders.select(
         key.alias("run_id"), _told("Customer ", who).alias("name"), _told("https://c.example/", who).alias("start_url"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"),
         F.col("o_orderdate").alias("created_at"), F.lit(None).cast("timestamp").alias("started_at"), (who % 3).alias("pages_crawled"), F.lit(True).alias("crawl_complete"), (key % 2 != 0).alias("page_limit"),
         F.struct(none.alias("include_paths"), none.alias("exclude_paths")).alias("scope"), none.alias("rule_set"), summary.alias("visual_summary"), F.when(base == 1, "b1").otherwise("b2").alias("project_baseline"),
-    )
+    ).repartition(parts, "run_id")
     p = F.col("p")
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.col("l_partkey").alias("p"), (F.col("l_returnflag") == "R").alias("gone")).distinct()
+    items = lineitem.select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.col("l_partkey").alias("p"), (F.col("l_returnflag") == "R").alias("gone"))
+    items = items.repartition(parts, "run_id").distinct()
     links = F.when(p % 100 == 0, 260).otherwise(p % 7)
     linked = F.transform(F.filter(F.sequence(F.lit(0), links), lambda i: i > 0), lambda i: F.concat(F.lit("/l"), i.cast("string")))
     kind = F.when(p % 4 == 0, "link_broken").when(p % 4 == 1, "canonical_missing").when(p % 4 == 2, "noindex_present").otherwise("of_the_future")
@@ -119,7 +123,7 @@ def client_reports(spark, sf_dir):
         "run_id", _told("/s", p).alias("url"), F.lit(None).cast("string").alias("capture_error"), F.when(p % 3 == 0, F.lit("2026-01-01").cast("timestamp")).alias("expired_at"), F.lit(True).alias("comparable"),
         F.lit(None).cast("string").alias("reason"), (p % 50 * 1000).alias("changed_pixels"), F.lit(1000000).alias("compared_pixels"),
     )
-    out = client_report.lines(ran, typed.where("not gone").drop("gone"), compared, shots)
+    out = client_report.lines(ran, typed.where("not gone").drop("gone"), compared, shots, parts)
     return out.withColumn("pages", joined(F.col("pages"))).withColumnRenamed("run_id", "run")
 
 

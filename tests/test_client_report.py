@@ -1,6 +1,7 @@
 """The client's document, sentences of single findings, orders by collation, listings of a run."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,27 @@ def run(name, status="done", pages=2, summary=(True, "b1", 3, 2), base="b1"):
     return (name, "Shop", "https://shop.example/", status, None, None, pages, True, False, ([], []), ["link_broken"], summary, base)
 
 
+def test_work_on_a_document_is_in_parts_of_so_many_rows(spark, monkeypatch):
+    """No grouping, join or window is in the session's number of tasks, which doesn't grow with the tables."""
+    n = 3000
+    key = F.col("id").cast("string").alias("run_id")
+    ran = spark.createDataFrame([run("a")], RUNS).drop("run_id").crossJoin(spark.range(n).select(key))
+    found = spark.range(n).select(key, F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, "link_broken").otherwise("noindex_present").alias("type"), F.lit("/u").alias("url"), F.lit(None).cast("string").alias("detail"))
+    compared = found.select("run_id", "ord", "type", F.lit("resolved").alias("status"))
+    shots = spark.createDataFrame([], SHOTS)
+    monkeypatch.setattr(client_report, "parts_for", lambda *tables: 1 + sum(t.count() for t in tables) // 1000, raising=False)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = client_report.lines(ran, found, compared, shots)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        counts = set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan))
+        assert counts == {str(1 + 3 * n // 1000)}
+        assert out.count() == n * 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_the_document(spark):
     day = F.lit("2026-09-08 10:00:00").cast("timestamp")
     ran = spark.createDataFrame([run("a", pages=1), run("b", base="b2"), run("going", status="running"), run("waiting", status="queued")], RUNS).withColumn("created_at", day)
